@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallywell.llm import bpe, pii, secrets
+from tallywell.llm import bpe, pii, secrets, simhash
 from tallywell.llm.common import table
 
 
@@ -18,12 +18,16 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.detect(table(spark, sf_dir, "documents")))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digests(simhash.near_duplicates(table(spark, sf_dir, "documents")))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.detect(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op5_pii, op8_secrets)}
+    return {f.__name__: f for f in (op1_byte_bpe, op5_pii, op6_simhash, op8_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
