@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallywell.llm import ann, bpe, pii, secrets, simhash
+from tallywell.llm import ann, bpe, pii, secrets, simhash, urlfilter
 from tallywell.llm.common import table
 
 
@@ -47,9 +47,40 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.detect(table(spark, sf_dir, "documents")))
 
 
+#: Verdict, host and path of the rules of op10.
+RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list of op10: hosts with a page whose url carries a tracking parameter."""
+    pages = table(spark, sf_dir, "pages")
+    return urlfilter.judge(pages, urlfilter.tracking_hosts(pages), RULES)
+
+
+OP10_SQL = """
+WITH p AS (
+  SELECT page_id, url,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages
+), r AS (
+  SELECT page_id, host, path, url,
+    CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+         WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+         WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+         WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule
+  FROM p
+), listed AS (SELECT DISTINCT host FROM p WHERE host <> '' AND regexp_matches(url, '^[^#?]*\\?[^#]*utm_'))
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+       WHEN host IN (SELECT host FROM listed) THEN 'block' ELSE 'allow' END AS verdict
+FROM r
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op3_ann, op5_pii, op6_simhash, op8_secrets)}
+    return {f.__name__: f for f in (op1_byte_bpe, op3_ann, op5_pii, op6_simhash, op8_secrets, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ann": OP3_SQL}
+    return {"op3_ann": OP3_SQL, "op10_url_filter": OP10_SQL}
