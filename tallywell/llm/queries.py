@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallywell.llm import ann, bpe, pii, secrets, simhash, urlfilter
+from tallywell.llm import ann, bpe, brown, decontam, pii, secrets, simhash, toxicity, urlfilter
 from tallywell.llm.common import table
 
 
@@ -14,6 +14,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), decoded=True))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.digests(toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))))
+
+
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"), 20)
@@ -43,10 +48,47 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digests(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which items are in which documents; the SQL finds the same without an index."""
+    found = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "shingles_found", "shingles", "passages")
+
+
+OP7_SQL = r"""
+WITH items AS (
+  SELECT DISTINCT item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+'), lambda x: x <> '') AS w
+  FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+), size AS (SELECT greatest(128, 2 * max(len(w))) AS width, CAST(greatest(128, 2 * max(len(w))) // 2 AS BIGINT) AS step FROM items
+), docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+'), lambda x: x <> '') AS w
+  FROM documents WHERE text IS NOT NULL
+), item_shingles AS (
+  SELECT DISTINCT item_id, least(5, len(w)) AS n, unnest(list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda i: array_to_string(w[i : i + 4], ' '))) AS s FROM items WHERE len(w) > 0
+), needed AS (SELECT item_id, count(*) AS shingles FROM item_shingles GROUP BY item_id
+), lengths AS (SELECT DISTINCT n FROM item_shingles
+), doc_shingles AS (
+  SELECT rid, doc_id, n, len(w) AS words, p, array_to_string(w[p + 1 : p + n], ' ') AS s
+  FROM (SELECT rid, doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS p FROM docs, lengths WHERE len(w) >= n)
+), hit AS (SELECT rid, doc_id, item_id, words, p, n, s FROM doc_shingles JOIN item_shingles USING (n, s)
+), by_passage AS (
+  SELECT rid, doc_id, item_id, k, count(DISTINCT s) AS found
+  FROM (SELECT hit.*, unnest([p // step, p // step - 1]) AS k, width, step FROM hit, size)
+  WHERE k >= 0 AND k * step + width >= p + n AND k <= greatest(0, -((width - words) // step))
+  GROUP BY rid, doc_id, item_id, k
+)
+SELECT doc_id, item_id, CAST(max(found) AS INTEGER) AS shingles_found, CAST(any_value(shingles) AS INTEGER) AS shingles, CAST(count(*) AS INTEGER) AS passages
+FROM by_passage JOIN needed USING (item_id) WHERE found >= ceil(0.8 * shingles - 1e-9) GROUP BY rid, doc_id, item_id
+"""
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.detect(table(spark, sf_dir, "documents")))
 
 
+def op9_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.perplexity(table(spark, sf_dir, "documents"))
+
+
 #: Verdict, host and path of the rules of op10.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
@@ -79,8 +121,8 @@ FROM r
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op3_ann, op5_pii, op6_simhash, op8_secrets, op10_url_filter)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_ann, op5_pii, op6_simhash, op7_decontamination, op8_secrets, op9_brown, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ann": OP3_SQL, "op10_url_filter": OP10_SQL}
+    return {"op3_ann": OP3_SQL, "op7_decontamination": OP7_SQL, "op10_url_filter": OP10_SQL}
