@@ -73,7 +73,7 @@ WITH items AS (
 ), by_passage AS (
   SELECT rid, doc_id, item_id, k, count(DISTINCT s) AS found
   FROM (SELECT hit.*, unnest([p // step, p // step - 1]) AS k, width, step FROM hit, size)
-  WHERE k >= 0 AND k * step + width >= p + n AND k <= greatest(0, -((width - words) // step))
+  WHERE k >= 0 AND k * step + width >= p + n AND k <= greatest(0, ceil((words - width) / step))
   GROUP BY rid, doc_id, item_id, k
 )
 SELECT doc_id, item_id, CAST(max(found) AS INTEGER) AS shingles_found, CAST(any_value(shingles) AS INTEGER) AS shingles, CAST(count(*) AS INTEGER) AS passages
