@@ -56,13 +56,21 @@ def mapped(docs: DataFrame, rows: Callable[[], Callable[[str], tuple]], schema:
     return df.mapInArrow(run, ddl)
 
 
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the cluster names in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share, as spark.checkpoint.dir names it; only where that is unset (local tests), a temporary one."""
+    sc = spark.sparkContext
+    where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not sc._jsc.sc().getCheckpointDir().isEmpty():
+        where = sc._jsc.sc().getCheckpointDir().get()
+    if not where:
+        where = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        sc.setCheckpointDir(where)
+    return where.rstrip("/")
 
-    Only where that is unset (local tests) a temporary folder is taken instead.
-    """
+
+def shared_checkpoint(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

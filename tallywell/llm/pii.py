@@ -14,8 +14,9 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_right
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -191,6 +192,20 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return mapped(docs, lambda: lambda t: (masked(t, find(t)),), "redacted string", key, text)
 
 
+def redact_rows(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, with the text redacted (null: empty). One narrow pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            i = b.schema.get_field_index(text)
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                made = pa.array([masked(t, find(t)) if t else "" for t in part.column(i).to_pylist()], part.schema.field(i).type)
+                yield pa.RecordBatch.from_arrays([made if j == i else part.column(j) for j in range(part.num_columns)], schema=part.schema)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def digests(found: DataFrame) -> DataFrame:
     s = F.col("spans")
     return found.select("doc_id", *(counted(s, k).alias(f"n_{k}") for k in KINDS), F.sha2(joined(s, True), 256).alias("base_sha256"), joined(s).alias("spans"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallywell.llm import ann, bpe, brown, decontam, pii, secrets, simhash, toxicity, urlfilter
+from tallywell.llm import ann, bpe, brown, decontam, pii, secrets, simhash, toxicity, urlfilter, windows
 from tallywell.llm.common import table
 
 
@@ -40,6 +40,10 @@ FROM s QUALIFY rank <= 20
 """
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.passages(table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.detect(table(spark, sf_dir, "documents")))
 
@@ -121,7 +125,7 @@ FROM r
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_ann, op5_pii, op6_simhash, op7_decontamination, op8_secrets, op9_brown, op10_url_filter)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_ann, op4_substring_dedup, op5_pii, op6_simhash, op7_decontamination, op8_secrets, op9_brown, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -128,5 +128,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return components(fingerprints(docs, key, text))
 
 
+def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The first row of each group of near duplicates, all columns; every row belongs to one group, also those without an id.
+
+    Rows are told apart by their place in `docs`, so it must be read from files (as a stage of a pipeline does), where each
+    reading gives the same places.
+    """
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    first = near_duplicates(numbered, "_row", text).where("doc_id = component_id").select(F.col("doc_id").alias("_row"))
+    return numbered.join(first, "_row", "left_semi").select(*docs.columns)
+
+
 def digests(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
