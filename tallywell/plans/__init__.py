@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallywell.plans import analytics
+from tallywell.plans import analytics, metrics
 
-MODULES = (analytics,)
+MODULES = (analytics, metrics)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
