@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallywell.plans import analytics, metrics
+from tallywell.plans import analytics, metrics, store
 
-MODULES = (analytics, metrics)
+MODULES = (analytics, metrics, store)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
