@@ -115,7 +115,36 @@ def test_compact_windows():
     rng = np.random.default_rng(0)
     for _ in range(500):
         t, x = int(rng.integers(2, 12)), rng.integers(0, rng.integers(2, 50), int(rng.integers(1, 60))).astype(np.uint64)
-        assert sorted(windows.compact_windows(x, t)) == sorted(plain_windows(x, t))
+        assert sorted(windows.compact_windows(x << np.uint64(40), t)) == sorted(plain_windows(x, t))
+
+
+def test_joint_windows_hold_for_every_stretch():
+    rng = np.random.default_rng(1)
+    t = windows.TOKENS
+    for _ in range(30):
+        x = windows.mixed(rng.integers(0, rng.integers(2, 400), int(rng.integers(t, 300))).astype(np.uint64))
+        for (f, g), (keys, places) in zip(windows.PAIRS, windows.joint_windows(x)):
+            a, b = windows.mixed(x * windows.MULTIPLIERS[f]), windows.mixed(x * windows.MULTIPLIERS[g])
+            least = [(s + int(a[s : s + t].argmin()), s + int(b[s : s + t].argmin())) for s in range(len(x) - t + 1)]
+            own = list(dict.fromkeys(least))
+            assert places.tolist() == [c for c, _ in own]
+            # keys are equal just where both tokens and their distance are
+            assert len({(k, a[c], b[d], d - c) for k, (c, d) in zip(keys.tolist(), own)}) == len(set(keys.tolist()))
+
+
+def test_a_common_line_hides_no_passage(spark):
+    """Passages of 55 words around a line that hundreds of other texts hold too, each passage in two texts far apart."""
+    rng = np.random.default_rng(2)
+    words = lambda n: [f"q{i}" for i in rng.integers(0, 100_000, n)]
+    line = words(18)
+    passages = [[*words(18), *line, *words(19)] for _ in range(150)]
+    texts = [" ".join([*words(60), *p, *words(60)]) for p in [*passages, *passages]]
+    texts[150:150] = [" ".join([*words(60), *line, *words(60)]) for _ in range(400)]
+    order = rng.permutation(len(texts))
+    docs = spark.createDataFrame([(int(i), t) for i, t in zip(order, texts)], "doc_id bigint, text string").repartition(3)
+    of = {r.doc_id: r.class_id for r in windows.passages(docs).collect()}
+    assert all(of[int(order[i])] == of[int(order[550 + i])] for i in range(150))
+    assert len(of) == 300 and len(set(of.values())) == 150
 
 
 def test_every_repeated_passage_is_found(spark, data):
