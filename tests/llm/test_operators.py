@@ -147,6 +147,26 @@ def test_a_common_line_hides_no_passage(spark):
     assert len(of) == 300 and len(set(of.values())) == 150
 
 
+def test_every_copy_within_a_document_is_found(spark):
+    """Passages that one text holds 3 to 50 times and another one once."""
+    rng = np.random.default_rng(6)
+    words = lambda n: [f"q{i}" for i in rng.integers(0, 100_000, n)]
+    rows, want = [], {}
+    for n, times in enumerate((3, 7, 50)):
+        passage, text = words(60), words(70)
+        for _ in range(times):
+            want.setdefault(n, []).append(len(text))
+            text += [*passage, *words(70)]
+        rows += [(n, " ".join(text)), (100 + n, " ".join([*words(70), *passage, *words(70)]))]
+    got: dict[int, list] = {}
+    for r in windows.passages(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    for n, places in want.items():
+        own = sorted((r.first_word, r.last_word) for r in got[n])
+        assert len(own) == len(places) and all(a <= p and p + 60 <= b for (a, b), p in zip(own, places))
+        assert len({r.class_id for r in got[n] + got[100 + n]}) == 1 and len(got[100 + n]) == 1
+
+
 def test_every_repeated_passage_is_found(spark, data):
     texts = texts_of(data)
     words = {i: decontam.words_of(t) for i, t in texts.items()}
