@@ -147,6 +147,30 @@ def test_a_common_line_hides_no_passage(spark):
     assert len(of) == 300 and len(set(of.values())) == 150
 
 
+def test_forms_between_two_copies_hide_neither(spark):
+    """Texts with the same 50 words; texts of a form with 44 of them stand between in the chain of every key that both hold."""
+    rng = np.random.default_rng(7)
+    words = lambda n: [f"q{i}" for i in rng.integers(0, 100_000, n)]
+    keys = lambda text: {int(k) for own, _ in windows.joint_windows(windows.tokens(text)[0]) for k in own}
+    form = words(44)
+    forms = [" ".join([*words(70), *form, *words(70)]) for _ in range(60)]
+    common, rows = set.union(*map(keys, forms)), [(1000 + n, t) for n, t in enumerate(forms)]
+    pairs = 0
+    for _ in range(200):
+        passage = [*words(3), *form, *words(3)]
+        text, text2 = (" ".join([*words(60), *passage, *words(60)]) for _ in range(2))
+        if pairs < 10 and keys(text) & keys(text2) <= common:
+            rows += [(pairs, text), (2000 + pairs, text2)]
+            pairs += 1
+    assert pairs == 10
+    got: dict[int, list] = {}
+    for r in windows.passages(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    for n in range(pairs):
+        own = [[r.class_id for r in got.get(i, []) if r.first_word <= 60 and r.last_word >= 110] for i in (n, 2000 + n)]
+        assert own[0] and own[0] == own[1], n
+
+
 def test_every_copy_within_a_document_is_found(spark):
     """Passages that one text holds 3 to 50 times and another one once."""
     rng = np.random.default_rng(6)
