@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterator
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,12 +58,14 @@ def mapped(docs: DataFrame, rows: Callable[[], Callable[[str], tuple]], schema:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all machines share, as spark.checkpoint.dir names it; only where that is unset (local tests), a temporary one."""
+    """The folder that all machines share, as spark.checkpoint.dir names it; a temporary one only where that is unset and all run on this machine."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where and not sc._jsc.sc().getCheckpointDir().isEmpty():
         where = sc._jsc.sc().getCheckpointDir().get()
     if not where:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="spark-checkpoint-")
         sc.setCheckpointDir(where)
     return where.rstrip("/")
@@ -74,3 +77,18 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, read again: each reading gives the same rows in the same order."""
+    at = f"{shared_folder(df.sparkSession)}/{name}-{uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def removed(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes tables of `written` that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for path in {p.rpartition("/")[0] for t in tables for p in t.inputFiles()}:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -98,121 +98,6 @@ def test_nearest_neighbours(spark, data):
     assert [(r.vec_id, r.score) for r in got] == [(i, -s) for s, i in best]
 
 
-def plain_windows(x, t):
-    out = set()
-    for c in range(len(x)):
-        left, right = c, c
-        while left > 0 and x[left - 1] > x[c]:
-            left -= 1
-        while right + 1 < len(x) and x[right + 1] >= x[c]:
-            right += 1
-        if right - left + 1 >= t:
-            out.add((left, c, right))
-    return out
-
-
-def test_compact_windows():
-    rng = np.random.default_rng(0)
-    for _ in range(500):
-        t, x = int(rng.integers(2, 12)), rng.integers(0, rng.integers(2, 50), int(rng.integers(1, 60))).astype(np.uint64)
-        assert sorted(windows.compact_windows(x << np.uint64(40), t)) == sorted(plain_windows(x, t))
-
-
-def test_joint_windows_hold_for_every_stretch():
-    rng = np.random.default_rng(1)
-    t = windows.TOKENS
-    for _ in range(30):
-        x = windows.mixed(rng.integers(0, rng.integers(2, 400), int(rng.integers(t, 300))).astype(np.uint64))
-        for (f, g), (keys, places) in zip(windows.PAIRS, windows.joint_windows(x)):
-            a, b = windows.mixed(x * windows.MULTIPLIERS[f]), windows.mixed(x * windows.MULTIPLIERS[g])
-            least = [(s + int(a[s : s + t].argmin()), s + int(b[s : s + t].argmin())) for s in range(len(x) - t + 1)]
-            own = list(dict.fromkeys(least))
-            assert places.tolist() == [c for c, _ in own]
-            # keys are equal just where both tokens and their distance are
-            assert len({(k, a[c], b[d], d - c) for k, (c, d) in zip(keys.tolist(), own)}) == len(set(keys.tolist()))
-
-
-def test_a_common_line_hides_no_passage(spark):
-    """Passages of 55 words around a line that hundreds of other texts hold too, each passage in two texts far apart."""
-    rng = np.random.default_rng(2)
-    words = lambda n: [f"q{i}" for i in rng.integers(0, 100_000, n)]
-    line = words(18)
-    passages = [[*words(18), *line, *words(19)] for _ in range(150)]
-    texts = [" ".join([*words(60), *p, *words(60)]) for p in [*passages, *passages]]
-    texts[150:150] = [" ".join([*words(60), *line, *words(60)]) for _ in range(400)]
-    order = rng.permutation(len(texts))
-    docs = spark.createDataFrame([(int(i), t) for i, t in zip(order, texts)], "doc_id bigint, text string").repartition(3)
-    of = {r.doc_id: r.class_id for r in windows.passages(docs).collect()}
-    assert all(of[int(order[i])] == of[int(order[550 + i])] for i in range(150))
-    assert len(of) == 300 and len(set(of.values())) == 150
-
-
-def test_forms_between_two_copies_hide_neither(spark):
-    """Texts with the same 50 words; texts of a form with 44 of them stand between in the chain of every key that both hold."""
-    rng = np.random.default_rng(7)
-    words = lambda n: [f"q{i}" for i in rng.integers(0, 100_000, n)]
-    keys = lambda text: {int(k) for own, _ in windows.joint_windows(windows.tokens(text)[0]) for k in own}
-    form = words(44)
-    forms = [" ".join([*words(70), *form, *words(70)]) for _ in range(60)]
-    common, rows = set.union(*map(keys, forms)), [(1000 + n, t) for n, t in enumerate(forms)]
-    pairs = 0
-    for _ in range(200):
-        passage = [*words(3), *form, *words(3)]
-        text, text2 = (" ".join([*words(60), *passage, *words(60)]) for _ in range(2))
-        if pairs < 10 and keys(text) & keys(text2) <= common:
-            rows += [(pairs, text), (2000 + pairs, text2)]
-            pairs += 1
-    assert pairs == 10
-    got: dict[int, list] = {}
-    for r in windows.passages(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)).collect():
-        got.setdefault(r.doc_id, []).append(r)
-    for n in range(pairs):
-        own = [[r.class_id for r in got.get(i, []) if r.first_word <= 60 and r.last_word >= 110] for i in (n, 2000 + n)]
-        assert own[0] and own[0] == own[1], n
-
-
-def test_every_copy_within_a_document_is_found(spark):
-    """Passages that one text holds 3 to 50 times and another one once."""
-    rng = np.random.default_rng(6)
-    words = lambda n: [f"q{i}" for i in rng.integers(0, 100_000, n)]
-    rows, want = [], {}
-    for n, times in enumerate((3, 7, 50)):
-        passage, text = words(60), words(70)
-        for _ in range(times):
-            want.setdefault(n, []).append(len(text))
-            text += [*passage, *words(70)]
-        rows += [(n, " ".join(text)), (100 + n, " ".join([*words(70), *passage, *words(70)]))]
-    got: dict[int, list] = {}
-    for r in windows.passages(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect():
-        got.setdefault(r.doc_id, []).append(r)
-    for n, places in want.items():
-        own = sorted((r.first_word, r.last_word) for r in got[n])
-        assert len(own) == len(places) and all(a <= p and p + 60 <= b for (a, b), p in zip(own, places))
-        assert len({r.class_id for r in got[n] + got[100 + n]}) == 1 and len(got[100 + n]) == 1
-
-
-def test_every_repeated_passage_is_found(spark, data):
-    texts = texts_of(data)
-    words = {i: decontam.words_of(t) for i, t in texts.items()}
-    where: dict[tuple, set[int]] = {}
-    for i, w in words.items():
-        for k in range(len(w) - windows.WORDS + 1):
-            where.setdefault(tuple(w[k : k + windows.WORDS]), set()).add(i)
-    rows = queries.op4_substring_dedup(spark, data).collect()
-    held: dict[int, list] = {}
-    for r in rows:
-        held.setdefault(r.doc_id, []).append(r)
-    for passage, docs in where.items():
-        if len(docs) > 1:
-            for i in docs:
-                assert any(passage in set(zip(*(words[i][r.first_word + k : r.last_word] for k in range(windows.WORDS)))) for r in held.get(i, [])), i
-    # and nothing is reported that shares no five words in a row with another document
-    shingle = Counter(s for w in words.values() for s in set(zip(*(w[k:] for k in range(5)))))
-    for r in rows:
-        own = list(zip(*(words[r.doc_id][r.first_word + k : r.last_word] for k in range(5))))
-        assert np.mean([shingle[s] > 1 for s in own]) > 0.5
-
-
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 
 
