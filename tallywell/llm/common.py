@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from uuid import uuid4
 
 import pyarrow as pa
@@ -71,18 +72,35 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Spark's setting by which a query's shuffle files go when it ends.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Queries made and run within leave no shuffle files: what they wrote to the shared folder needs none."""
+    before = spark.conf.get(FREED, None)
+    spark.conf.set(FREED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(FREED) if before is None else spark.conf.set(FREED, before)
+
+
 def shared_checkpoint(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    with shuffles_freed(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder, read again: each reading gives the same rows in the same order."""
     at = f"{shared_folder(df.sparkSession)}/{name}-{uuid4().hex}"
-    df.write.parquet(at)
+    with shuffles_freed(df.sparkSession):
+        df.select("*").write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
