@@ -100,7 +100,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder, read again: each reading gives the same rows in the same order."""
     at = f"{shared_folder(df.sparkSession)}/{name}-{uuid4().hex}"
     with shuffles_freed(df.sparkSession):
-        df.select("*").write.parquet(at)
+        df.select("*").write.option("compression", "zstd").parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 

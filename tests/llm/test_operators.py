@@ -168,43 +168,6 @@ def test_decontamination_loses_nothing(spark, data):
     assert got == decontam.plain_matches(texts, index) and sum(map(len, got)) > 50
 
 
-def test_brown_scores(spark, data):
-    texts = texts_of(data)
-    rows = {r.doc_id: r for r in queries.op9_brown(spark, data).collect()}
-    tokens = {i: [*brown.words_of(t), brown.END] for i, t in texts.items()}
-    learn = [i for i in texts if crc32(str(i).encode()) % 5 != 1]
-    c = Counter(w for i in learn for w in tokens[i])
-    n, v = sum(c.values()), len(c)
-    for i, r in rows.items():
-        assert (r.n_tokens, r.train_tokens, r.held_out) == (len(tokens[i]), n, crc32(str(i).encode()) % 5 == 1)
-        assert r.n_known == sum(c[w] > 0 for w in tokens[i])
-        assert r.base_score == pytest.approx(sum(log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens[i]), rel=1e-9)
-
-
-def test_brown_model_is_a_distribution_and_beats_the_base(spark, data):
-    folder = data.replace("sf0.001", "sf0.01")
-    held = [r for r in queries.op9_brown(spark, folder).collect() if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
-    docs = spark.createDataFrame([(i, "a b a c a b"[: 1 + i]) for i in range(30)], "doc_id bigint, text string")
-    model, counts = brown.train(docs, brown.F.lit(True))
-    assert np.allclose((10**model.transition).sum(1), 1)
-    totals: Counter[int] = Counter()
-    for r in counts.collect():
-        g = model.classes.of(r["word"])
-        totals[g] += (r["n"] + 0.5) / 10 ** model.below[g]
-    unseen = {g: 0.5 / 10 ** model.below[g] for g in totals}
-    assert all(totals[g] + unseen[g] == pytest.approx(1) for g in totals)
-
-
-def test_exchange_separates_what_alternates():
-    n = np.zeros((9, 9))
-    for a in range(1, 5):
-        for b in range(5, 9):
-            n[a, b] = n[b, a] = 50
-    of = brown.exchange(n, 2)
-    assert len(set(of[1:5])) == 1 and len(set(of[5:9])) == 1 and of[1] != of[5]
-
-
 def test_url_filter(spark, data):
     assert same(queries.op10_url_filter(spark, data), connection(data), queries.OP10_SQL)
     urls = ["HTTP://Example.COM/de/x?q", "x://a.example.net/en/", "//none", None, "http://b.org/fr", "http://b.org/fr/?", "http://NOT-example.net/en/1", "http://listed.io#x"]
