@@ -7,7 +7,9 @@ fingerprint has its home key at the nearest codeword and probe keys at all codew
 the nearest is 3 away). If segments x and y differ in one bit, y's nearest codeword is within 3 of y, so within 4 of x:
 the home key of one is a probe key of the other. Joined pairs are verified by their exact distance, so the links are exact.
 
-Equal fingerprints are one node, so copies are never paired. Defined results: a null or empty text has fingerprint zero and
+Equal fingerprints are one node, so copies are never paired. A key that many fingerprints have as their home is dense: its homes
+and its probes are dealt into blocks, and each pair of blocks gives only a forest of its links, which connects what all links
+connect. So a large group of near copies gives links in proportion to its blocks, not all its pairs. Defined results: a null or empty text has fingerprint zero and
 is linked like any other; of repeated ids each row keeps its own fingerprint; null ids get a fingerprint but never name a
 component unless it has no other id (then null); an empty table gives an empty table.
 """
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywell.llm.common import mapped, shared_checkpoint
+from tallywell.llm.common import mapped, shared_checkpoint, written
 from tallywell.llm.graph import connected_components
 
 SHINGLE, SEED = 3, 42
@@ -104,12 +106,65 @@ def keyed(nodes: DataFrame, home: bool) -> DataFrame:
     return nodes.select("fp").mapInArrow(run, "k bigint, fp bigint")
 
 
+#: A key with more homes than this is dense; rows of a block of a dense key.
+DENSE, BLOCK = 256, 4096
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a and b (both distinct) within MOST_BITS bits that connect all that such pairs connect; fewer than len(a) + len(b)."""
+    both = np.concatenate([a, b])
+    order = np.argsort(both, kind="stable")
+    label = np.empty(len(both), np.int64)  # equal fingerprints have a label from the start
+    label[order] = np.cumsum(np.concatenate([[True], np.diff(both[order]) != 0])) - 1
+    left, right = [], []
+    for at in range(0, len(a), 256):
+        near = np.bitwise_count((a[at : at + 256, None] ^ b[None, :]).view(np.uint64)) <= MOST_BITS
+        for i in np.flatnonzero(near.any(1)):
+            own = label[at + i]
+            cols = np.flatnonzero(near[i])
+            cols = cols[label[len(a) + cols] != own]
+            if len(cols):
+                others, first = np.unique(label[len(a) + cols], return_index=True)
+                left.append(np.full(len(first), a[at + i]))
+                right.append(b[cols[first]])
+                label[np.isin(label, others)] = own
+    return (np.concatenate(left), np.concatenate(right)) if left else (a[:0], a[:0])
+
+
+def dense_links(home: DataFrame, probe: DataFrame, homes: DataFrame) -> DataFrame:
+    """a and b: forests of the links of each pair of blocks. homes: k and n, the dense keys' number of homes."""
+    probes = probe.join(homes.select("k"), "k", "left_semi").groupBy("k").agg(F.count("*").alias("m"))
+    blocks = homes.join(probes, "k").select("k", F.ceil(F.col("n") / BLOCK).alias("hs"), F.ceil(F.col("m") / BLOCK).alias("ps"))
+    blocks = shared_checkpoint(blocks)
+
+    def dealt(rows: DataFrame, own: str, other: str, name: str, other_name: str) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other) - 1)).alias(other_name)
+        return rows.join(blocks, "k").select("k", F.pmod(F.xxhash64("fp"), F.col(own)).alias(name), "fp", every)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        x, y = (np.array(t.column("fp"), np.int64) for t in (left, right))
+        return pa.table(dict(zip(("a", "b"), forest(x, y))))
+
+    by = ["k", "i", "j"]
+    return dealt(home, "hs", "ps", "i", "j").groupBy(*by).cogroup(dealt(probe, "ps", "hs", "j", "i").groupBy(*by)).applyInArrow(run, "a bigint, b bigint")
+
+
 def links(nodes: DataFrame) -> DataFrame:
-    """Each pair a < b of the distinct fingerprints `fp` that differ in at most MOST_BITS bits, once."""
-    home, probe = keyed(nodes, True).withColumnRenamed("fp", "a"), keyed(nodes, False).withColumnRenamed("fp", "b")
+    """Pairs of the distinct fingerprints `fp` that differ in at most MOST_BITS bits, a < b, each once: all but for dense keys, and what connects all."""
+    # The few bytes of each node become many rows, so they are dealt out first.
+    nodes = nodes.select("fp").repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    home, probe = keyed(nodes, True), keyed(nodes, False)
+    homes = shared_checkpoint(home.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > DENSE))
+    dense = not homes.isEmpty()
+    few = home.join(homes, "k", "left_anti") if dense else home
+    left, right = few.withColumnRenamed("fp", "a"), probe.withColumnRenamed("fp", "b")
     differ = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     # Both fingerprints have probes at each other's home, so one order of the pair is enough.
-    return home.join(probe.hint("merge"), (home["k"] == probe["k"]) & (F.col("a") < F.col("b")) & (differ <= MOST_BITS)).select("a", "b").distinct()
+    pairs = left.join(right.hint("merge"), (left["k"] == right["k"]) & (F.col("a") < F.col("b")) & (differ <= MOST_BITS)).select("a", "b")
+    if dense:
+        more = dense_links(home, probe, homes)
+        pairs = pairs.union(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    return pairs.distinct()
 
 
 def components(prints: DataFrame) -> DataFrame:
@@ -131,12 +186,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
     """The first row of each group of near duplicates, all columns; every row belongs to one group, also those without an id.
 
-    Rows are told apart by their place in `docs`, so it must be read from files (as a stage of a pipeline does), where each
-    reading gives the same places.
+    The rows are numbered in a table in the shared folder, so that each has the same number whenever it is read.
     """
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    first = near_duplicates(numbered, "_row", text).where("doc_id = component_id").select(F.col("doc_id").alias("_row"))
-    return numbered.join(first, "_row", "left_semi").select(*docs.columns)
+    row = "row"
+    while row in docs.columns:
+        row += "_"
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    first = near_duplicates(numbered, row, text).where("doc_id = component_id").select(F.col("doc_id").alias(row))
+    return numbered.join(first, row, "left_semi").select(*docs.columns)
 
 
 def digests(found: DataFrame) -> DataFrame:

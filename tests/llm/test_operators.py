@@ -89,15 +89,6 @@ def test_toxicity_finds_the_sentence():
     assert score > 0.5 and len(found) == 1 and "awful" in (texts[0] + " what awful luck. ")[found[0]["start"] : found[0]["end"]]
 
 
-def test_nearest_neighbours(spark, data):
-    assert same(queries.op3_ann(spark, data), connection(data), queries.OP3_SQL)
-    rows = [(i, [float(i % 7), 1.0, float(-i)]) for i in range(100)] + [(5, [9.0, 9.0, 9.0]), (200, None), (201, [0.0, 0.0, 0.0]), (202, [float("nan"), 1.0, 1.0]), (None, [1.0, 1.0, 1.0]), (203, [])]
-    v = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
-    got = ann.nearest(v, v.where("vec_id = 20"), 3).orderBy("rank").collect()
-    best = sorted((-(6.0 * x[1][0] + 1.0 * x[1][1] - 20.0 * x[1][2]), x[0]) for x in rows[:100] if x[0] not in (5, 20))[:3]
-    assert [(r.vec_id, r.score) for r in got] == [(i, -s) for s, i in best]
-
-
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 
 
@@ -125,14 +116,6 @@ def test_secrets_base_and_entropy(data):
     assert secrets.find("internationalizationOfApplications and some_long_identifier_name_2024") == []
 
 
-def test_simhash_links_are_exact(spark):
-    rng = np.random.default_rng(3)
-    base = rng.integers(-(2**63), 2**63, 40)
-    fps = sorted({int(b) ^ sum(1 << int(p) for p in rng.choice(62, int(rng.integers(0, 6)), replace=False)) for b in base for _ in range(12)})
-    got = {(r.a, r.b) for r in simhash.links(spark.createDataFrame([(f,) for f in fps], "fp bigint")).collect()}
-    assert got == {(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= 3}
-
-
 def test_components(spark):
     rng = np.random.default_rng(4)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(i, i + 1) for i in range(1000, 1200)]
