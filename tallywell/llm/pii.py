@@ -1,11 +1,13 @@
 """Personal data with offset-preserving deobfuscation.
 
 The plain patterns give the base spans. A transducer then rewrites disguises to plain characters: homoglyphs and other
-compatibility forms, zero-width characters, digits spelled out, and at/dot written in words, brackets or entities. It keeps
-for each piece of the rewritten text where it came from, so what the same patterns find there is mapped back to code points
-of the source. A mapped span is added unless a base span of its kind covers it; base spans always stay.
+compatibility forms (also those of several letters), zero-width characters, digits spelled out in English, French, German or
+Spanish, and at/dot written in words of these languages, brackets or entities. It keeps for each piece of the rewritten text where
+it came from, so what the same patterns find there is mapped back to code points of the source. A mapped span is added unless a
+base span of its kind covers it; base spans always stay. A bare "at" in plain words is prose far more often than an address:
+it counts before a dot in disguise, or where the word before it has a figure, dot or underscore and a host name follows.
 
-Every finder takes time linear in the text. Defined results: a null or empty text has no spans; repeated rows are searched
+Every finder takes time linear in the text: no pattern begins with white space. Defined results: a null or empty text has no spans; repeated rows are searched
 each for itself; an empty table gives an empty table; only the id and the text are read.
 """
 
@@ -71,22 +73,37 @@ def phones(text: str) -> Found:
 FINDERS: tuple[Callable[[str], Found], ...] = (emails, ips, cards, phones)
 
 #: Letters of other scripts that look like Latin ones (compatibility forms such as full-width need no list: NFKC gives them).
-HOMOGLYPHS = str.maketrans("аеорсухіјѕԁһԛԝвкмтнзАВЕКМНОРСТУХІЅЈοαερνικτυχΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijsdhqwbkmth3ABEKMHOPCTYXISJoaepviktuxABEZHIKMNOPTYX")
+HOMOGLYPHS = str.maketrans("аеорсухіјѕԁһԛԝвкмтнзАВЕКМНОРСТУХІЅЈοαερνικτυχΑΒΕΖΗΙΚΜΝΟΡΤΥΧı", "aeopcyxijsdhqwbkmth3ABEKMHOPCTYXISJoaepviktuxABEZHIKMNOPTYXi")
 HIDDEN = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 DASHES = "\u2010\u2011\u2012\u2013\u2014\u2015\u2212"
-SPELLED = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
-DIGIT = rf"(?:{'|'.join(SPELLED)}|[0-9])"
+NUMBERS = (
+    "zero one two three four five six seven eight nine",
+    "zéro un deux trois quatre cinq six sept huit neuf",
+    "null eins zwei drei vier fünf sechs sieben acht neun",
+    "cero uno dos tres cuatro cinco seis siete ocho nueve",
+)
+SPELLED = {w: str(i) for words in NUMBERS for i, w in enumerate(words.split())} | {"oh": "0", "zwo": "2"}
+DIGIT = rf"(?:{'|'.join(sorted(SPELLED, key=len, reverse=True))}|[0-9])"
+PLUS = "plus|más"
 #: Digits spelled out, one after another; at least three words.
-RUN = rf"\b(?:plus[ ,-]{{1,2}})?{DIGIT}(?:[ ,-]{{1,2}}{DIGIT}){{2,}}\b"
-AT = r"\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|&#(?:64|x40);|&commat;|%40"
-DOT = r"\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|&#(?:46|x2e);|&period;"
-#: The bare word "at" only counts before a name and a dot in disguise: "look at example.com" is plain prose.
-BARE_AT = rf"\s+at\s+(?=[a-z0-9-]+(?:\s+dot\s+|{DOT}))"
-BARE_DOT = r"(?<=[a-z0-9])\s+dot\s+(?=[a-z0-9])"
-ODD = rf"[^\x00-\x7f\u00a1-\u00a9\u00ab\u00ac\u00ae-\u00b1\u00b4\u00b6\u00b7\u00bb\u00bf-\u024f\u2018-\u201f\u2026\u20ac]|[{HIDDEN}]"
+RUN = rf"\b(?:(?:{PLUS})[ ,-]{{1,2}})?{DIGIT}(?:[ ,-]{{1,2}}{DIGIT}){{2,}}\b"
+#: Words for @ and for a dot; the first at is prose too, the others are not.
+AT_WORDS = "at|arobase|arroba|klammeraffe"
+DOT_WORDS = "dot|punkt|point|punto"
+# White space before a disguise is taken up afterwards, so that runs of it are looked at once.
+AT = rf"[\[({{<]\s*(?:{AT_WORDS}|@)\s*[\])}}>]\s*|&#(?:64|x40);|&commat;|%40"
+DOT = rf"[\[({{<]\s*(?:{DOT_WORDS}|\.)\s*[\])}}>]\s*|&#(?:46|x2e);|&period;"
+BARE_AT = rf"(?<=\s)(?:{AT_WORDS})\s+(?=[a-z0-9])"
+BARE_DOT = rf"(?<=\s)(?:{DOT_WORDS})\s+(?=[a-z0-9])"
+#: A host's first label, and a dot in disguise after it.
+DISGUISED = re.compile(rf"(?i:[a-z0-9-]{{1,63}}(?:\s{{1,4}}(?:{DOT_WORDS})\s|\s{{0,4}}(?:{DOT})))")
+HOST = re.compile(r"[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}(?![A-Za-z0-9-])")
+ODD = rf"[^\x00-\x7f\u00a1-\u00a9\u00ab\u00ac\u00ae-\u00b1\u00b4\u00b6\u00b7\u00bb\u00bf-\u0130\u0132-\u024f\u2018-\u201f\u2026\u20ac]|[{HIDDEN}]"
 #: Whether the transducer has anything to do; most texts end here.
-TRIGGER = re.compile(rf"(?i:\bdot\b|[\[({{<]\s*(?:at|@|dot|\.)\s*[\])}}>]|&#(?:64|46|x40|x2e);|&commat;|&period;|%40|\b(?:{'|'.join(SPELLED)})[ ,-]{{1,2}}{DIGIT}\b)|{ODD}")
-REWRITE = re.compile(rf"(?P<run>(?i:{RUN}))|(?P<at>(?i:{AT}|{BARE_AT}))|(?P<dot>(?i:{DOT}|{BARE_DOT}))|(?P<odd>{ODD})")
+TRIGGER = re.compile(
+    rf"(?i:\b(?:{DOT_WORDS}|arobase|arroba|klammeraffe)\b|\bat\s+[a-z0-9-]{{1,63}}\.[a-z]|[\[({{<]\s*(?:{AT_WORDS}|@|{DOT_WORDS}|\.)\s*[\])}}>]|&#(?:64|46|x40|x2e);|&commat;|&period;|%40|\b{DIGIT}[ ,-]{{1,2}}{DIGIT}[ ,-]{{1,2}}{DIGIT}\b)|{ODD}"
+)
+REWRITE = re.compile(rf"(?P<run>(?i:{RUN}))|(?P<at>(?i:{AT}))|(?P<dot>(?i:{DOT}))|(?P<bare_at>(?i:{BARE_AT}))|(?P<bare_dot>(?i:{BARE_DOT}))|(?P<odd>{ODD})")
 
 
 def plain_char(c: str) -> str | None:
@@ -102,7 +119,7 @@ def plain_char(c: str) -> str | None:
             got = "."
         if len(got) == 1 and not got.isascii() and (d := unicodedata.digit(got, None)) is not None:
             got = str(d)
-    return got if len(got) == 1 and got.isascii() else None
+    return got if got and got.isascii() else None
 
 
 class Transduced:
@@ -114,11 +131,11 @@ class Transduced:
         self.source: list[tuple[int, int, bool]] = []  # its source span, and whether it is copied as it stands
         self.length, done = 0, 0
         for m in REWRITE.finditer(text):
-            pieces = self.rewritten(m)
+            pieces = self.rewritten(m, done)
             if pieces is None:
                 continue
-            if m.start() > done:
-                self.add(text[done : m.start()], done, m.start(), True)
+            if pieces and pieces[0][1] > done:
+                self.add(text[done : pieces[0][1]], done, pieces[0][1], True)
             for to, start, end in pieces:
                 self.add(to, start, end, False)
             done = m.end()
@@ -134,16 +151,38 @@ class Transduced:
             self.source.append((start, end, copied))
             self.length += len(to)
 
-    def rewritten(self, m: re.Match) -> list[tuple[str, int, int]] | None:
-        if m.lastgroup == "odd":
+    def rewritten(self, m: re.Match, done: int) -> list[tuple[str, int, int]] | None:
+        """The pieces that stand for a match, with their source spans; None if it stays as it is. `done`: where the last one ended."""
+        kind = m.lastgroup
+        if kind == "odd":
             to = plain_char(m[0])
             return None if to is None else [(to, *m.span())]
-        if m.lastgroup != "run":
-            return [("@" if m.lastgroup == "at" else ".", *m.span())]
-        words = [(w, m.start() + a.start(), m.start() + a.end()) for a in re.finditer(r"[A-Za-z]+|[0-9]", m[0]) if (w := a[0].lower())]
-        if not any(w in SPELLED for w, _, _ in words):
-            return None  # figures with spaces are for the plain patterns
-        return [("+" if w == "plus" else SPELLED.get(w, w), a, b) for w, a, b in words]
+        if kind == "run":
+            words = [(w, m.start() + a.start(), m.start() + a.end()) for a in re.finditer(r"[^\W\d_]+|[0-9]", m[0]) if (w := a[0].lower())]
+            if not any(w in SPELLED for w, _, _ in words):
+                return None  # figures with spaces are for the plain patterns
+            return [(SPELLED.get(w, "+" if w in PLUS.split("|") else w), a, b) for w, a, b in words]
+        text, start = m.string, m.start()
+        while start > done and text[start - 1].isspace():
+            start -= 1
+        if kind.startswith("bare") and not (self.bare_at if kind == "bare_at" else self.bare_dot)(m, start, done):
+            return None
+        return [("@" if kind.endswith("at") else ".", start, m.end())]
+
+    def bare_at(self, m: re.Match, start: int, done: int) -> bool:
+        before = re.search(r"[A-Za-z0-9._%+-]*$", m.string[max(done, start - 64) : start])[0]
+        if not before and not (done == start and self.source):
+            return False
+        if DISGUISED.match(m.string, m.end()):
+            return True
+        return bool((m[0].split()[0].lower() != "at" or re.search(r"[0-9._]", before)) and HOST.match(m.string, m.end()))
+
+    def bare_dot(self, m: re.Match, start: int, done: int) -> bool:
+        """English "dot" after any word; the others, which are words of prose too, only within an address: after an @ or what stands for one."""
+        before = re.search(r"\S*$", m.string[max(done, start - 64) : start])[0]
+        if m[0].split()[0].lower() == "dot":
+            return bool(before) and (before[-1].isascii() and before[-1].isalnum())
+        return ("@" in before and "." not in before.rpartition("@")[2]) or (bool(before) and len(before) == start - done and bool(self.parts) and self.parts[-1] in "@.")
 
     def back(self, start: int, end: int) -> tuple[int, int, bool]:
         """The source span of a span of the rewritten text, and whether any rewritten piece is in it."""
