@@ -121,13 +121,21 @@ def classify_error(message: Column) -> Column:
     return F.when(message.rlike("(?i)timeout|deadline"), "TIMEOUT").otherwise("CONVERSION_FAILED")
 
 
+def last_of_each(entries: Column, key: str = "key") -> Column:
+    """Structs of an array without those whose key comes again later; a map of them can't meet a key twice."""
+    return F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later[key] == e[key]))
+
+
 def plan_prices(text: Column) -> Column:
-    """"free=0,pro=12" as a map of doubles; parts that aren't a name and a number are left out."""
-    parts = F.transform(F.split(text, ","), lambda p: F.split(F.trim(p), "="))
-    pairs = F.transform(parts, lambda p: F.struct(F.lower(F.trim(F.get(p, F.lit(0)))).alias("k"), F.expr("try_cast(null as double)").alias("v")))
-    pairs = F.transform(parts, lambda p: F.struct(F.lower(F.trim(F.get(p, F.lit(0)))).alias("k"), F.trim(F.get(p, F.lit(1))).try_cast("double").alias("v")))
-    good = F.filter(pairs, lambda p: p["v"].isNotNull() & (p["k"] != "") & (p["v"] >= 0))
-    return F.map_from_entries(good)
+    """"free=0,pro=12" as a map of doubles; parts that aren't a name and a number are left out, of a repeated name the last counts."""
+    number = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+
+    def entry(part: Column) -> Column:
+        name, value = F.trim(F.substring_index(part, "=", 1)), F.trim(F.regexp_extract(part, r"^[^=]*=(.*)$", 1))
+        return F.struct(F.when(F.contains(part, F.lit("=")), name).otherwise("").alias("key"), F.when(value.rlike(number), value.try_cast("double")).alias("value"))
+
+    good = F.filter(F.transform(F.split(text, ","), entry), lambda e: (e["key"] != "") & e["value"].isNotNull())
+    return F.map_from_entries(last_of_each(good))
 
 
 def format_duration(seconds: Column) -> Column:
@@ -136,7 +144,8 @@ def format_duration(seconds: Column) -> Column:
 
 
 def compression_ratio(original: Column, compressed: Column) -> Column:
-    return F.format_string("%.2f%%", F.when(original > 0, (original - compressed) * 100.0 / original).otherwise(F.lit(0.0)))
+    # a tie goes to the even digit
+    return F.format_string("%.2f%%", F.bround(F.when(original > 0, (original - compressed) * 100.0 / original).otherwise(F.lit(0.0)), 2))
 
 
 def safe_dpi(width: Column, height: Column, asked: Column, longest: Column) -> Column:
@@ -198,3 +207,40 @@ def quad_area(x: list[Column], y: list[Column]) -> Column:
     """Shoelace area of a quadrilateral from its corners in order."""
     terms = [x[i] * y[(i + 1) % 4] - x[(i + 1) % 4] * y[i] for i in range(4)]
     return F.abs(reduce(lambda a, b: a + b, terms)) / 2
+
+
+def quad_convex(x: list[Column], y: list[Column]) -> Column:
+    """Whether all turns from side to side have one direction; corners in one line are degenerate."""
+    turns = []
+    for i in range(4):
+        j, k = (i + 1) % 4, (i + 2) % 4
+        turns.append((x[j] - x[i]) * (y[k] - y[j]) - (y[j] - y[i]) * (x[k] - x[j]))
+    return (F.least(*turns) >= 1e-12) | (F.greatest(*turns) <= -1e-12)
+
+
+def quad_angles(x: list[Column], y: list[Column]) -> list[Column]:
+    """The inner angle at each corner in degrees; 0 where two corners are the same."""
+    out = []
+    for i in range(4):
+        to = [(x[k] - x[i], y[k] - y[i]) for k in ((i + 3) % 4, (i + 1) % 4)]
+        size = F.hypot(*to[0]) * F.hypot(*to[1])
+        cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (to[0][0] * to[1][0] + to[0][1] * to[1][1]) / F.nullif(size, F.lit(0.0))))
+        out.append(F.coalesce(F.degrees(F.acos(cosine)), F.lit(0.0)))
+    return out
+
+
+def quad_usable(x: list[Column], y: list[Column]) -> Column:
+    """Corners in or near the unit square, convex, an area of 0.05 or more, angles from 30 to 150 degrees."""
+    near = F.forall(F.array(*x, *y), lambda v: v.between(-0.05, 1.05))
+    sharp = F.forall(F.array(*quad_angles(x, y)), lambda a: a.between(30, 150))
+    return near & quad_convex(x, y) & (quad_area(x, y) >= 0.05) & sharp
+
+
+def ordered_corners(points: Column) -> Column:
+    """Of four points (structs of x and y) the top left, top right, bottom right and bottom left ones; of equal ones the first."""
+
+    def first(by: Column, largest: bool) -> Column:
+        values = F.transform(points, (lambda p: p["x"] + p["y"]) if by == "sum" else (lambda p: p["x"] - p["y"]))
+        return F.element_at(points, F.array_position(values, F.array_max(values) if largest else F.array_min(values)).cast("int"))
+
+    return F.struct(first("sum", False).alias("tl"), first("difference", True).alias("tr"), first("sum", True).alias("br"), first("difference", False).alias("bl"))

@@ -167,11 +167,17 @@ def dau_trend(log: DataFrame, p: Period) -> DataFrame:
     return in_period(log, p).where(registered()).groupBy(day().alias("date")).agg(F.count_distinct("user_id").alias("dau"))
 
 
+def users_by(log: DataFrame, conditions: dict[str, Column]) -> DataFrame:
+    """How many users have a row for which each condition holds: one aggregation by user with a flag each, so no row is multiplied."""
+    flags = log.groupBy("user_id").agg(*(F.max(F.coalesce(c, F.lit(False))).alias(n) for n, c in conditions.items()))
+    return flags.agg(*(count_of(F.col(n)).alias(n) for n in conditions))
+
+
 def dau_wau_mau(log: DataFrame, now: datetime) -> DataFrame:
     start = now.replace(hour=0, minute=0, second=0, microsecond=0)
     t = F.col("created_at")
-    own = log.where(registered() & (t >= at(now - timedelta(days=30))))
-    return own.agg(*(users_where(t >= at(s)).alias(n) for n, s in (("dau", start), ("wau", now - timedelta(days=7)), ("mau", now - timedelta(days=30)))))
+    since = {"dau": start, "wau": now - timedelta(days=7), "mau": now - timedelta(days=30)}
+    return users_by(log.where(registered() & (t >= at(now - timedelta(days=30)))), {n: t >= at(s) for n, s in since.items()})
 
 
 def stickiness(log: DataFrame, p: Period) -> DataFrame:
@@ -211,7 +217,7 @@ def retention_cohorts(log: DataFrame, p: Period) -> DataFrame:
 def funnel(log: DataFrame, p: Period) -> DataFrame:
     own = in_period(log, p).where("user_id IS NOT NULL")
     steps = {"signed_up": "user.signup", "created_job": "job.created", "completed_job": "job.completed"}
-    return own.agg(*(users_where(is_type(t)).alias(n) for n, t in steps.items()))
+    return users_by(own, {n: is_type(t) for n, t in steps.items()})
 
 
 def repeat_users(log: DataFrame, p: Period) -> DataFrame:
@@ -246,12 +252,12 @@ def exec_success_spark(log: DataFrame, p: Period) -> DataFrame:
 
 def exec_active_users(log: DataFrame, p: Period) -> DataFrame:
     own = log.where(registered() & within("created_at", p.previous, p.now))
-    return own.agg(users_where(F.col("created_at") >= at(p.since)).alias("current"), users_where(F.col("created_at") < at(p.since)).alias("previous"))
+    return users_by(own, {"current": F.col("created_at") >= at(p.since), "previous": F.col("created_at") < at(p.since)})
 
 
 def exec_total_users(log: DataFrame, p: Period) -> DataFrame:
     own = log.where(is_type("user.signup") & F.col("user_id").isNotNull() & (F.col("created_at") < at(p.now)))
-    return own.agg(F.count_distinct("user_id").alias("current"), users_where(F.col("created_at") < at(p.since)).alias("previous"))
+    return users_by(own, {"current": F.lit(True), "previous": F.col("created_at") < at(p.since)})
 
 
 def exec_total_spark(log: DataFrame, p: Period) -> DataFrame:
@@ -353,8 +359,12 @@ def agg_plan_at(log: DataFrame, cutoff: datetime) -> DataFrame:
 def mrr(log: DataFrame, p: Period, prices: dict[str, float] | None = None) -> DataFrame:
     """Revenue of a month and a year at the plans' prices, now and before the period."""
     prices = PRICES if prices is None else prices
-    at_end, before = (agg_plan_at(log, t).agg(F.coalesce(F.sum(F.col("users") * price_of(F.col("plan_name"), prices)), F.lit(0.0)).alias(n)) for t, n in ((p.now, "mrr"), (p.since, "previous_mrr")))
-    return at_end.join(F.broadcast(before)).select("mrr", (F.col("mrr") * 12).alias("arr"), "previous_mrr")
+    order = F.struct("created_at", "id")
+    # each user's latest plan at both times, from one scan and one shuffle by user
+    early = F.col("created_at") < at(p.since)
+    plans = plans_told(log).where(F.col("created_at") < at(p.now)).groupBy("user_id").agg(F.max_by("plan_name", order).alias("now"), F.max_by("plan_name", F.when(early, order)).alias("before"))
+    total = lambda c: F.coalesce(F.sum(price_of(F.col(c), prices)), F.lit(0.0))
+    return plans.agg(total("now").alias("mrr"), (total("now") * 12).alias("arr"), total("before").alias("previous_mrr"))
 
 
 def mrr_trend(log: DataFrame, p: Period, prices: dict[str, float] | None = None) -> DataFrame:

@@ -6,10 +6,13 @@ Samples of a metric are rows of (ts, metric, labels, le, value); histograms have
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from tallywell.functions.expr import Period, at, ratio, within
 
@@ -226,26 +229,26 @@ def alert_fingerprint(labels: Column) -> Column:
 def alert_throttle(alerts: DataFrame, repeat: timedelta, key: str = "fingerprint", ts: str = "ts", firing: str = "firing") -> DataFrame:
     """Each arrival with `notify`: the first of a firing spell, then whenever `repeat` has passed since the last notice, and the first resolution of a spell.
 
-    The repeats within a spell depend on the notice before, so each spell's times are folded in order, within one array of a spell.
+    The repeats depend on the notice before, so each key's rows pass in order of time, and only its last notice is held.
     """
-    order = Window.partitionBy(key).orderBy(ts, F.desc(firing))
-    before = F.coalesce(F.lag(firing).over(order), F.lit(False))
-    spell = F.sum(F.when(F.col(firing) & ~before, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = alerts.withColumn("_before", before).withColumn("_spell", spell)
-    us = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01', {ts})")
-    least = int(repeat.total_seconds() * 1_000_000)
-    times = rows.where(firing).groupBy(key, "_spell").agg(F.array_sort(F.collect_list(us)).alias("times"))
-    start = F.expr("named_struct('last', cast(null as bigint), 'told', cast(array() as array<bigint>))")
-
-    def fold(acc: Column, t: Column) -> Column:
-        tell = acc["last"].isNull() | (t - acc["last"] >= least)
-        return F.struct(F.when(tell, t).otherwise(acc["last"]).alias("last"), F.when(tell, F.concat(acc["told"], F.array(t))).otherwise(acc["told"]).alias("told"))
-
-    told = times.select(key, "_spell", F.aggregate("times", start, fold)["told"].alias("told"))
-    out = rows.join(told, [key, "_spell"], "left").withColumn("_us", us)
-    nth = F.row_number().over(Window.partitionBy(key, "_spell", "_us", firing).orderBy(F.lit(1)))
-    notify = F.when(F.col(firing), F.coalesce(F.array_contains("told", F.col("_us")), F.lit(False)) & (nth == 1)).otherwise(F.col("_before"))
-    return out.withColumn("notify", notify).drop("_before", "_spell", "_us", "told")
+    least = repeat.total_seconds()
+    schema = StructType([*alerts.schema.fields, StructField("notify", BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last, before = object(), None, False
+        for b in batches:
+            out = []
+            for k, t, f in zip(*(b.column(c).to_pylist() for c in (key, ts, firing))):
+                if k != now:
+                    now, last, before = k, None, False
+                if f and not before:
+                    last = None
+                tell = (last is None or (t - last).total_seconds() >= least) if f else before
+                last, before = (t if tell else last) if f else last, bool(f)
+                out.append(tell)
+            yield b.append_column("notify", pa.array(out, pa.bool_()))
+
+    return alerts.repartition(key).sortWithinPartitions(key, ts, F.desc(firing)).mapInArrow(run, schema)
 
 
 def cpu_usage(samples: DataFrame, key: list[str], ts: str = "ts") -> DataFrame:

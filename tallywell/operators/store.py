@@ -168,12 +168,54 @@ def folder_deleted(docs: DataFrame, folder: str) -> DataFrame:
 
 
 def merged_metadata(old: Column, new: Column) -> Column:
-    """JSON objects of strings merged, the newer value of a key last; null counts as {}."""
-    as_map = lambda c: F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    """JSON objects merged at their first level, values of any kind as they are, the newer value of a key last; null counts as {}."""
+    as_map = lambda c: F.coalesce(F.from_json(c, "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>"))
     o, n = as_map(old), as_map(new)
     return F.to_json(F.map_concat(F.map_filter(o, lambda k, v: ~F.map_contains_key(n, k)), n))
 
 
+def without_reset_tokens(tokens: DataFrame, now: datetime, user: int | None = None) -> DataFrame:
+    """The reset tokens that stay after a user's own and the expired ones go (one that ends right now is no longer valid, but stays)."""
+    kept = tokens.where(F.col("expires_at") >= at(now))
+    return kept.where(F.col("user_id").isNull() | (F.col("user_id") != user)) if user is not None else kept
+
+
+def replaced_outputs(files: DataFrame, outputs: DataFrame) -> DataFrame:
+    """The files after new outputs (job_id, path) take the place of their jobs' old ones."""
+    old = (F.col("kind") == "output").alias("old")
+    new = outputs.where(F.coalesce(F.col("path"), F.lit("")) != "").select("job_id", F.lit("output").alias("kind"), "path")
+    kept = files.where(~old).unionByName(files.where(old).join(new.select("job_id").distinct(), "job_id", "left_anti"))
+    return kept.unionByName(new)
+
+
+def folders_after_delete(folders: DataFrame, folder: str, now: datetime) -> DataFrame:
+    """The folders after one is deleted: it is marked, once; its documents are folder_deleted's."""
+    own = (F.col("name") == folder) & F.col("deleted_at").isNull()
+    return folders.withColumn("deleted_at", F.when(own, at(now)).otherwise(F.col("deleted_at")))
+
+
+def by_name(rows: DataFrame, parent: int | None = None) -> DataFrame:
+    """Folders or tags in the order of their names, of one parent if it is given."""
+    return (rows.where(F.col("parent_id") == parent) if parent is not None else rows).orderBy("name", "id")
+
+
+def job_expiry(user: Column, plan: Column, created: Column, hours: dict[str, int]) -> Column:
+    """When a job goes: by the hours of guests, of "pro", else of "free"."""
+    ttl = F.when(user.isNull(), hours["guest"]).when(plan == "pro", hours["pro"]).otherwise(hours["free"])
+    return created + F.make_dt_interval(F.lit(0), ttl.cast("int"))
+
+
+# Services whose dead letters can be sent again.
+REDRIVABLE = ("convert-to-pdf", "convert-from-pdf", "organize-pdf", "optimize-pdf")
+
+
+def redriven(letters: DataFrame, limit: int = 50) -> DataFrame:
+    """How many of the oldest dead letters (seq, service) are sent again and how many stay; limits outside 1 to 500 count as 50."""
+    batch = letters.orderBy("seq").limit(limit if 0 < limit <= 500 else 50)
+    again = F.col("service").isin(*REDRIVABLE)
+    return batch.agg(F.count_if(again).alias("redriven"), F.count_if(~F.coalesce(again, F.lit(False))).alias("skipped"))
+
+
 def upserted(table: DataFrame, changes: DataFrame, key: list[str], order: str) -> DataFrame:
     """The table after the changes: for each key the latest change, else the old row; same columns, `order` only in the changes."""
     latest = Window.partitionBy(*key).orderBy(F.desc(order))

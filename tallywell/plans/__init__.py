@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallywell.plans import analytics, metrics, store
+from tallywell.plans import analytics, metrics, service, store
 
-MODULES = (analytics, metrics, store)
+MODULES = (analytics, metrics, store, service)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

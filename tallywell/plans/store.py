@@ -70,6 +70,8 @@ ONE = "CASE WHEN b >= 1 AND b <= 40 THEN [b] ELSE []::BIGINT[] END"
 joined = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), " ")
 grouped = lambda c: F.array_join(F.transform(c, joined), "|")
 
+parts = lambda c, name: [F.get_json_object(c, f"$.{k}").alias(f"{name}_{k}") for k in "kns"]
+
 KEYS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "page_documents": (lambda s, d: O.paged(listed(O.alive(O.scoped(T.documents(s, d), 4, None))), O.newest(), 1, 25, 100), f"{D} SELECT {LIST} FROM d WHERE user_id = 4 AND organization_id IS NULL AND deleted_at IS NULL ORDER BY created_at DESC, id DESC LIMIT 25"),
     "p_scope": (lambda s, d: listed(O.scoped(T.documents(s, d), 4, 2)), f"{D} SELECT {LIST} FROM d WHERE organization_id = 2"),
@@ -118,8 +120,8 @@ KEYS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     ),
     "dml_soft_delete_folder": (lambda s, d: listed(O.folder_deleted(T.documents(s, d), "src3")), f"{D} SELECT id, user_id, organization_id, nullif(folder, 'src3') AS folder, name, status, file_size, created_at FROM d"),
     "dml_json_merge": (
-        lambda s, d: table(s, d, "events").select("event_id", F.get_json_object(O.merged_metadata(F.col("props"), F.lit('{"k":"7","n":"1"}')), "$.k").alias("k"), F.get_json_object(O.merged_metadata(F.lit('{"n":"1"}'), F.col("props")), "$.k").alias("k2")),
-        "SELECT event_id, '7' AS k, json_extract_string(props, '$.k') AS k2 FROM events",
+        lambda s, d: table(s, d, "events").select("event_id", *parts(O.merged_metadata(F.col("props"), F.lit('{"n":{"a":[1,true]},"s":"x"}')), "a"), *parts(O.merged_metadata(F.lit('{"k":"old","n":1.5}'), F.col("props")), "b")),
+        """SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS a_k, '{"a":[1,true]}' AS a_n, 'x' AS a_s, CAST(json_extract(props, '$.k') AS VARCHAR) AS b_k, '1.5' AS b_n, NULL::VARCHAR AS b_s FROM events""",
     ),
     "sink_upsert": (
         lambda s, d: O.upserted(T.memberships(s, d), T.memberships(s, d).where("user_id % 3 = 0").select("organization_id", "user_id", F.lit("owner").alias("role"), F.lit(1).alias("at")).union(T.memberships(s, d).where("user_id % 6 = 0").select("organization_id", "user_id", F.lit("viewer"), F.lit(2))), ["organization_id", "user_id"], "at"),
@@ -139,13 +141,18 @@ KEYS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     ),
     "tool_service": (
         lambda s, d: tools(s, d).select("o_orderkey", S.tool_service(F.col("tool")).alias("service")),
-        f"{TOOLS} SELECT o_orderkey, CASE " + " ".join(f"WHEN tool IN ({', '.join(repr(t) for t in x)}) THEN '{n}'" for n, x in S.SERVICES.items()) + " END AS service FROM x",
+        # written out, so that it shares nothing with the columns it is compared with
+        f"""{TOOLS} SELECT o_orderkey, CASE
+  WHEN tool IN ('pdf-to-word', 'pdf-to-docx', 'pdf-to-excel', 'pdf-to-xlsx', 'pdf-to-powerpoint', 'pdf-to-ppt', 'pdf-to-pptx', 'pdf-to-image', 'pdf-to-img', 'pdf-to-html', 'pdf-to-text', 'pdf-to-txt', 'pdf-to-pdfa', 'pdf-to-odt', 'pdf-to-ods', 'pdf-to-odp') THEN 'convert-from-pdf'
+  WHEN tool IN ('word-to-odt', 'excel-to-ods', 'powerpoint-to-odp') OR (tool LIKE '%-to-pdf' AND tool <> 'scan-to-pdf') THEN 'convert-to-pdf'
+  WHEN tool IN ('compress-pdf', 'repair-pdf', 'ocr-pdf') THEN 'optimize-pdf'
+  WHEN tool IN ('scan-to-pdf', 'remove-pages', 'extract-pages', 'add-page-numbers') OR tool LIKE '%-pdf' THEN 'organize-pdf' END AS service FROM x""",
     ),
     "output_name": (
         lambda s, d: tools(s, d).select("o_orderkey", S.output_name(F.col("tool"), F.col("name"), F.when(F.col("o_orderkey") % 2 == 0, '{"outputExt":".png"}')).alias("output")),
-        rf"{TOOLS} SELECT o_orderkey, regexp_replace(name, '\.[^./]*$', '') || CASE WHEN tool = 'pdf-to-image' AND o_orderkey % 2 = 0 THEN '.png' "
-        + " ".join(f"WHEN tool IN ({', '.join(repr(t) for t in x)}) THEN '{e}'" for e, x in S.OUTPUTS.items())
-        + " ELSE '.pdf' END AS output FROM x",
+        rf"""{TOOLS} SELECT o_orderkey, regexp_replace(name, '\.[^./]*$', '') || CASE tool WHEN 'pdf-to-image' THEN CASE WHEN o_orderkey % 2 = 0 THEN '.png' ELSE '.zip' END
+  WHEN 'split-pdf' THEN '.zip' WHEN 'pdf-to-html' THEN '.zip' WHEN 'pdf-to-word' THEN '.docx' WHEN 'pdf-to-excel' THEN '.xlsx' WHEN 'pdf-to-powerpoint' THEN '.pptx' WHEN 'pdf-to-text' THEN '.txt'
+  WHEN 'pdf-to-odt' THEN '.odt' WHEN 'word-to-odt' THEN '.odt' WHEN 'pdf-to-ods' THEN '.ods' WHEN 'excel-to-ods' THEN '.ods' WHEN 'pdf-to-odp' THEN '.odp' WHEN 'powerpoint-to-odp' THEN '.odp' ELSE '.pdf' END AS output FROM x""",
     ),
     "slugify": (
         lambda s, d: table(s, d, "part").select("p_partkey", S.slugify(F.concat(F.lit(" "), F.col("p_name"), F.lit("! "), F.col("p_type"))).alias("slug")),

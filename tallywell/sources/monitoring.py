@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallywell.functions.scalars import last_of_each
+
 SAMPLE = r"^([a-zA-Z_:][a-zA-Z0-9_:]*)(?:\{(.*)\})?\s+(\S+)(?:\s+-?\d+)?\s*$"
 LABEL = r'([a-zA-Z_][a-zA-Z0-9_]*)="((?:[^"\\]|\\.)*)"'
 
@@ -14,14 +16,14 @@ STREAMS = """account_details array<struct<stream_detail:array<struct<name:string
 
 
 def samples(lines: DataFrame) -> DataFrame:
-    """metric, labels and value of each sample line in the column `value`; comments, empty and malformed lines are left out."""
+    """metric, labels and value of each sample line in the column `value`; comments, empty and malformed lines are left out; of a repeated label the last counts."""
     parts = lines.where(~F.col("value").startswith("#")).select(
         F.regexp_extract("value", SAMPLE, 1).alias("metric"), F.regexp_extract("value", SAMPLE, 2).alias("text"), F.regexp_extract("value", SAMPLE, 3).alias("number")
     )
     unescaped = lambda v: F.replace(F.replace(F.replace(v, F.lit(r'\"'), F.lit('"')), F.lit(r"\n"), F.lit("\n")), F.lit("\\\\"), F.lit("\\"))
     names, values = (F.regexp_extract_all("text", F.lit(LABEL), F.lit(i)) for i in (1, 2))
     number = F.when(F.col("number").isin("+Inf", "Inf"), float("inf")).when(F.col("number") == "-Inf", float("-inf")).otherwise(F.col("number").try_cast("double"))
-    return parts.where("metric != ''").select("metric", F.map_from_arrays(names, F.transform(values, unescaped)).alias("labels"), number.alias("value")).where("value IS NOT NULL")
+    return parts.where("metric != ''").select("metric", F.map_from_entries(last_of_each(F.arrays_zip(names.alias("key"), F.transform(values, unescaped).alias("value")))).alias("labels"), number.alias("value")).where("value IS NOT NULL")
 
 
 def gauge(found: DataFrame, metric: str) -> DataFrame:

@@ -2,28 +2,31 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from tallywell import plans
 from tallywell.functions import scalars as S
 from tallywell.operators import metrics as M
 from tallywell.operators import store as O
+from tallywell.sources import monitoring
 
 INF = float("inf")
 
 
-def test_histogram_of_four_endpoints(spark):
+def test_histogram_of_three_endpoints(spark):
+    """Half of the 8 uploads took up to 0.2 s: 4 of the 6 between 0.1 s and 0.4 s are needed after the 2 before them."""
     b = spark.createDataFrame(
-        [("GET", "/a", 200, 0.1, 8), ("GET", "/a", 200, 0.5, 10), ("GET", "/a", 200, INF, 10), ("POST", "/b", 404, 0.1, 3), ("POST", "/b", 404, INF, 3), ("POST", "/c", 500, 1.0, 2), ("POST", "/c", 500, INF, 2), ("POST", "/d", 504, 5.0, 1), ("POST", "/d", 504, INF, 1)],
+        [("PUT", "/upload", 201, 0.1, 2), ("PUT", "/upload", 201, 0.4, 8), ("PUT", "/upload", 201, INF, 8), ("GET", "/list", 403, 0.1, 5), ("GET", "/list", 403, INF, 5), ("GET", "/slow", 504, 0.4, 0), ("GET", "/slow", 504, INF, 2)],
         "method string, path string, status int, le double, n long",
     )
-    c = spark.createDataFrame([("GET", "/a", 200, 10, 1.5), ("POST", "/b", 404, 3, 0.3), ("POST", "/c", 500, 2, 2.0), ("POST", "/d", 504, 1, 5.0)], "method string, path string, status int, n long, total_seconds double")
+    c = spark.createDataFrame([("PUT", "/upload", 201, 8, 1.6), ("GET", "/list", 403, 5, 0.2), ("GET", "/slow", 504, 2, 60.0)], "method string, path string, status int, n long, total_seconds double")
     got = M.hist_aggregate(b, c).first()
-    assert (got.requests, got.client_errors, got.server_errors, got.timeouts) == (16, 3, 2, 1)
-    assert 0 < got.p50_ms <= got.p95_ms
+    assert (got.requests, got.client_errors, got.server_errors, got.timeouts) == (15, 5, 0, 2)
     by_path = {r.path: r for r in M.hist_endpoint_stats(b, c).collect()}
-    assert by_path["/a"].p50_ms == 62.5 and by_path["/b"].errors == 3
+    assert by_path["/upload"].p50_ms == 200.0 and by_path["/list"].p50_ms == 50.0 and by_path["/list"].errors == 5
 
 
 def test_quantiles_of_an_empty_and_an_endless_histogram(spark):
@@ -70,3 +73,30 @@ def test_upsert_of_an_empty_table(spark):
     empty = spark.createDataFrame([], "k int, v string")
     changes = spark.createDataFrame([(1, "a", 1), (1, "b", 2)], "k int, v string, at int")
     assert [tuple(r) for r in O.upserted(empty, changes, ["k"], "at").collect()] == [(1, "b")]
+
+
+def test_repeated_labels_and_plans(spark):
+    lines = spark.createDataFrame([('up{a="1",a="2",b="x"} 3',), ("up 4 5 6",)], "value string")
+    got = monitoring.samples(lines).collect()
+    assert [(r.metric, r.labels, r.value) for r in got] == [("up", {"a": "2", "b": "x"}, 3.0)]
+
+
+def test_metadata_keeps_the_kinds_of_its_values(spark):
+    row = spark.range(1).select(O.merged_metadata(F.lit('{"a":5,"c":{"x":[1,2]}}'), F.lit('{"b":true,"c":null}')).alias("x"), O.merged_metadata(F.lit(None).cast("string"), F.lit('{"b":"y"}')).alias("y")).first()
+    assert json.loads(row.x) == {"a": 5, "b": True, "c": None} and json.loads(row.y) == {"b": "y"}
+
+
+def test_distinct_counts_multiply_no_rows(spark, data):
+    for key in ("dau_wau_mau", "funnel", "exec_active_users", "exec_total_users", "mrr"):
+        plan = plans.queries()[key](spark, data)._jdf.queryExecution().executedPlan().toString()
+        assert "Expand" not in plan and "Window" not in plan and plan.count("FileScan") == 1, key
+
+
+def test_quads(spark):
+    c = lambda *v: [F.lit(float(x)) for x in v]
+    square, bow, flat = (c(0, 1, 1, 0), c(0, 0, 1, 1)), (c(0, 1, 0, 1), c(0, 1, 1, 0)), (c(0, 0.5, 1, 0), c(0, 0, 0, 1))
+    row = spark.range(1).select(*(f(*q).alias(f"{n}{i}") for n, f in (("c", S.quad_convex), ("u", S.quad_usable)) for i, q in enumerate((square, bow, flat)))).first()
+    assert tuple(row) == (True, False, False, True, False, False)
+    points = F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((9, 9), (0, 1), (10, 0), (1, 8))))
+    got = spark.range(1).select(S.ordered_corners(points).alias("q")).first().q
+    assert [tuple(got[k]) for k in ("tl", "tr", "br", "bl")] == [(0, 1), (10, 0), (9, 9), (1, 8)]

@@ -12,15 +12,15 @@ def test_text_format(spark, tmp_path):
     bucket = lambda m, p, s, le, n: f'{FAMILY}_bucket{{method="{m}",path="{p}",status="{s}",le="{le}"}} {n}'
     rest = lambda m, p, s, total, n: [f'{FAMILY}_sum{{method="{m}",path="{p}",status="{s}"}} {total}', f'{FAMILY}_count{{method="{m}",path="{p}",status="{s}"}} {n}']
     lines = [f"# TYPE {FAMILY} histogram", "", "broken line {", r'up{job="a\"b,c=\\d"} 1 1700000000', "plain +Inf"]
-    lines += [bucket("GET", "/a", 200, "0.1", 8), bucket("GET", "/a", 200, "0.5", 10), bucket("GET", "/a", 200, "+Inf", 10), *rest("GET", "/a", 200, 1.5, 10)]
-    lines += [bucket("POST", "/b", 404, "0.1", 3), bucket("POST", "/b", 404, "+Inf", 3), *rest("POST", "/b", 404, 0.3, 3)]
+    lines += [bucket("PUT", "/upload", 201, "0.1", 2), bucket("PUT", "/upload", 201, "0.4", 8), bucket("PUT", "/upload", 201, "+Inf", 8), *rest("PUT", "/upload", 201, 1.6, 8)]
+    lines += [bucket("GET", "/list", 403, "0.1", 5), bucket("GET", "/list", 403, "+Inf", 5), *rest("GET", "/list", 403, 0.2, 5)]
     (tmp_path / "m.txt").write_text("\n".join(lines))
     found = S.text_samples(spark, str(tmp_path / "m.txt"))
     rows = {r.metric: r for r in found.collect()}
     assert rows["up"].labels == {"job": 'a"b,c=\\d'} and rows["plain"].value == float("inf")
     assert S.gauge(found, "up").first().value == 1 and S.gauge(found, "none").first().value == 0
     got = M.hist_aggregate(*S.histogram(found, FAMILY)).first()
-    assert (got.requests, got.client_errors) == (13, 3) and 0 < got.p50_ms <= got.p95_ms
+    assert (got.requests, got.client_errors) == (13, 5) and 0 < got.p50_ms <= got.p95_ms
 
 
 def test_broker_document(spark, tmp_path):
