@@ -175,6 +175,30 @@ def rate(samples: DataFrame, key: list[str], seconds: int, ts: str = "ts", value
     return increase(samples, key, seconds, ts, value).withColumn("rate", F.round(F.col("increase") / seconds, 9))
 
 
+def extrapolated(samples: DataFrame, key: list[str], seconds: int, ts: str = "ts", value: str = "value") -> DataFrame:
+    """Each sample with `increase` and `rate` of its counter over the `seconds` that end with it, stretched to the window's beginning.
+
+    The growth between the first and the last sample of the window is stretched by the mean distance of samples: to the window's
+    edge if the first is nearer to it than 1.1 distances, else by half of one, and never past where the counter would be 0.
+    The window's beginning itself is outside. Null where the window has one sample only, or none at another time.
+    """
+    order = Window.partitionBy(*key).orderBy(ts)
+    before = F.lag(value).over(order)
+    step = F.when(before.isNull(), 0.0).when(F.col(value) < before, F.col(value)).otherwise(F.col(value) - before)
+    frame = Window.partitionBy(*key).orderBy("_us").rangeBetween(1 - seconds * 1_000_000, Window.currentRow)
+    out = samples.withColumn("_step", step).withColumn("_us", F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01', {ts})"))
+    out = out.select(
+        "*", (F.sum("_step").over(frame) - F.first("_step").over(frame)).alias("_grown"), F.first("_us").over(frame).alias("_us0"), F.first(value).over(frame).alias("_v0"), F.count("*").over(frame).alias("_n")
+    )
+    span = (F.col("_us") - F.col("_us0")) / 1e6
+    distance, edge = span / (F.col("_n") - 1), seconds - span
+    reach = F.when(edge >= distance * 1.1, distance / 2).otherwise(edge)
+    zero = F.when((F.col("_grown") > 0) & (F.col("_v0") >= 0), span * F.col("_v0") / F.col("_grown"))
+    grown = F.when((F.col("_n") > 1) & (span > 0), F.col("_grown") * (span + F.least(reach, zero)) / span)
+    out = out.withColumn("increase", F.round(grown, 6)).withColumn("rate", F.round(grown / seconds, 9))
+    return out.drop("_step", "_us", "_grown", "_us0", "_v0", "_n")
+
+
 def error_ratio(samples: DataFrame, by: list[str], status: str = "status", value: str = "value") -> DataFrame:
     """Share of 5xx by key; 0 where there is none."""
     bad = F.sum(F.when(F.col(status).cast("string").rlike("^5..$"), F.col(value)).otherwise(0))
@@ -264,6 +288,11 @@ def service_availability(health: DataFrame) -> DataFrame:
     return health.agg(F.count_if("healthy").alias("healthy"), F.count("*").alias("total"), ratio(F.count_if("healthy") * 100, F.count("*")).alias("percent"))
 
 
+def server_list(health: DataFrame) -> DataFrame:
+    """name and status of each service, by name; a null `healthy` is unhealthy."""
+    return health.select("name", F.when(F.col("healthy"), "healthy").otherwise("unhealthy").alias("status")).orderBy("name")
+
+
 def nats_consumers(info: DataFrame) -> DataFrame:
     """A row for each consumer of the monitoring document's accounts and streams; streams without consumers have none."""
     streams = info.select(F.explode("account_details").alias("a")).select(F.explode("a.stream_detail").alias("s"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallywell.plans import analytics, metrics, service, store
+from tallywell.plans import analytics, jobs, metrics, service, store
 
-MODULES = (analytics, metrics, store, service)
+MODULES = (analytics, metrics, store, service, jobs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

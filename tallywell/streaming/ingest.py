@@ -125,16 +125,17 @@ def notices(events: DataFrame) -> DataFrame:
 
 
 # State and progress that each event puts a job into.
-STATES = {"JobCreated": ("queued", 0), "JobRetried": ("queued", 0), "JobStarted": ("processing", 20), "JobCompleted": ("completed", 100), "JobFailed": ("failed", 100)}
+STATES = {"JobCreated": ("queued", 0), "JobRetried": ("queued", 0), "JobStarted": ("processing", 20), "JobCompleted": ("completed", 100), "JobFailed": ("failed", 0)}
 
 
 def job_states(events: DataFrame) -> DataFrame:
-    """Latest state of each job by event time; a built-in aggregation, so the state store holds one row for each job."""
+    """Latest state of each job by event time; once completed, a job stays so. A built-in aggregation, so the state store holds two rows' worth for each job."""
     state, progress = F.lit(None).cast("string"), F.lit(None).cast("int")
     for kind, (name, done) in STATES.items():
         state, progress = F.when(F.col("eventType") == kind, name).otherwise(state), F.when(F.col("eventType") == kind, done).otherwise(progress)
     own = events.where(F.col("eventType").isin(*STATES)).select("jobId", F.struct(F.col("timestamp").try_cast("timestamp").alias("at"), progress.alias("progress"), state.alias("state")).alias("s"))
-    return own.groupBy("jobId").agg(F.max("s").alias("s")).select("jobId", "s.state", "s.progress", "s.at")
+    latest = own.groupBy("jobId").agg(F.max("s").alias("last"), F.min(F.when(F.col("s.state") == "completed", F.col("s"))).alias("done"))
+    return latest.select("jobId", F.coalesce("done", "last").alias("s")).select("jobId", "s.state", "s.progress", "s.at")
 
 
 def windowed_counts(rows: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -142,15 +143,49 @@ def windowed_counts(rows: DataFrame, width: str = "1 hour", late: str = "10 minu
     return rows.withWatermark("created_at", late).groupBy(F.window("created_at", width), "event_type").agg(F.count("*").alias("count"))
 
 
-# Seconds before each further try, and reasons that no further try can mend.
-BACKOFF = (10, 30, 120)
+# Deliveries after which a message is dead.
+MOST_DELIVERIES = 5
 
 
-def retry_delay(attempts: Column) -> Column:
-    """Seconds before the next try; null when the tries are used up."""
-    return F.get(F.array(*map(F.lit, BACKOFF)), attempts - 1)
+def delivered(done: str, again: str, dead: str, failed: Column, most: int = MOST_DELIVERIES) -> Callable[[DataFrame, int], None]:
+    """A batch function for messages (value, deliveries before this one): those that don't fail are done, the others come again, and after `most` deliveries they are dead.
+
+    What comes again is written with its new count as JSON lines, for a stream of its own over the folder `again`.
+    """
+    bad = F.coalesce(failed, F.lit(True))
+
+    def write(batch: DataFrame, number: int) -> None:
+        counted = batch.withColumn("deliveries", F.coalesce("deliveries", F.lit(0)) + 1)
+        counted.where(~bad).write.mode("overwrite").json(f"{done}/batch={number}")
+        counted.where(bad & (F.col("deliveries") < most)).write.mode("overwrite").json(f"{again}/batch={number}")
+        counted.where(bad & (F.col("deliveries") >= most)).write.mode("overwrite").json(f"{dead}/batch={number}")
+
+    return write
+
+
+def message_stream(spark: SparkSession, folder: str, files_at_once: int = 1000) -> DataFrame:
+    """Messages (value, deliveries) of JSON lines in a folder and those below it; new messages have no count."""
+    read = spark.readStream.schema("value string, deliveries int").option("maxFilesPerTrigger", files_at_once).option("recursiveFileLookup", True)
+    return read.json(folder)
+
+
+def write_together(folder: str, tables: dict[str, Callable[[DataFrame], DataFrame]]) -> Callable[[DataFrame, int], None]:
+    """A batch function that writes several tables of one batch, all or none: a mark is set last, and read_together only takes marked batches."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        for name, make in tables.items():
+            make(batch).write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
+        batch.sparkSession.range(1).select(F.lit(number).cast("int").alias("done")).write.mode("overwrite").parquet(f"{folder}/marks/{number}")
+
+    return write
+
+
+def read_together(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The rows of a table that write_together has finished."""
+    marks = spark.read.option("recursiveFileLookup", True).schema("done int").parquet(f"{folder}/marks")
+    return spark.read.parquet(f"{folder}/{name}").join(marks.select(F.col("done").alias("batch")), "batch", "left_semi").drop("batch")
 
 
-def redriven(dead: DataFrame, services: list[str], limit: int = 50) -> DataFrame:
-    """The dead letters to send again: of known services, at most 500."""
-    return dead.where(F.col("service").isin(*services)).orderBy("ts").limit(min(max(1, limit), 500))
+def polled(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, every: str = "20 seconds") -> DataStreamWriter:
+    """A writer that looks for new rows again and again after so long."""
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=every)
