@@ -81,6 +81,13 @@ KEYS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         lambda s, d: O.full_text(T.documents(s, d), "the and -idiot").select("id"),
         rf"{D}, w AS (SELECT id, regexp_split_to_array(lower(coalesce(content, '')), '[^\p{{L}}\p{{N}}]+') AS w FROM d) SELECT id FROM w WHERE list_contains(w, 'the') AND list_contains(w, 'and') AND NOT list_contains(w, 'idiot')",
     ),
+    "p_fts_stems": (
+        lambda s, d: O.web_search(T.documents(s, d), 'the things eres -idiots or "attions of thanedbled" or licensing').select("id"),
+        # forms of a stem are listed; a place in a phrase that a stop word takes may hold any word
+        rf"""{D}, w AS (SELECT id, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(coalesce(content, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> ''), ' ') || ' ' AS w FROM d)
+SELECT id FROM w WHERE regexp_matches(w, ' thing(s|ed|es|edly|ing|ingly|ly|lyed|lying)? ') AND regexp_matches(w, ' er(e|ed|es|edly|ing|ingly) ') AND NOT regexp_matches(w, ' idiot(s|ed|ing)? ')
+  OR regexp_matches(w, ' attion(s|ed|ing)? [^ ]+ thanedbl(e|ed|es|ing) ') OR regexp_matches(w, ' licens(e|ed|es|ing) ')""",
+    ),
     "join_tag_filter": (lambda s, d: listed(O.with_tag(T.documents(s, d), T.document_tags(s, d), "toxic")), f"{D} SELECT {LIST} FROM d WHERE id IN (SELECT document_id FROM t WHERE tag = 'toxic')"),
     "join_preload": (lambda s, d: O.with_tags(T.documents(s, d), T.document_tags(s, d)).select("id", F.array_join("tags", "; ").alias("tags")), f"{D} SELECT id, {TAGS} AS tags FROM d"),
     "join_org_members": (
