@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallywell.llm import ann, bpe, brown, decontam, pii, secrets, simhash, toxicity, urlfilter, windows
+from tallywell.llm import ann, bpe, brown, decontam, periodic, pii, secrets, simhash, toxicity, urlfilter, windows
 from tallywell.llm.common import table
 
 
@@ -123,8 +123,12 @@ FROM r
 """
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.runs(periodic.repeated_tails(table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_ann, op4_substring_dedup, op5_pii, op6_simhash, op7_decontamination, op8_secrets, op9_brown, op10_url_filter)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_ann, op4_substring_dedup, op5_pii, op6_simhash, op7_decontamination, op8_secrets, op9_brown, op10_url_filter, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
