@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallywell.llm import ann, bpe, brown, decontam, periodic, pii, secrets, simhash, toxicity, urlfilter, windows
+from tallywell.llm import ann, bpe, brown, codes, decontam, periodic, pii, secrets, sharding, simhash, toxicity, urlfilter, windows
 from tallywell.llm.common import table
 
 
@@ -123,13 +123,87 @@ FROM r
 """
 
 
+def op11_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digests(sharding.sharded(table(spark, sf_dir, "documents")))
+
+
+def feistel_sql() -> str:
+    """The network's rounds as columns over the sides a and b, checksums by a table of bytes, and walks as a recursion."""
+    rounds, left, right = [], "x // b", "x % b"
+    for i, key in enumerate(sharding.round_keys(sharding.SEED)):
+        half, side = ("l", "b") if i % 2 else ("r", "a")
+        z = f"(({half} + {key}::UHUGEINT) % w * {sharding.MIX_1}::UHUGEINT % w)"
+        f = f"((xor({z}, {z} >> 32) * {sharding.MIX_2}::UHUGEINT % w) >> 32)"
+        if i % 2:
+            right = f"(r + {f}) % {side}"
+            left = "l"
+        elif i:
+            left, right = f"(l + {f}) % {side}", "r"
+        else:
+            rounds.append(f"SELECT id, n, a, b, w, {left} AS l, {right} AS r FROM start")
+            left, right = f"(l + {f}) % {side}", "r"
+        rounds.append(f"SELECT id, n, a, b, w, {left} AS l, {right} AS r FROM ({rounds[-1]})")
+    crc = "range(256)"
+    for _ in range(8):
+        crc = f"list_transform({crc}, lambda x: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)"
+    return f"""
+WITH RECURSIVE size AS (
+  SELECT n, a, CAST(ceil(n / a) AS BIGINT) AS b FROM (SELECT n, CAST(ceil(sqrt(n)) AS BIGINT) AS a FROM (SELECT count(*) AS n FROM documents))
+), bytes AS (SELECT doc_id, row_number() OVER () AS k, coalesce(hex(encode(text)), '') AS h FROM documents
+), sums AS (
+  SELECT doc_id, len(h) // 2 + 1 AS size,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(h), 2), lambda i: ('0x' || h[i : i + 1])::BIGINT)),
+      lambda c, y: xor(c >> 8, t[xor(c, y) % 256 + 1])), 4294967295) AS text_crc32
+  FROM bytes, (SELECT {crc} AS t)
+), numbered AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS id FROM sums
+), walk AS (
+  SELECT id, n, a, b, id AS x, true AS again FROM numbered, size
+  UNION ALL
+  SELECT id, n, a, b, y AS x, y >= n AS again FROM (
+    SELECT id, n, a, b, CAST(l * b + r AS BIGINT) AS y FROM (
+      WITH start AS (SELECT id, n::UHUGEINT AS n, a::UHUGEINT AS a, b::UHUGEINT AS b, x::UHUGEINT AS x, 18446744073709551616::UHUGEINT AS w FROM walk WHERE again)
+      {rounds[-1]}))
+), placed AS (SELECT id, x FROM walk WHERE NOT again)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(x % {sharding.SHARDS} AS INTEGER) AS shard, x // {sharding.SHARDS} AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM numbered JOIN placed USING (id)
+"""
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.digests(*codes.coded(table(spark, sf_dir, "embeddings")))
+
+
+def codes_sql() -> str:
+    """Each round as a join of all parts with all entries; parts have four components."""
+    assigned = "SELECT rid, part, min({{'d': (p.x1 - c.x1) * (p.x1 - c.x1) + (p.x2 - c.x2) * (p.x2 - c.x2) + (p.x3 - c.x3) * (p.x3 - c.x3) + (p.x4 - c.x4) * (p.x4 - c.x4), 'e': e}}) AS a FROM p JOIN {c} c USING (part) GROUP BY rid, part"
+    rounds = ""
+    for i in range(2):
+        means = ", ".join(f"CAST(floor(sum(x{k}) / count(*)) AS BIGINT) AS x{k}" for k in (1, 2, 3, 4))
+        taken = ", ".join(f"coalesce(m.x{k}, c.x{k}) AS x{k}" for k in (1, 2, 3, 4))
+        rounds += f"""), a{i} AS ({assigned.format(c=f"c{i}")}
+), m{i} AS (SELECT part, a.e AS e, {means} FROM a{i} JOIN p USING (rid, part) GROUP BY part, a.e
+), c{i + 1} AS (SELECT part, e, {taken} FROM c{i} c LEFT JOIN m{i} m USING (part, e)
+"""
+    return f"""
+WITH v AS (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) - 1 AS rid, list_transform(embedding::DOUBLE[], lambda x: CAST(floor(256 * x) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), p AS (SELECT rid, part, q[4 * part + 1] AS x1, q[4 * part + 2] AS x2, q[4 * part + 3] AS x3, q[4 * part + 4] AS x4 FROM v, (SELECT unnest(range(16)) AS part)
+), c0 AS (SELECT part, rid AS e, x1, x2, x3, x4 FROM p WHERE rid < 64
+{rounds}), last AS ({assigned.format(c="c2")}
+), found AS (SELECT rid, string_agg(printf('%02x', a.e), '' ORDER BY part) AS code, CAST(sum(a.d) AS BIGINT) AS error FROM last GROUP BY rid
+), book AS (SELECT sha256(string_agg(x1 || ',' || x2 || ',' || x3 || ',' || x4, ',' ORDER BY part, e)) AS codebooks_sha256 FROM c2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM found JOIN v USING (rid), book
+"""
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.runs(periodic.repeated_tails(table(spark, sf_dir, "documents"))))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_ann, op4_substring_dedup, op5_pii, op6_simhash, op7_decontamination, op8_secrets, op9_brown, op10_url_filter, op13_periodic_runs)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_ann, op4_substring_dedup, op5_pii, op6_simhash, op7_decontamination, op8_secrets, op9_brown, op10_url_filter, op11_feistel_shards, op12_vector_codes, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ann": OP3_SQL, "op7_decontamination": OP7_SQL, "op10_url_filter": OP10_SQL}
+    return {"op3_ann": OP3_SQL, "op7_decontamination": OP7_SQL, "op10_url_filter": OP10_SQL, "op11_feistel_shards": feistel_sql(), "op12_vector_codes": codes_sql()}
