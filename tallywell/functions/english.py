@@ -1,15 +1,10 @@
-"""English words as columns: stop words, and stems by the public Snowball rules for English ("Porter 2").
-
-Everything is built-in expressions. A stem is a chain of steps, each a function of one bound value (`let`), so that no step's
-expression is repeated inside the next one.
-"""
+"""English words: stop words, and stems by the public Snowball rules for English ("Porter 2"), word by word."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from functools import lru_cache
 
 # The stop words of English full text search.
 STOP_WORDS = frozenset(
@@ -36,77 +31,66 @@ FOURTH = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "men
 V, C = "[aeiouy]", "[^aeiouy]"
 EARLY = "(?:gener|commun|arsen)"
 #: What stands before an ending in the first or the second region matches these. Y is a y that counts as a consonant.
-R1 = f"^(?:{EARLY}|(?!{EARLY}){C}*{V}+{C})"
-R2 = f"{R1}{C}*{V}+{C}"
-SHORT = f"(?:^{V}{C}|{C}{V}[^aeiouywxY])$"
-
-
-def let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f of a value that is worked out once, however often f uses it."""
-    return F.element_at(F.transform(F.array(value), f), 1)
+R1 = f"(?:{EARLY}|(?!{EARLY}){C}*{V}+{C})"
+IN_1, IN_2, BEYOND_1 = (re.compile(r) for r in (R1, f"{R1}{C}*{V}+{C}", f"{R1}."))
+SHORT = re.compile(f"(?:^{V}{C}|{C}{V}[^aeiouywxY])$")
 
 
-def before(w: Column, ending: str) -> Column:
-    return F.substring(w, F.lit(1), F.length(w) - len(ending))
+Rule = Callable[[str], str | None]
 
 
-def longest(w: Column, rules: dict[str, Callable[[Column], Column]]) -> Column:
-    """The rule of the longest ending, given what stands before it; w if there is none, or if the rule gives null."""
-    out = w
-    for ending in sorted(rules, key=len):
-        out = F.when(F.endswith(w, F.lit(ending)), F.coalesce(rules[ending](before(w, ending)), w)).otherwise(out)
-    return out
+def longest(w: str, rules: dict[str, Rule]) -> str:
+    """What the rule of the longest ending makes of what stands before it; w if there is none, or if the rule gives nothing."""
+    for ending in sorted(rules, key=len, reverse=True):
+        if w.endswith(ending):
+            made = rules[ending](w[: len(w) - len(ending)])
+            return w if made is None else made
+    return w
 
 
-def in_region(region: str, by: str = "") -> Callable[[Column], Column]:
-    return lambda x: F.when(x.rlike(region), F.concat(x, F.lit(by)))
+def in_region(region: re.Pattern[str], by: str = "") -> Rule:
+    return lambda x: x + by if region.match(x) else None
 
 
-def without_s(w: Column) -> Column:
-    ies = lambda x: F.concat(x, F.when(F.length(x) > 1, "i").otherwise("ie"))
-    keep = lambda x: F.lit(None).cast("string")
-    return longest(w, {"sses": lambda x: F.concat(x, F.lit("ss")), "ied": ies, "ies": ies, "us": keep, "ss": keep, "s": lambda x: F.when(x.rlike(f"{V}.+$"), x)})
+def short_of_ies(x: str) -> str:
+    return x + ("i" if len(x) > 1 else "ie")
 
 
-def mended(x: Column) -> Column:
-    """A word that has lost its -ed or -ing; null if nothing with a vowel is left."""
-    short = ~x.rlike(R1 + ".")  # nothing in the first region
-    whole = F.when(x.rlike("(at|bl|iz)$"), F.concat(x, F.lit("e"))).when(x.rlike(r"(bb|dd|ff|gg|mm|nn|pp|rr|tt)$"), before(x, "x"))
-    return F.when(x.rlike(V), F.coalesce(whole, F.when(x.rlike(SHORT) & short, F.concat(x, F.lit("e"))), x))
+def mended(x: str) -> str | None:
+    """A word that has lost its -ed or -ing; nothing if no vowel is left."""
+    if not re.search(V, x):
+        return None
+    if x.endswith(("at", "bl", "iz")):
+        return x + "e"
+    if x.endswith(("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")):
+        return x[:-1]
+    return x + "e" if SHORT.search(x) and not BEYOND_1.match(x) else x
 
 
-def without_past(w: Column) -> Column:
-    return longest(w, {"eed": in_region(R1, "ee"), "eedly": in_region(R1, "ee"), "ed": mended, "edly": mended, "ing": mended, "ingly": mended})
+PLURAL: dict[str, Rule] = {"sses": lambda x: x + "ss", "ied": short_of_ies, "ies": short_of_ies, "us": lambda x: None, "ss": lambda x: None, "s": lambda x: x if re.search(f"{V}.+$", x) else None}
+PAST: dict[str, Rule] = {"eed": in_region(IN_1, "ee"), "eedly": in_region(IN_1, "ee"), "ed": mended, "edly": mended, "ing": mended, "ingly": mended}
+LONG: dict[str, Rule] = {**{k: in_region(IN_1, v) for k, v in SECOND.items()}, "li": lambda x: x if IN_1.match(x) and x[-1] in "cdeghkmnrt" else None}
+LONGER: dict[str, Rule] = {**{k: in_region(IN_1, v) for k, v in THIRD.items()}, "ative": in_region(IN_2)}
+LAST: dict[str, Rule] = {**{k: in_region(IN_2) for k in FOURTH}, "ion": lambda x: x if IN_2.match(x) and x[-1] in "st" else None}
 
 
-def without_end(w: Column) -> Column:
-    x = before(w, "e")
-    e = F.when(x.rlike(R2) | (x.rlike(R1) & ~x.rlike(SHORT)), x)
-    return F.when(F.endswith(w, F.lit("e")), F.coalesce(e, w)).when(F.endswith(w, F.lit("ll")) & x.rlike(R2), x).otherwise(w)
+def without_end(w: str) -> str:
+    x = w[:-1]
+    if w.endswith("e"):
+        return x if IN_2.match(x) or (IN_1.match(x) and not SHORT.search(x)) else w
+    return x if w.endswith("ll") and IN_2.match(x) else w
 
 
-def stem(word: Column) -> Column:
+@lru_cache(maxsize=200_000)
+def stem_of(word: str) -> str:
     """The stem of a lower-cased word without apostrophes. Words of one or two letters are their own stems; so are words without an English ending."""
-    steps = [
-        lambda w: F.regexp_replace(F.regexp_replace(w, "^y", "Y"), "([aeiouy])y", "$1Y"),
-        without_s,
-        lambda w: F.when(w.isin(*WHOLE), F.concat(F.lit("="), w)).otherwise(without_past(w)),
-        lambda w: F.regexp_replace(w, f"(.{C})[yY]$", "$1i"),
-        lambda w: longest(w, {**{k: in_region(R1, v) for k, v in SECOND.items()}, "li": lambda x: F.when(x.rlike(R1) & x.rlike("[cdeghkmnrt]$"), x)}),
-        lambda w: longest(w, {**{k: in_region(R1, v) for k, v in THIRD.items()}, "ative": in_region(R2)}),
-        lambda w: longest(w, {**{k: in_region(R2) for k in FOURTH}, "ion": lambda x: F.when(x.rlike(R2) & x.rlike("[st]$"), x)}),
-        without_end,
-        F.lower,
-    ]
-
-    def unless_whole(step: Callable[[Column], Column]) -> Callable[[Column], Column]:
-        # a whole word is marked and passes all further steps
-        return lambda w: F.when(F.startswith(w, F.lit("=")), w).otherwise(step(w))
-
-    out = word
-    for step in steps:
-        out = let(out, unless_whole(step))
-    special = F.lit(None).cast("string")
-    for w, s in SPECIAL.items():
-        special = F.when(word == w, s).otherwise(special)
-    return F.when((F.length(word) <= 2) | word.isin(*INVARIANT), word).otherwise(F.coalesce(special, F.ltrim(out, F.lit("="))))
+    if len(word) <= 2 or word in INVARIANT:
+        return word
+    if word in SPECIAL:
+        return SPECIAL[word]
+    w = re.sub("([aeiouy])y", r"\1Y", "Y" + word[1:] if word[0] == "y" else word)
+    w = longest(w, PLURAL)
+    if w in WHOLE:
+        return w
+    w = re.sub(f"(.{C})[yY]$", r"\1i", longest(w, PAST))
+    return without_end(longest(longest(longest(w, LONG), LONGER), LAST)).lower()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
@@ -30,6 +31,19 @@ def at(t: datetime) -> Column:
     return F.lit(t.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def free(name: str, taken: list[str]) -> str:
+    """The name, with as many _ behind as it needs not to be taken."""
+    known = {t.lower() for t in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def within(ts: str | Column, start: datetime, end: datetime) -> Column:
     c = F.col(ts) if isinstance(ts, str) else ts
     return (c >= at(start)) & (c < at(end))

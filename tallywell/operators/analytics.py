@@ -7,6 +7,7 @@ aggregation over one scan. Filters on time and type are plain comparisons on col
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,13 +27,21 @@ from tallywell.functions.expr import (
     users_where,
     within,
 )
+from tallywell.operators.quantiles import by_ranks
 
 # Monthly prices in US dollars.
 PRICES = {"guest": 0, "free": 0, "pro": 12}
 
 
+def between(log: DataFrame, start: datetime, end: datetime) -> DataFrame:
+    """The rows from start to before end. Of a log that is partitioned by `event_date`, only the folders of these days are read."""
+    if "event_date" in log.columns:
+        log = log.where(F.col("event_date").between(F.lit(start.date()), F.lit(end.date())))
+    return log.where(within("created_at", start, end))
+
+
 def in_period(log: DataFrame, p: Period) -> DataFrame:
-    return log.where(within("created_at", p.since, p.now))
+    return between(log, p.since, p.now)
 
 
 def today(log: DataFrame, now: datetime) -> DataFrame:
@@ -181,10 +190,17 @@ def dau_wau_mau(log: DataFrame, now: datetime) -> DataFrame:
 
 
 def stickiness(log: DataFrame, p: Period) -> DataFrame:
-    """Mean of the daily users over the days that have any, by the month's users. One grouping set by day and user serves both."""
-    per_user_day = in_period(log, p).where(registered()).select(day().alias("date"), "user_id").distinct()
-    found = per_user_day.agg(F.count("*").alias("user_days"), F.count_distinct("date").alias("days"), F.count_distinct("user_id").alias("mau"))
-    return found.select(ratio(F.col("user_days"), F.col("days") * F.col("mau")).alias("stickiness"))
+    """Mean of the daily users over the days that have any, by the month's users.
+
+    A user's days are bits of a few words, so one aggregation by user tells its days, and their union tells the period's.
+    """
+    off = F.datediff("created_at", F.lit(p.since.date()))
+    words = range(p.days // 60 + 1)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(off, F.lit(60)).cast("int"))
+    per_user = in_period(log, p).where(registered()).groupBy("user_id").agg(*(F.bit_or(F.when(F.floor(off / 60) == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in words))
+    own = reduce(lambda a, b: a + b, (F.bit_count(f"w{w}") for w in words))
+    found = per_user.agg(F.sum(own).alias("user_days"), F.count("*").alias("mau"), *(F.bit_or(f"w{w}").alias(f"w{w}") for w in words))
+    return found.select(ratio(F.col("user_days"), own * F.col("mau")).alias("stickiness"))
 
 
 def activation(log: DataFrame, p: Period) -> DataFrame:
@@ -198,7 +214,8 @@ def activation(log: DataFrame, p: Period) -> DataFrame:
     job = F.when(is_type("job.created"), F.col("created_at"))
     marked = own.withColumn("next_job", F.min(job).over(ahead)).where(is_type("user.signup") & (F.col("created_at") < at(p.now)))
     soon = F.col("next_job") <= F.col("created_at") + F.expr("INTERVAL 24 HOURS")
-    found = marked.agg(F.count_distinct("user_id").alias("total_signups"), users_where(soon).alias("activated"))
+    by_user = marked.groupBy("user_id").agg(F.max(F.coalesce(soon, F.lit(False))).alias("soon"))  # where the window has put a user's rows
+    found = by_user.agg(F.count("*").alias("total_signups"), count_of(F.col("soon")).alias("activated"))
     return found.withColumn("activation_rate", ratio(F.col("activated"), F.col("total_signups")))
 
 
@@ -308,27 +325,36 @@ def error_trend(log: DataFrame, p: Period) -> DataFrame:
     return own.groupBy(day().alias("date")).agg(count_of(is_type("job.failed")).alias("failures"), F.count("*").alias("total"))
 
 
-def durations(log: DataFrame, p: Period) -> DataFrame:
-    """created_at and microseconds of each created job with each completion of it; negative ones stay."""
+def durations(log: DataFrame, p: Period, longest: timedelta | None = None) -> DataFrame:
+    """created_at and microseconds of each created job with each completion of it; negative ones stay.
+
+    With `longest`, only completions from a job's creation to so long after it count. They lie between the period's beginning and
+    so long after its end, so the scan of a log that is partitioned by day reads these days only; without it, all of the log's.
+    """
     jobs = log.where("job_id IS NOT NULL")
     made = in_period(jobs, p).where(is_type("job.created")).select("job_id", "created_at")
-    done = jobs.where(is_type("job.completed")).select("job_id", F.col("created_at").alias("completed_at"))
-    return made.join(done, "job_id").select("created_at", F.expr("timestampdiff(MICROSECOND, created_at, completed_at)").alias("us"))
+    done = jobs.where(is_type("job.completed"))
+    if longest is not None:
+        done = between(done, p.since, p.now + longest)
+    done = done.select("job_id", F.col("created_at").alias("completed_at"))
+    found = made.join(done, "job_id").select("created_at", F.expr("timestampdiff(MICROSECOND, created_at, completed_at)").alias("us"))
+    return found if longest is None else found.where(F.col("us").between(0, longest // timedelta(microseconds=1)))
 
 
-def seconds_at(*shares: float) -> list[Column]:
-    return [F.coalesce(F.round(F.percentile("us", F.lit(s)) / 1e6, 6), F.lit(0.0)) for s in shares]
+def seconds(us: Column) -> Column:
+    return F.coalesce(F.round(us / 1e6, 6), F.lit(0.0))
 
 
-def processing_time(log: DataFrame, p: Period) -> DataFrame:
-    p50, p95 = seconds_at(0.5, 0.95)
-    mean = F.round(F.sum("us").cast("double") / F.count("*") / 1e6, 6)
-    return durations(log, p).agg(F.coalesce(mean, F.lit(0.0)).alias("avg_seconds"), p50.alias("p50_seconds"), p95.alias("p95_seconds"))
+def processing_time(log: DataFrame, p: Period, longest: timedelta | None = None) -> DataFrame:
+    found = by_ranks(durations(log, p, longest), "us", (0.5, 0.95))
+    mean = F.col("total").cast("double") / F.when(F.col("n") > 0, F.col("n"))
+    return found.select(seconds(mean).alias("avg_seconds"), seconds(F.col("q0")).alias("p50_seconds"), seconds(F.col("q1")).alias("p95_seconds"))
 
 
-def processing_time_trend(log: DataFrame, p: Period) -> DataFrame:
+def processing_time_trend(log: DataFrame, p: Period, longest: timedelta | None = None) -> DataFrame:
     """By the day the job was created on."""
-    return durations(log, p).groupBy(day().alias("date")).agg(*(c.alias(n) for c, n in zip(seconds_at(0.5, 0.95, 0.99), ("p50", "p95", "p99"))))
+    by_day = durations(log, p, longest).select(day().alias("date"), "us")
+    return by_ranks(by_day, "us", (0.5, 0.95, 0.99), ["date"]).select("date", *(seconds(F.col(f"q{i}")).alias(n) for i, n in enumerate(("p50", "p95", "p99"))))
 
 
 def tool_errors(log: DataFrame, p: Period) -> DataFrame:

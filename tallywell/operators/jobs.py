@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from tallywell.functions.expr import at
+from tallywell.functions.expr import at, free
 from tallywell.functions.scalars import classify_error
 
 # Seconds before each further try, and the deliveries after which a job is dead.
@@ -59,9 +59,11 @@ def job_updates(events: DataFrame, key: str = "job_id", order: tuple[str, ...] =
 def filed(documents: DataFrame, hints: DataFrame) -> DataFrame:
     """Documents of finished jobs (source_job_id, user_id) with the organization that a hint (job_id, user_id, organization_id, at) names for them; null is personal.
 
-    Of a job's hints the latest counts, whoever gave it; of another user than the document's it has no effect.
+    Of a job's hints the latest counts, whoever gave it, of several at the same time that of the largest user and organization; of
+    another user than the document's it has no effect.
     """
-    latest = hints.groupBy("job_id").agg(F.max_by(F.struct("user_id", "organization_id"), "at").alias("h"))
+    own = F.struct("user_id", "organization_id")
+    latest = hints.groupBy("job_id").agg(F.max_by(own, F.struct("at", "user_id", "organization_id")).alias("h"))
     own = latest.select(F.col("job_id").alias("source_job_id"), F.col("h.user_id").alias("user_id"), F.col("h.organization_id").alias("organization_id"))
     return documents.join(own, ["source_job_id", "user_id"], "left")
 
@@ -85,7 +87,8 @@ RETENTION = {
 def retained(messages: DataFrame, now: datetime, limits: dict[str, tuple[int, int, int | None]] | None = None) -> DataFrame:
     """The messages (stream, at, seq, bytes) that a stream still holds: none too long or too old, and of these the newest that fit its bytes.
 
-    Streams without limits hold all. Bytes are summed by minute first, so only a minute's messages are ever ordered together.
+    Streams without limits hold all, also messages without a time, which a stream with an age drops and one with bytes alone counts as its oldest. Bytes
+    are summed by minute first, so only a minute's messages are ever ordered together.
     """
     age, most, longest = F.lit(None).cast("bigint"), F.lit(None).cast("bigint"), F.lit(None).cast("bigint")
     for name, (seconds, size, message) in (RETENTION if limits is None else limits).items():
@@ -95,29 +98,34 @@ def retained(messages: DataFrame, now: datetime, limits: dict[str, tuple[int, in
     since = at(now) - F.expr("make_dt_interval(0, 0, 0, _age)")
     fresh = messages.select("*", age.alias("_age"), most.alias("_most"), longest.alias("_longest"))
     fresh = fresh.where((F.col("_age").isNull() | (F.col("at") >= since)) & (F.col("_longest").isNull() | (F.col("bytes") <= F.col("_longest"))))
-    fresh = fresh.withColumn("_minute", F.date_trunc("minute", "at")).drop("_age", "_longest")
+    whole, limited = fresh.where(F.col("_most").isNull()), fresh.where(F.col("_most").isNotNull())
+    limited = limited.withColumn("_minute", F.coalesce(F.unix_seconds(F.date_trunc("minute", F.col("at").cast("timestamp"))), F.lit(-(1 << 62)))).drop("_age", "_longest")
     newer = Window.partitionBy("stream").orderBy(F.desc("_minute")).rowsBetween(Window.unboundedPreceding, -1)
-    minutes = fresh.groupBy("stream", "_minute").agg(F.sum("bytes").alias("_bytes")).withColumn("_newer", F.coalesce(F.sum("_bytes").over(newer), F.lit(0)))
+    minutes = limited.groupBy("stream", "_minute").agg(F.sum("bytes").alias("_bytes")).withColumn("_newer", F.coalesce(F.sum("_bytes").over(newer), F.lit(0)))
     within = Window.partitionBy("stream", "_minute").orderBy(F.desc("at"), F.desc("seq")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = F.col("_newer") + F.sum("bytes").over(within)
-    kept = fresh.join(minutes.select("stream", "_minute", "_newer"), ["stream", "_minute"]).withColumn("_total", total)
-    return kept.where(F.col("_most").isNull() | (F.col("_total") <= F.col("_most"))).select(*messages.columns)
+    total = F.col("_newer") + F.coalesce(F.sum("bytes").over(within), F.lit(0))
+    kept = limited.join(minutes.select("stream", "_minute", "_newer"), ["stream", "_minute"]).withColumn("_total", total)
+    return kept.where(F.col("_total") <= F.col("_most")).select(*messages.columns).unionByName(whole.select(*messages.columns))
 
 
 def circuit_breaker(calls: DataFrame, key: str = "service", ts: str = "ts", ok: str = "ok", failures: int = 5, interval: timedelta = timedelta(seconds=60), pause: timedelta = timedelta(seconds=30)) -> DataFrame:
-    """Each call with the breaker's `state` when it comes and whether it is `allowed`; `ok` of calls that aren't allowed has no effect.
+    """Each call with the breaker's `state` when it comes and whether it is `allowed` (with _ behind, where a name is taken); `ok` of calls that aren't allowed has no effect.
 
     Closed, it opens after so many failures in a row; counts start anew after each interval. Open, it lets a call through once
     more than the pause has passed: half-open, which closes it if that call succeeds and opens it again if not. A null `ok` is a
-    failure. Calls at the same time count the failed ones first.
+    failure. Calls at the same time count the failed ones first. Calls without a time pass no breaker: state and allowed are null. Null keys are a key.
     """
-    schema = StructType([*calls.schema.fields, StructField("state", StringType()), StructField("allowed", BooleanType())])
+    state_name, allowed_name = free("state", calls.columns), free("allowed", calls.columns)
+    schema = StructType([*calls.schema.fields, StructField(state_name, StringType()), StructField(allowed_name, BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, opened, bad, until = object(), False, 0, None
         for b in batches:
             states = []
             for k, t, good in zip(*(b.column(c).to_pylist() for c in (key, ts, ok))):
+                if t is None:
+                    states.append(None)
+                    continue
                 if k != now:
                     now, opened, bad, until = k, False, 0, t + interval
                 if opened:
@@ -132,6 +140,6 @@ def circuit_breaker(calls: DataFrame, key: str = "service", ts: str = "ts", ok:
                     if bad >= failures:
                         opened, bad, until = True, 0, t + pause
                 states.append(state)
-            yield b.append_column("state", pa.array(states, pa.string())).append_column("allowed", pa.array([s != "open" for s in states], pa.bool_()))
+            yield b.append_column(state_name, pa.array(states, pa.string())).append_column(allowed_name, pa.array([s and s != "open" for s in states], pa.bool_()))
 
     return calls.repartition(key).sortWithinPartitions(key, ts, F.asc_nulls_first(ok)).mapInArrow(run, schema)

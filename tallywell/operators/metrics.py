@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from tallywell.functions.expr import Period, at, ratio, within
+from tallywell.functions.expr import Period, at, free, ratio, within
 
 INF = float("inf")
 
@@ -253,16 +253,21 @@ def alert_fingerprint(labels: Column) -> Column:
 def alert_throttle(alerts: DataFrame, repeat: timedelta, key: str = "fingerprint", ts: str = "ts", firing: str = "firing") -> DataFrame:
     """Each arrival with `notify`: the first of a firing spell, then whenever `repeat` has passed since the last notice, and the first resolution of a spell.
 
-    The repeats depend on the notice before, so each key's rows pass in order of time, and only its last notice is held.
+    The repeats depend on the notice before, so each key's rows pass in order of time, and only its last notice is held. The column is called
+    notify_ where there is a `notify`; an arrival without a time gives none and changes nothing; a null `firing` is resolved.
     """
     least = repeat.total_seconds()
-    schema = StructType([*alerts.schema.fields, StructField("notify", BooleanType())])
+    name = free("notify", alerts.columns)
+    schema = StructType([*alerts.schema.fields, StructField(name, BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, last, before = object(), None, False
         for b in batches:
             out = []
             for k, t, f in zip(*(b.column(c).to_pylist() for c in (key, ts, firing))):
+                if t is None:
+                    out.append(False)
+                    continue
                 if k != now:
                     now, last, before = k, None, False
                 if f and not before:
@@ -270,7 +275,7 @@ def alert_throttle(alerts: DataFrame, repeat: timedelta, key: str = "fingerprint
                 tell = (last is None or (t - last).total_seconds() >= least) if f else before
                 last, before = (t if tell else last) if f else last, bool(f)
                 out.append(tell)
-            yield b.append_column("notify", pa.array(out, pa.bool_()))
+            yield b.append_column(name, pa.array(out, pa.bool_()))
 
     return alerts.repartition(key).sortWithinPartitions(key, ts, F.desc(firing)).mapInArrow(run, schema)
 

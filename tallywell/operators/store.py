@@ -1,4 +1,4 @@
-"""Document-store queries and lifecycle: scoped listing, text search, tags, paging, exports, sweeps and rewrites.
+"""Document-store queries and lifecycle: scoped listing, tags, paging, exports, sweeps and rewrites.
 
 Changes give the rows that a table has afterwards (or the rows that go); writing them is the caller's, as Parquet has no
 in-place update.
@@ -6,15 +6,12 @@ in-place update.
 
 from __future__ import annotations
 
-import re
 from datetime import datetime, timedelta
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywell.functions.english import SPECIAL, STOP_WORDS, let, stem
-from tallywell.functions.expr import at
+from tallywell.functions.expr import at, let
 
 
 def scoped(docs: DataFrame, user: int, organization: int | None = None) -> DataFrame:
@@ -56,84 +53,6 @@ def with_tags(docs: DataFrame, tags: DataFrame) -> DataFrame:
     return docs.join(own, F.col("id") == F.col("document_id"), "left").drop("document_id").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
 
 
-def search_terms(query: str) -> tuple[list[str], list[str]]:
-    """Words that must be there and words (after a minus) that must not; lower-cased runs of letters and figures."""
-    wanted, unwanted = [], []
-    for part in query.lower().split():
-        into = unwanted if part.startswith("-") else wanted
-        into += "".join(c if c.isalnum() else " " for c in part).split()
-    return wanted, unwanted
-
-
-def full_text(docs: DataFrame, query: str, content: str = "content") -> DataFrame:
-    """Documents whose words include all wanted and no unwanted ones. No stemming and no stop words; an empty query finds nothing."""
-    wanted, unwanted = search_terms(query)
-    if not wanted and not unwanted:
-        return docs.where(F.lit(False))
-    words = F.split(F.lower(F.coalesce(content, F.lit(""))), r"[^\p{L}\p{N}]+")
-    tests = [*(F.array_contains(words, w) for w in wanted), *(~F.array_contains(words, w) for w in unwanted)]
-    return docs.where(reduce(lambda a, b: a & b, tests))
-
-
-def web_terms(query: str) -> list[list[tuple[bool, list[tuple[int, str]]]]]:
-    """Alternatives (parted by the word or), each a list of terms that must all hold: whether the term is wanted (a minus in front: not), and its words with their places.
-
-    What stands in quotes is one term of several words. Words are runs of letters and figures, lower-cased; stop words only keep their place.
-    """
-    found: list[list[tuple[bool, list[tuple[int, str]]]]] = [[]]
-    for minus, quoted, plain in re.findall(r'(-?)(?:"([^"]*)"?|([^\s"]+))', query.lower()):
-        if plain == "or" and not minus:
-            found.append([])
-            continue
-        words = re.findall(r"[^\W_]+", quoted or plain)
-        places = [(i, w) for i, w in enumerate(words) if w not in STOP_WORDS]
-        if places:
-            found[-1].append((not minus, places))
-    return [terms for terms in found if terms]
-
-
-WORD = r"[\p{L}\p{N}]"
-
-
-def web_search(docs: DataFrame, query: str, content: str = "content") -> DataFrame:
-    """Documents that hold what a web search asks for, by English stems: all words of an alternative, quoted ones in their places, none with a minus.
-
-    A query of stop words only, or an empty one, finds nothing. Null texts are empty. A word begins with its stem but for the
-    stem's last two letters at most, so one pattern picks the few words of a text that are stemmed, and a text is split into all
-    its words only for a phrase, when it has words that begin as the phrase's do.
-    """
-    alternatives = web_terms(query)
-    if not alternatives:
-        return docs.where(F.lit(False))
-    asked = sorted({w for terms in alternatives for _, places in terms for _, w in places})
-    stems = dict(zip(asked, docs.sparkSession.range(1).select(*(stem(F.lit(w)) for w in asked)).first()))
-    # endings that give way to others of which two letters stay leave stems of four letters and more
-    start = {w: s[: max(1, len(s) - (1 if len(s) < 4 and s not in SPECIAL.values() else 2))] for w, s in stems.items()}
-
-    def fits(w: Column, word: str) -> Column:
-        return F.startswith(w, F.lit(start[word])) & (stem(w) == stems[word])
-
-    def holds(text: Column, places: list[tuple[int, str]]) -> Column:
-        begins = reduce(lambda a, b: a & b, [text.rlike(f"(?<!{WORD}){start[w]}") for _, w in places])
-        first, rest = places[0], places[1:]
-        if not rest:
-            some = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?<!{WORD})({start[first[1]]}{WORD}*)"), F.lit(1)))
-            return begins & F.exists(some, lambda w: stem(w) == stems[first[1]])
-
-        def together(words: Column) -> Column:
-            starts = F.filter(F.transform(words, lambda w, i: F.when(fits(w, first[1]), i)), lambda i: i.isNotNull())
-            at_place = lambda i, o, word: F.coalesce(let(F.get(words, i + (o - first[0])), lambda w: fits(w, word)), F.lit(False))
-            return F.exists(starts, lambda i: reduce(lambda a, b: a & b, [at_place(i, o, word) for o, word in rest]))
-
-        return begins & let(F.regexp_extract_all(text, F.lit(f"({WORD}+)"), F.lit(1)), together)
-
-    def found(text: Column) -> Column:
-        whole = [reduce(lambda a, b: a & b, [holds(text, places) if wanted else ~holds(text, places) for wanted, places in terms]) for terms in alternatives]
-        return reduce(lambda a, b: a | b, whole)
-
-    return docs.where(let(F.lower(F.coalesce(content, F.lit(""))), found))
-
-
 def org_members(members: DataFrame, organizations: DataFrame, user: int) -> DataFrame:
     """A user's organizations with their role."""
     own = members.where(F.col("user_id") == user)
@@ -228,10 +147,15 @@ def folder_deleted(docs: DataFrame, folder: str) -> DataFrame:
     return docs.withColumn("folder", F.when(F.col("folder") != folder, F.col("folder")))
 
 
+def object_of(text: Column) -> Column:
+    """The keys of a JSON object with their values, the last value of a key that repeats; null and what is no object count as {}."""
+    entries = lambda c: F.map_entries(F.coalesce(F.from_json(c, "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>")))
+    return let(entries(text), lambda e: F.map_from_entries(F.filter(e, lambda x, i: i + 1 == F.size(e) - F.array_position(F.reverse(F.transform(e, lambda y: y["key"])), x["key"]) + 1)))
+
+
 def merged_metadata(old: Column, new: Column) -> Column:
     """JSON objects merged at their first level, values of any kind as they are, the newer value of a key last; null counts as {}."""
-    as_map = lambda c: F.coalesce(F.from_json(c, "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>"))
-    o, n = as_map(old), as_map(new)
+    o, n = object_of(old), object_of(new)
     return F.to_json(F.map_concat(F.map_filter(o, lambda k, v: ~F.map_contains_key(n, k)), n))
 
 
@@ -243,7 +167,7 @@ def without_reset_tokens(tokens: DataFrame, now: datetime, user: int | None = No
 
 def replaced_outputs(files: DataFrame, outputs: DataFrame) -> DataFrame:
     """The files after new outputs (job_id, path) take the place of their jobs' old ones."""
-    old = (F.col("kind") == "output").alias("old")
+    old = F.coalesce(F.col("kind") == "output", F.lit(False))
     new = outputs.where(F.coalesce(F.col("path"), F.lit("")) != "").select("job_id", F.lit("output").alias("kind"), "path")
     kept = files.where(~old).unionByName(files.where(old).join(new.select("job_id").distinct(), "job_id", "left_anti"))
     return kept.unionByName(new)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,6 +61,7 @@ DURATIONS = f"""d AS (
   SELECT c.created_at, epoch_us(f.created_at) - epoch_us(c.created_at) AS us FROM ae c JOIN ae f ON f.job_id = c.job_id
   WHERE c.event_type = 'job.created' AND f.event_type = 'job.completed' AND c.created_at >= {SINCE} AND c.created_at < {NOW}
 )"""
+WITHIN = f"{DURATIONS}, w AS (SELECT * FROM d WHERE us BETWEEN 0 AND 172800000000)"
 EXEC_DAILY = f"""x AS (
   SELECT CAST(created_at AS DATE) AS date, {CNT("user.signup", "signups")}, {CNT("job.created", "jobs_created")}, {CNT("job.completed", "jobs_completed")}, {CNT("job.failed", "jobs_failed")}, {DAU} AS dau
   FROM ae WHERE created_at >= {W_PREV} AND created_at < {NOW} GROUP BY 1
@@ -210,6 +211,14 @@ SELECT c AS completed, f AS failed, c + f AS total, round(CASE WHEN c + f > 0 TH
         lambda e: A.processing_time_trend(e, MONTH),
         f", {DURATIONS} SELECT CAST(created_at AS DATE) AS date, " + ", ".join(f"round(quantile_cont(us, {q}) / 1e6, 6) AS {n}" for q, n in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))) + " FROM d GROUP BY 1",
     ),
+    "processing_time_within": (
+        lambda e: A.processing_time(e, MONTH, timedelta(days=2)),
+        f", {WITHIN} SELECT round(coalesce(CAST(sum(us) AS DOUBLE) / count(*) / 1e6, 0), 6) AS avg_seconds, round(coalesce(quantile_cont(us, 0.5) / 1e6, 0), 6) AS p50_seconds, round(coalesce(quantile_cont(us, 0.95) / 1e6, 0), 6) AS p95_seconds FROM w",
+    ),
+    "processing_time_trend_within": (
+        lambda e: A.processing_time_trend(e, MONTH, timedelta(days=2)),
+        f", {WITHIN} SELECT CAST(created_at AS DATE) AS date, " + ", ".join(f"round(quantile_cont(us, {q}) / 1e6, 6) AS {n}" for q, n in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))) + " FROM w GROUP BY 1",
+    ),
     "tool_errors": (
         lambda e: A.tool_errors(e, MONTH),
         f"SELECT tool_type, {CNT('job.completed', 'completed')}, {CNT('job.failed', 'failed')} FROM ae WHERE event_type IN ('job.completed', 'job.failed') AND tool_type <> '' AND {IN} GROUP BY tool_type ORDER BY failed DESC",

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime, timedelta
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywell.functions import scalars as S
+from tallywell.operators import search
 from tallywell.operators import store as O
 from tallywell.sources import store as T
 from tallywell.sources.events import table
+from tallywell.sources.shared import shared_folder
 
 SWEEP = datetime(1995, 6, 1)
 
@@ -72,17 +75,36 @@ grouped = lambda c: F.array_join(F.transform(c, joined), "|")
 
 parts = lambda c, name: [F.get_json_object(c, f"$.{k}").alias(f"{name}_{k}") for k in "kns"]
 
+INDEXES: dict[tuple, str] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search index of the documents, which is built once for each application and set of files."""
+    docs = T.documents(spark, sf_dir)
+    which = (spark.sparkContext.applicationId, *sorted(docs.inputFiles()))
+    if which not in INDEXES:
+        path = f"{shared_folder(spark)}/search-{uuid4().hex}"
+        search.build_index(docs, path)
+        INDEXES[which] = path
+    return search.index_at(spark, INDEXES[which])
+
+
 KEYS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "page_documents": (lambda s, d: O.paged(listed(O.alive(O.scoped(T.documents(s, d), 4, None))), O.newest(), 1, 25, 100), f"{D} SELECT {LIST} FROM d WHERE user_id = 4 AND organization_id IS NULL AND deleted_at IS NULL ORDER BY created_at DESC, id DESC LIMIT 25"),
     "p_scope": (lambda s, d: listed(O.scoped(T.documents(s, d), 4, 2)), f"{D} SELECT {LIST} FROM d WHERE organization_id = 2"),
     "p_soft_delete": (lambda s, d: listed(O.alive(T.documents(s, d), trash=True)), f"{D} SELECT {LIST} FROM d WHERE deleted_at IS NOT NULL"),
     "p_optional": (lambda s, d: listed(O.with_status(T.documents(s, d), status="ready", folder="")), f"{D} SELECT {LIST} FROM d WHERE status = 'ready'"),
+    "search_index": (
+        lambda s, d: index(s, d).groupBy("word").agg(F.count("*").alias("documents"), F.sum(F.size("places")).alias("occurrences"), F.sum(F.aggregate("places", F.lit(0).cast("long"), lambda a, x: a + x)).alias("places")),
+        rf"""{D}, w AS (SELECT id, unnest(list_filter(regexp_split_to_array(lower(coalesce(content, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')) AS word, generate_subscripts(list_filter(regexp_split_to_array(lower(coalesce(content, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> ''), 1) - 1 AS place FROM d)
+SELECT word, count(DISTINCT id) AS documents, count(*) AS occurrences, CAST(sum(place) AS BIGINT) AS places FROM w GROUP BY word""",
+    ),
     "p_fts": (
-        lambda s, d: O.full_text(T.documents(s, d), "the and -idiot").select("id"),
+        lambda s, d: search.full_text(T.documents(s, d), "the and -idiot", index(s, d)).select("id"),
         rf"{D}, w AS (SELECT id, regexp_split_to_array(lower(coalesce(content, '')), '[^\p{{L}}\p{{N}}]+') AS w FROM d) SELECT id FROM w WHERE list_contains(w, 'the') AND list_contains(w, 'and') AND NOT list_contains(w, 'idiot')",
     ),
     "p_fts_stems": (
-        lambda s, d: O.web_search(T.documents(s, d), 'the things eres -idiots or "attions of thanedbled" or licensing').select("id"),
+        lambda s, d: search.web_search(T.documents(s, d), 'the things eres -idiots or "attions of thanedbled" or licensing', index(s, d)).select("id"),
         # forms of a stem are listed; a place in a phrase that a stop word takes may hold any word
         rf"""{D}, w AS (SELECT id, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(coalesce(content, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> ''), ' ') || ' ' AS w FROM d)
 SELECT id FROM w WHERE regexp_matches(w, ' thing(s|ed|es|edly|ing|ingly|ly|lyed|lying)? ') AND regexp_matches(w, ' er(e|ed|es|edly|ing|ingly) ') AND NOT regexp_matches(w, ' idiot(s|ed|ing)? ')

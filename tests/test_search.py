@@ -1,10 +1,9 @@
 from __future__ import annotations
 
 import pytest
-from pyspark.sql import functions as F
-
-from tallywell.functions.english import stem
-from tallywell.operators.store import web_search, web_terms
+from tallywell.functions.english import stem_of
+from tallywell.operators import search
+from tallywell.operators.search import full_text, web_search, web_terms
 
 #: Words and their stems by the published rules, some for each step.
 STEMS = {
@@ -15,9 +14,8 @@ STEMS = {
 TEXTS = ["The runner was running a long race", "Races: run, then rest!", "long THE race", "race long", "a long and hard race", None, ""]
 
 
-def test_stems(spark):
-    rows = spark.createDataFrame(list(STEMS.items()), "word string, want string").withColumn("got", stem(F.col("word")))
-    assert rows.where("got <> want").collect() == []
+def test_stems():
+    assert {w: stem_of(w) for w in STEMS} == STEMS
 
 
 @pytest.mark.parametrize(
@@ -32,5 +30,32 @@ def test_web_search(spark, query, ids):
     assert sorted(r.id for r in web_search(docs, query).collect()) == ids
 
 
+def test_index_answers_as_the_texts_do(spark, tmp_path):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "id int, content string")
+    search.build_index(docs.where("id < 4"), str(tmp_path / "i"))
+    search.build_index(docs.where("id >= 4"), str(tmp_path / "i"), mode="append")
+    index = search.index_at(spark, str(tmp_path / "i"))
+    for query in ("runs", "racing -running", '"long race"', '"long the races"', '-"long race" long', "resting or hard", "-hard", "the of"):
+        assert sorted(web_search(docs, query, index).collect()) == sorted(web_search(docs, query).collect())
+    for query, ids in (("THE race", [0, 2]), ("long -hard", [0, 2, 3]), ("-race", [1, 5, 6]), ("run,race", []), ("", [])):
+        assert sorted(r.id for r in full_text(docs, query, index).collect()) == sorted(r.id for r in full_text(docs, query).collect()) == ids
+
+
+def test_a_query_reads_only_the_folders_of_its_stems(spark, tmp_path, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").selectExpr("doc_id AS id", "text AS content")
+    search.build_index(docs, str(tmp_path / "i"))
+    index = search.index_at(spark, str(tmp_path / "i"))
+    rows = search.of_stems(index, ["thing", "idiot"])
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+    assert "In(stem" in plan and {r.bucket for r in rows.select("bucket").distinct().collect()} <= {search.bucket_of("thing"), search.bucket_of("idiot")}
+
+
+def test_places_of_the_index(spark):
+    text = "Über\u00a0uns: a_b, A-b \u0660\u0661 x" + " x" * 3
+    rows = search.postings(spark.createDataFrame([(1, text), (2, None)], "id bigint, content string")).collect()
+    assert {(r.doc, r.word): r.places for r in rows} == {(1, "über"): [0], (1, "uns"): [1], (1, "a"): [2, 4], (1, "b"): [3, 5], (1, "\u0660\u0661"): [6], (1, "x"): [7, 8, 9, 10]}
+
+
 def test_terms():
     assert web_terms('Cats -dogs OR "The big cat"') == [[(True, [(0, "cats")]), (False, [(0, "dogs")])], [(True, [(1, "big"), (2, "cat")])]]
