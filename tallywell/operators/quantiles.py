@@ -9,6 +9,7 @@ whose numbers the range and the width of a bucket bound, however many rows there
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,9 +38,12 @@ def by_ranks(rows: DataFrame, value: str, shares: Sequence[float], by: Sequence[
     wanted = F.lit(False)
     for rank in (*lower, *upper):
         wanted = wanted | holds(rank, F.col("below"), F.col("in_bucket"))
-    chosen = summed.where(wanted).select(*by, "bucket", "below", "all", "total")
+    # null groups are groups; and a join that keeps nulls adds no filter to one side, so both read the counts' one shuffle
+    keys = [*by, "bucket"]
+    chosen = summed.where(wanted).select(*(F.col(c).alias(f"chosen_{c}") for c in keys), "below", "all", "total")
     within = Window.partitionBy(*by, "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.join(chosen, [*by, "bucket"]).withColumn("first", F.col("below") + F.coalesce(F.sum("n").over(within), F.lit(0)))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"chosen_{c}")) for c in keys))
+    ranked = counts.join(chosen, same).withColumn("first", F.col("below") + F.coalesce(F.sum("n").over(within), F.lit(0)))
     ends = [F.max(F.when(holds(r, F.col("first"), F.col("n")), F.col("v"))) for r in (*lower, *upper)]
     found = ranked.groupBy(*by).agg(F.coalesce(F.max("all"), F.lit(0)).alias("all"), F.max("total").alias("total"), *(e.alias(f"e{i}") for i, e in enumerate(ends)))
     out = []

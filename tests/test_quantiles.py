@@ -22,7 +22,7 @@ def plan_of(frame) -> str:
 @pytest.mark.parametrize("bits", [0, 3, 20])
 def test_quantiles_equal_those_of_sorted_values(spark, bits):
     rng = np.random.default_rng(3)
-    groups = {"a": rng.integers(-(10**9), 10**9, 501), "b": rng.integers(-5, 5, 400), "c": np.array([7]), "d": np.array([1, 2]), "e": np.full(1000, -3)}
+    groups = {"a": rng.integers(-(10**9), 10**9, 501), "b": rng.integers(-5, 5, 400), "c": np.array([7]), "d": np.array([1, 2]), "e": np.full(1000, -3), None: np.arange(4)}
     shares = (0.0, 0.25, 0.5, 0.95, 1.0)
     rows = spark.createDataFrame([(g, int(v)) for g, vs in groups.items() for v in vs] + [("a", None), ("none", None)], "g string, v bigint")
     found = {r.g: r for r in by_ranks(rows, "v", shares, ["g"], bits).collect()}
