@@ -69,13 +69,6 @@ def job_log_rows(events: DataFrame) -> DataFrame:
     return log_rows(shaped)
 
 
-def existing(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
-
-
 def append_to(path: str, dead_letters: str | None = None, schema: str = EVENT, rows: Callable[[DataFrame], DataFrame] = log_rows) -> Callable[[DataFrame, int], None]:
     """A batch function: well-formed lines go to the log, by day, and malformed ones to the dead letters.
 
@@ -91,16 +84,47 @@ def append_to(path: str, dead_letters: str | None = None, schema: str = EVENT, r
     return write
 
 
-def append_once(path: str, key: list[str]) -> Callable[[DataFrame, int], None]:
-    """A batch function that adds the rows whose key isn't there yet, one for each key; for finalized documents and notifications."""
+#: Folders of a sink that is written once by key.
+BUCKETS = 256
+
+
+def bucket_of(key: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+
+
+def touched(batch: DataFrame, key: list[str], buckets: int) -> list[int]:
+    """The folders that a batch's keys belong to; as many as there are folders at most."""
+    return sorted(r[0] for r in batch.select(bucket_of(key, buckets)).distinct().collect())
+
+
+def kept_in(spark: SparkSession, path: str, numbers: list[int]) -> DataFrame | None:
+    """What a sink holds in some of its folders; others are neither read nor listed."""
+    try:
+        return spark.read.option("basePath", path).parquet(f"{path}/bucket={{{','.join(map(str, numbers))}}}")
+    except AnalysisException:  # no such folder yet
+        return None
+
+
+def append_once(path: str, key: list[str], buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """A batch function that adds the rows whose key isn't there yet, one for each key; for finalized documents and notifications.
+
+    The sink is parted by a hash of the key, so a batch is compared only with the folders of its own keys. For keys that repeat within a known time, see
+    keyed.once_within, which keeps them as state. The names bucket and batch belong to the sink.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        new = batch.dropDuplicates(key)
-        there = existing(batch.sparkSession, path)
-        if there is not None:
-            # what this very batch may have written before its failure is written again, so it doesn't count as there
-            new = new.join(there.where(F.col("batch") != number).select(*key), key, "left_anti")
-        new.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        spark = batch.sparkSession
+        new = batch.dropDuplicates(key).withColumn("bucket", bucket_of(key, buckets)).persist()
+        try:
+            numbers = touched(new, key, buckets)
+            there = kept_in(spark, path, numbers) if numbers else None
+            if there is not None:
+                # what this very batch may have written before its failure is written again, so it doesn't count as there
+                new = new.join(there.where(F.col("batch") != number).select("bucket", *key), ["bucket", *key], "left_anti")
+            rows = new.withColumn("batch", F.lit(number)).repartition("bucket")
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
+        finally:
+            new.unpersist()
 
     return write
 
