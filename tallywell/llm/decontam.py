@@ -12,7 +12,7 @@ by item (those an item needs besides its cheapest ones); where a bound from them
 all lists retrieves every item at or above it, and each is verified by its shingles.
 
 The index goes to the executors in shards of bounded size; more items mean more passes over the documents, not larger
-shards. Defined results: null or empty texts match nothing; items without words match nothing; repeated items match under
+shards. Passages are as wide in each of them, so what is found doesn't depend on the shards; a score does, as terms are weighed among its shard's items. Defined results: null or empty texts match nothing; items without words match nothing; repeated items match under
 each of their ids (repeated rows of an item count once); repeated documents match each for itself; empty tables give empty tables.
 """
 
@@ -61,7 +61,8 @@ def needed(n: int) -> int:
 class Index:
     """Postings by term, in order of the item: impacts, and their maxima by block."""
 
-    def __init__(self, questions: list[str], answers: list[str | None]) -> None:
+    def __init__(self, questions: list[str], answers: list[str | None], longest: int = 0) -> None:
+        """`longest`: words of the longest question or answer of all items, also of those that other indexes hold."""
         words = [words_of(q) for q in questions]
         self.vocabulary: dict[bytes, int] = {}
         add = self.vocabulary.setdefault
@@ -69,7 +70,7 @@ class Index:
         answer_ids = [[add(w, len(self.vocabulary)) for w in words_of(a or "")] for a in answers]
         self.shingles = [shingles(x) for x in ids]
         self.answer_shingles = [shingles(x) for x in answer_ids]
-        self.passage = max(PASSAGE, 2 * max(map(len, [*ids, *answer_ids]), default=0))
+        self.passage = max(PASSAGE, 2 * longest, 2 * max(map(len, [*ids, *answer_ids]), default=0))
         n, mean = len(ids), sum(map(len, ids)) / max(1, len(ids))
         counts = [np.unique(x, return_counts=True) if x else (np.empty(0, np.int64), np.empty(0, np.int64)) for x in ids]
         df = np.bincount(np.concatenate([c[0] for c in counts]).astype(np.int64), minlength=len(self.vocabulary)) if counts else np.zeros(0)
@@ -207,12 +208,13 @@ def shards(benchmark: DataFrame, item: str, question: str, answer: str | None) -
         benchmark[item].cast("long").alias("item"), benchmark[question].cast("string").alias("question"), (benchmark[answer].cast("string") if answer else F.lit(None).cast("string")).alias("answer")
     )
     items = items.where("item is not null and question is not null").distinct()
-    n, size = items.agg(F.count("*"), F.sum(F.length("question") + F.coalesce(F.length("answer"), F.lit(0)))).first()
+    words = F.greatest(*(F.size(F.regexp_extract_all(c, F.lit(WORD.pattern.decode()), F.lit(0))) for c in ("question", "answer")))
+    n, size, longest = items.agg(F.count("*"), F.sum(F.length("question") + F.coalesce(F.length("answer"), F.lit(0))), F.max(words)).first()
     parts = max(1, ceil(2 * (size or 0) / SHARD_BYTES), ceil(2 * n / SHARD_ITEMS))  # twice, as a hash deals unevenly
     for k in range(parts):
         rows = items.where(F.pmod(F.xxhash64("item", "question"), F.lit(parts)) == k).orderBy("item", "question", "answer").collect()
         if rows:
-            yield [r["item"] for r in rows], Index([r["question"] for r in rows], [r["answer"] for r in rows])
+            yield [r["item"] for r in rows], Index([r["question"] for r in rows], [r["answer"] for r in rows], longest or 0)
 
 
 def by_batch(index: Index, texts: list[str]) -> Iterator[tuple[int, list[list[Hit]]]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from math import log10
@@ -37,11 +38,18 @@ def test_odd_rows_pass_every_operator(spark, odd, data):
     items = spark.createDataFrame([(1, "word1 Token word2 Token word3"), (2, None), (None, "x"), (3, ""), (1, "word1 Token word2 Token word3")], "item_id bigint, text string")
     none = odd.where("false")
     for docs, n in ((odd, 8), (none, 0)):
-        assert len(bpe.digests(bpe.encode(docs, decoded=True)).collect()) == n
+        encoded = bpe.digests(bpe.encode(docs, decoded=True)).collect()
+        assert len(encoded) == n
+        empty = hashlib.sha256(b"").hexdigest()
+        assert all((r.n_tokens, r.ids_sha256, r.decoded_sha256) == (0, empty, empty) for r in encoded if r.doc_id in (1, 2, 5))
+        assert len({tuple(r) for r in encoded if r.doc_id == 3}) == (n > 0)
         scored = toxicity.score(docs, toxicity.train(docs, labels)).collect()
         assert len(scored) == n and all(0 <= r.score <= 1 for r in scored)
+        assert len({r.score for r in scored if r.doc_id in (1, 2, 5)}) == (n > 0) == len({r.score for r in scored if r.doc_id == 3})  # no text is an empty one; equal texts score alike
         assert len(pii.digests(pii.detect(docs)).collect()) == n
-        assert len(secrets.digests(secrets.detect(docs)).collect()) == n
+        hidden = secrets.digests(secrets.detect(docs)).collect()
+        assert len(hidden) == n and all((r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) == (0, 0, 0, empty, "") for r in hidden if r.doc_id in (1, 2, 5))
+        assert len({tuple(r) for r in hidden if r.doc_id == 3}) == (n > 0)
         assert len(simhash.digests(simhash.near_duplicates(docs)).collect()) == n
         assert len(brown.perplexity(docs).collect()) == n
         assert [(r.doc_id, r.first_word, r.documents) for r in windows.passages(docs).collect()] == ([(3, 0, 2)] * 2 if n else [])
@@ -120,6 +128,31 @@ def test_components(spark):
 
 def test_decontamination_loses_nothing(spark, data):
     assert same(queries.op7_decontamination(spark, data), connection(data), queries.OP7_SQL)
+
+
+def test_shards_of_items_change_nothing(spark, data, monkeypatch):
+    """An item beside a far longer one in another shard is found in passages of the same width."""
+    monkeypatch.setattr(decontam, "SHARD_ITEMS", 14)
+    found = queries.op7_decontamination(spark, data)
+    assert found._jdf.queryExecution().logical().toString().count("MapInArrow") > 5
+    assert same(found, connection(data), queries.OP7_SQL)
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join("x" for _ in range(40)) + " " + " ".join(w + " filler" * 3 if i % 6 == 5 else w for i, w in enumerate(words)))], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, " ".join(words[:30])), (2, " ".join(f"y{i}" for i in range(400))), (3, "a b"), (3, "a b"), (4, "")], "item_id bigint, text string")
+    results = []
+    for limit in (1, 2, 50_000):
+        monkeypatch.setattr(decontam, "SHARD_ITEMS", limit)
+        results.append(sorted((r.item_id, r.shingles_found, r.passages) for r in decontam.contaminated(docs, items).collect()))
+        assert decontam.without_benchmark(docs, items).count() == (not results[-1])
+    assert results[0] == results[1] == results[2]
+
+
+def test_ties_of_items_and_of_texts(spark):
+    text = "one two three four five six seven eight"
+    docs = spark.createDataFrame([(1, text), (1, text), (None, text), (2, None)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, text), (8, text), (7, text)], "item_id bigint, text string")
+    found = sorted(((r.doc_id or 0), r.item_id, r.shingles_found, r.passages) for r in decontam.contaminated(docs, items).collect())
+    assert found == [(0, 7, 4, 1), (0, 8, 4, 1), (1, 7, 4, 1), (1, 7, 4, 1), (1, 8, 4, 1), (1, 8, 4, 1)]
     rng = np.random.default_rng(5)
     items = [" ".join(f"v{i}" for i in rng.zipf(1.4, int(n)) % 300) for n in rng.integers(1, 60, 120)]
     texts = []
