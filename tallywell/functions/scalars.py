@@ -30,20 +30,49 @@ OUTPUTS = {
     ".odp": ["pdf-to-odp", "powerpoint-to-odp"],
 }
 
-# Extensions that tools take; other tools take any.
-INPUTS = {
-    "pdf": ([".pdf"], [*SERVICES["convert-from-pdf"], *[t for t in SERVICES["organize-pdf"] if t != "scan-to-pdf"], *SERVICES["optimize-pdf"], "ocr"]),
-    "image": ([".png", ".jpg", ".jpeg", ".webp"], ["image-to-pdf"]),
-    "scan": ([".png", ".jpg", ".jpeg", ".webp", ".pdf"], ["scan-to-pdf"]),
-    "word": ([".doc", ".docx"], ["word-to-pdf", "word-to-odt"]),
-    "excel": ([".xls", ".xlsx"], ["excel-to-pdf", "excel-to-ods"]),
-    "ppt": ([".ppt", ".pptx"], ["powerpoint-to-pdf", "powerpoint-to-odp"]),
-    "odt": ([".odt"], ["odt-to-pdf"]),
-    "ods": ([".ods"], ["ods-to-pdf"]),
-    "odp": ([".odp"], ["odp-to-pdf"]),
+# The media type of what is made, by its extension.
+MEDIA_TYPES = {
+    ".docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+    ".xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
+    ".pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation",
+    ".zip": "application/zip",
+    ".txt": "text/plain; charset=utf-8",
+    ".odt": "application/vnd.oasis.opendocument.text",
+    ".ods": "application/vnd.oasis.opendocument.spreadsheet",
+    ".odp": "application/vnd.oasis.opendocument.presentation",
+    ".pdf": "application/pdf",
+    ".png": "image/png",
+    ".jpg": "image/jpeg",
+    ".jpeg": "image/jpeg",
 }
-# Some short names are aliases that are resolved before, so they aren't checked by themselves.
-UNCHECKED = {"pdf-to-docx", "pdf-to-xlsx", "pdf-to-ppt", "pdf-to-pptx", "pdf-to-img", "pdf-to-txt"}
+
+# Tools that take PDF files.
+PDF_TOOLS = """pdf-to-word pdf-to-excel pdf-to-powerpoint pdf-to-image pdf-to-html pdf-to-text pdf-to-pdfa pdf-to-odt pdf-to-ods pdf-to-odp
+    merge-pdf split-pdf compress-pdf rotate-pdf remove-pages extract-pages organize-pdf watermark-pdf protect-pdf unlock-pdf sign-pdf edit-pdf
+    add-page-numbers repair-pdf ocr-pdf ocr""".split()
+
+# The category of what each tool takes, and its extensions; other tools take any and have no category.
+TAKES = [
+    ("pdf", PDF_TOOLS, [".pdf"]),
+    ("image", ["image-to-pdf"], [".png", ".jpg", ".jpeg", ".webp"]),
+    ("image", ["scan-to-pdf"], [".png", ".jpg", ".jpeg", ".webp", ".pdf"]),
+    ("word", ["word-to-pdf", "word-to-odt"], [".doc", ".docx"]),
+    ("excel", ["excel-to-pdf", "excel-to-ods"], [".xls", ".xlsx"]),
+    ("ppt", ["powerpoint-to-pdf", "powerpoint-to-odp"], [".ppt", ".pptx"]),
+    ("odt", ["odt-to-pdf"], [".odt"]),
+    ("ods", ["ods-to-pdf"], [".ods"]),
+    ("odp", ["odp-to-pdf"], [".odp"]),
+]
+
+# Media types that a file's first bytes may show, by category.
+SHOWS = {
+    "pdf": ["application/pdf"],
+    "image": ["image/png", "image/jpeg", "image/webp"],
+    **{office: ["application/zip"] for office in ("word", "excel", "ppt", "odt", "ods", "odp")},
+}
+
+# How files of these types begin, in hexadecimal (a dot is any figure).
+BEGINS = {"application/pdf": "255044462D", "application/zip": "504B0304", "image/png": "89504E470D0A1A0A", "image/jpeg": "FFD8FF", "image/webp": "52494646........574542505650"}
 
 # OCR languages by two-letter code.
 OCR = {"en": "eng", "es": "spa", "fr": "fra", "de": "deu", "it": "ita", "pt": "por", "zh": "chi_sim", "ja": "jpn", "ko": "kor", "ar": "ara"}
@@ -88,22 +117,56 @@ def document_name(path: Column, tool: Column) -> Column:
     return F.when((base != "") & (base != "."), base).when(tool != "", F.concat(tool, F.lit(" output"))).otherwise("Processed document")
 
 
-def output_name(tool: Column, name: Column, metadata: Column) -> Column:
-    """The input's name with the extension of what the tool makes; images by what the metadata tells."""
+def output_extension(tool: Column, metadata: Column) -> Column:
+    """Of what the tool makes; of images, what the metadata tells."""
     ext = F.lit(".pdf")
     for e, tools in OUTPUTS.items():
         ext = F.when(tool.isin(*tools), e).otherwise(ext)
     told = F.get_json_object(metadata, "$.outputExt")
-    ext = F.when((tool == "pdf-to-image") & told.isin(".png", ".jpg", ".jpeg"), told).otherwise(ext)
-    return F.concat(F.regexp_replace(name, r"\.[^./]*$", ""), ext)
+    return F.when((tool == "pdf-to-image") & told.isin(".png", ".jpg", ".jpeg"), told).otherwise(ext)
+
+
+def output_name(tool: Column, name: Column, metadata: Column) -> Column:
+    """The input's name with the extension of what the tool makes; images by what the metadata tells."""
+    return F.concat(F.regexp_replace(name, r"\.[^./]*$", ""), output_extension(tool, metadata))
+
+
+def output_type(tool: Column, metadata: Column) -> Column:
+    """The media type of what the tool makes."""
+    return picked(output_extension(tool, metadata), MEDIA_TYPES, F.lit(None).cast("string"))
+
+
+def input_category(tool: Column) -> Column:
+    """What kind of files a tool takes; '' for tools that take any."""
+    out = F.lit("")
+    for category, tools, _ in TAKES:
+        out = F.when(tool.isin(*tools), category).otherwise(out)
+    return out
 
 
 def valid_file(tool: Column, name: Column) -> Column:
     ext = F.lower(extension(name))
     out = F.lit(True)
-    for extensions, tools in INPUTS.values():
-        checked = [t for t in tools if t not in UNCHECKED]
-        out = F.when(tool.isin(*checked), ext.isin(*extensions)).otherwise(out)
+    for _, tools, extensions in TAKES:
+        out = F.when(tool.isin(*tools), ext.isin(*extensions)).otherwise(out)
+    return out
+
+
+def shown_type(head: Column) -> Column:
+    """The media type that a file's first bytes show, of those that some tool takes; else null."""
+    begin = F.hex(F.substring(head, 1, 16))
+    out = F.lit(None).cast("string")
+    for kind, start in BEGINS.items():
+        out = F.when(begin.rlike(f"^{start}"), kind).otherwise(out)
+    return out
+
+
+def valid_head(tool: Column, head: Column) -> Column:
+    """Whether a file's first bytes are of a type that the tool takes; tools without a category take any."""
+    category, shown = input_category(tool), shown_type(head)
+    out = F.lit(True)
+    for name, kinds in SHOWS.items():
+        out = F.when(category == name, F.coalesce(shown.isin(*kinds), F.lit(False))).otherwise(out)
     return out
 
 

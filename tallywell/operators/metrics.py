@@ -298,27 +298,63 @@ def server_list(health: DataFrame) -> DataFrame:
     return health.select("name", F.when(F.col("healthy"), "healthy").otherwise("unhealthy").alias("status")).orderBy("name")
 
 
+def broker_streams(info: DataFrame) -> DataFrame:
+    """A row for each stream `s` of the accounts of each monitoring document, beside the document's other columns (such as the scrape it is of)."""
+    by = [c for c in info.columns if c != "account_details"]
+    return info.select(*by, F.explode("account_details").alias("a")).select(*by, F.explode("a.stream_detail").alias("s"))
+
+
 def nats_consumers(info: DataFrame) -> DataFrame:
-    """A row for each consumer of the monitoring document's accounts and streams; streams without consumers have none."""
-    streams = info.select(F.explode("account_details").alias("a")).select(F.explode("a.stream_detail").alias("s"))
-    c = streams.select(F.col("s.name").alias("stream"), F.explode("s.consumer_detail").alias("c"))
+    """A row for each consumer of a document's streams; streams without consumers have none."""
+    by = [c for c in info.columns if c != "account_details"]
+    c = broker_streams(info).select(*by, F.col("s.name").alias("stream"), F.explode("s.consumer_detail").alias("c"))
     fields = ("num_ack_pending", "num_redelivered", "num_pending", "num_waiting")
-    return c.select("stream", F.col("c.name").alias("consumer"), *(F.col(f"c.{f}").alias(f) for f in fields)).orderBy("stream", "consumer")
+    return c.select(*by, "stream", F.col("c.name").alias("consumer"), *(F.col(f"c.{f}").alias(f) for f in fields)).orderBy(*by, "stream", "consumer")
 
 
 def nats_streams(info: DataFrame) -> DataFrame:
-    streams = info.select(F.explode("account_details").alias("a")).select(F.explode("a.stream_detail").alias("s"))
+    by = [c for c in info.columns if c != "account_details"]
     fields = ("messages", "bytes", "first_seq", "last_seq", "consumer_count")
-    return streams.select(F.col("s.name").alias("stream"), *(F.col(f"s.state.{f}").alias(f) for f in fields)).orderBy("stream")
+    return broker_streams(info).select(*by, F.col("s.name").alias("stream"), *(F.col(f"s.state.{f}").alias(f) for f in fields)).orderBy(*by, "stream")
+
 
+# The streams of the job queue.
+DISPATCH, EVENTS, DEAD_LETTERS, ANALYTICS = "JOBS_DISPATCH", "JOBS_EVENTS", "JOBS_DLQ", "ANALYTICS"
 
-def nats_summary(info: DataFrame, dead_letters: str = "JOBS_DLQ") -> DataFrame:
-    streams = nats_streams(info)
+
+def nats_summary(info: DataFrame, dead_letters: str = DEAD_LETTERS) -> DataFrame:
+    """Streams, messages and dead letters of each document."""
+    by = [c for c in info.columns if c != "account_details"]
     dlq = F.coalesce(F.sum(F.when(F.col("stream") == dead_letters, F.col("messages"))), F.lit(0))
-    return streams.agg(F.count("*").alias("total_streams"), F.coalesce(F.sum("messages"), F.lit(0)).alias("total_messages"), dlq.alias("dlq_depth"))
+    return nats_streams(info).groupBy(*by).agg(F.count("*").alias("total_streams"), F.coalesce(F.sum("messages"), F.lit(0)).alias("total_messages"), dlq.alias("dlq_depth"))
 
 
 def queue_snapshot(info: DataFrame) -> DataFrame:
-    """Pending, unacknowledged and redelivered messages by stream."""
-    c = nats_consumers(info)
-    return c.groupBy("stream").agg(*(F.sum(f"num_{n}").alias(n) for n in ("pending", "ack_pending", "redelivered")))
+    """Pending, unacknowledged and redelivered messages by stream of each document."""
+    by = [c for c in info.columns if c != "account_details"]
+    return nats_consumers(info).groupBy(*by, "stream").agg(*(F.sum(f"num_{n}").alias(n) for n in ("pending", "ack_pending", "redelivered")))
+
+
+def dispatch_consumers(info: DataFrame) -> DataFrame:
+    """The consumers that hand jobs to workers, of each document, by name."""
+    by = [c for c in info.columns if c != "account_details"]
+    own = nats_consumers(info).where(F.col("stream") == DISPATCH)
+    return own.select(*by, F.col("consumer").alias("name"), *(F.col(f"num_{n}").alias(n) for n in ("pending", "ack_pending", "redelivered"))).orderBy(*by, "name")
+
+
+def queue_health(info: DataFrame) -> DataFrame:
+    """Dead letters, and how far the readers of analytics and of job events are behind, of each document; zeros where it has none of them.
+
+    One pass over the documents' streams: a stream's consumers are summed within its row.
+    """
+    by = [c for c in info.columns if c != "account_details"]
+
+    def of(stream: str, field: str) -> Column:
+        total = F.aggregate("s.consumer_detail", F.lit(0).cast("bigint"), lambda a, c: a + F.coalesce(c[field], F.lit(0)))
+        return F.coalesce(F.sum(F.when(F.col("s.name") == stream, total)), F.lit(0))
+
+    # of a stream that several accounts have, the one with most messages is told
+    dead = F.coalesce(F.max(F.when(F.col("s.name") == DEAD_LETTERS, F.col("s.state.messages"))), F.lit(0))
+    lag = {f"{n}_{f}": of(s, f"num_{f}") for n, s in (("analytics", ANALYTICS), ("job_events", EVENTS)) for f in ("pending", "ack_pending")}
+    streams = info.select(*by, F.explode_outer("account_details").alias("a")).select(*by, F.explode_outer("a.stream_detail").alias("s"))
+    return streams.groupBy(*by).agg(dead.alias("dead_letters"), *(c.alias(n) for n, c in lag.items()))

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from tallywell.functions.expr import at, let
+from tallywell.functions.expr import at, free, let
 
 
 def scoped(docs: DataFrame, user: int, organization: int | None = None) -> DataFrame:
@@ -194,11 +194,40 @@ def job_expiry(user: Column, plan: Column, created: Column, hours: dict[str, int
 REDRIVABLE = ("convert-to-pdf", "convert-from-pdf", "organize-pdf", "optimize-pdf")
 
 
-def redriven(letters: DataFrame, limit: int = 50) -> DataFrame:
-    """How many of the oldest dead letters (seq, service) are sent again and how many stay; limits outside 1 to 500 count as 50."""
+def oldest_letters(letters: DataFrame, limit: int = 50) -> DataFrame:
+    """The oldest dead letters (seq, service, ...) with `again`, whether each can be sent again; limits outside 1 to 500 count as 50."""
     batch = letters.orderBy("seq").limit(limit if 0 < limit <= 500 else 50)
-    again = F.col("service").isin(*REDRIVABLE)
-    return batch.agg(F.count_if(again).alias("redriven"), F.count_if(~F.coalesce(again, F.lit(False))).alias("skipped"))
+    return batch.withColumn(free("again", letters.columns), F.coalesce(F.col("service").isin(*REDRIVABLE), F.lit(False)))
+
+
+def redriven(letters: DataFrame, limit: int = 50) -> DataFrame:
+    """How many of the oldest dead letters are sent again and how many stay."""
+    batch = oldest_letters(letters, limit)
+    again = F.col(batch.columns[-1])
+    return batch.agg(F.count_if(again).alias("redriven"), F.count_if(~again).alias("skipped"))
+
+
+def put_back(letters: DataFrame, folder: str, limit: int = 50) -> dict[str, int]:
+    """Sends the oldest dead letters again: writes them to a folder of dispatched messages, and tells how many went and how many stay, from one pass.
+
+    What is written is named by its letters, so the same call again changes nothing; `letters_left` are the dead letters afterwards.
+    """
+    batch = oldest_letters(letters, limit)
+    again, told = F.col(batch.columns[-1]), Observation()
+    seen = batch.observe(told, F.count_if(again).alias("redriven"), F.count_if(~again).alias("skipped"), F.min("seq").alias("first"), F.max("seq").alias("last"))
+    stage = f"{folder}/_sending"
+    seen.where(again).drop(again).write.mode("overwrite").parquet(stage)
+    found = told.get
+    if found["redriven"]:
+        letters.sparkSession.read.parquet(stage).write.mode("overwrite").parquet(f"{folder}/redrive={found['first']}-{found['last']}")
+    return {n: found[n] for n in ("redriven", "skipped")}
+
+
+def letters_left(letters: DataFrame, limit: int = 50) -> DataFrame:
+    """The dead letters after the oldest have been sent again."""
+    batch = oldest_letters(letters, limit)
+    sent = batch.where(F.col(batch.columns[-1])).select("seq")
+    return letters.join(F.broadcast(sent), "seq", "left_anti")  # 500 rows at most
 
 
 def upserted(table: DataFrame, changes: DataFrame, key: list[str], order: str) -> DataFrame:

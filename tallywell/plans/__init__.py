@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallywell.plans import analytics, jobs, metrics, service, store
+from tallywell.plans import analytics, jobs, metrics, pictures, service, store, streams
 
-MODULES = (analytics, metrics, store, service, jobs)
+MODULES = (analytics, metrics, store, service, jobs, streams, pictures)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywell.functions import scalars as S
+from tallywell.functions.arguments import count_column
 from tallywell.operators import metrics as M
 from tallywell.operators import store as O
 from tallywell.plans.store import D, J, TOOLS, tools
@@ -53,13 +54,42 @@ def metric_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def broker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as streams of one monitoring document, each with a consumer."""
-    s = table(spark, sf_dir, "supplier")
-    k = F.col("s_suppkey")
-    state = F.struct((k * 3).alias("messages"), k.alias("bytes"), F.lit(1).cast("bigint").alias("first_seq"), k.alias("last_seq"), F.lit(1).cast("bigint").alias("consumer_count"))
-    consumer = F.struct(F.lit("worker").alias("name"), (k % 4).alias("num_ack_pending"), (k % 2).alias("num_redelivered"), (k % 9).alias("num_pending"), F.lit(0).cast("bigint").alias("num_waiting"))
-    stream = F.struct(F.when(k == 7, "JOBS_DLQ").otherwise(F.concat(F.lit("S"), k.cast("string"))).alias("name"), state.alias("state"), F.array(consumer).alias("consumer_detail"))
-    return s.groupBy((k % 2).alias("account")).agg(F.collect_list(stream).alias("stream_detail")).agg(F.collect_list(F.struct("stream_detail")).alias("account_details"))
+    """Parts as streams of monitoring documents, a document for each ten of them (a scrape): two accounts, the queue's own streams among others, of which some have two consumers and some none."""
+    k = F.col("p_partkey")
+    place = k % 10
+    name = F.when(place == 2, "JOBS_DISPATCH").when(place == 3, "JOBS_EVENTS").when(place == 5, "JOBS_DLQ").when(place == 6, "ANALYTICS").otherwise(F.concat(F.lit("S"), place.cast("string")))
+    state = F.struct((k * 3).alias("messages"), F.col("p_size").cast("bigint").alias("bytes"), F.lit(1).cast("bigint").alias("first_seq"), k.alias("last_seq"), (k % 3).alias("consumer_count"))
+    consumer = lambda i: F.struct(F.concat(F.lit("c"), F.lit(str(i))).alias("name"), (k % (4 + i)).alias("num_ack_pending"), (k % 2).alias("num_redelivered"), (k % (9 + i)).alias("num_pending"), F.lit(0).cast("bigint").alias("num_waiting"))
+    consumers = F.slice(F.array(consumer(0), consumer(1)), F.lit(1), (k % 3).cast("int"))
+    streams = table(spark, sf_dir, "part").select(F.floor(k / 10).alias("scrape"), (k % 2).alias("account"), F.struct(name.alias("name"), state.alias("state"), consumers.alias("consumer_detail")).alias("s"))
+    accounts = streams.groupBy("scrape", "account").agg(F.collect_list("s").alias("stream_detail"))
+    return accounts.groupBy("scrape").agg(F.collect_list(F.struct("stream_detail")).alias("account_details"))
+
+
+#: s: scrape and stream of each part; c: its consumers.
+B = """WITH s AS (
+  SELECT p_partkey AS k, p_partkey // 10 AS scrape, CASE p_partkey % 10 WHEN 2 THEN 'JOBS_DISPATCH' WHEN 3 THEN 'JOBS_EVENTS' WHEN 5 THEN 'JOBS_DLQ' WHEN 6 THEN 'ANALYTICS' ELSE 'S' || p_partkey % 10 END AS stream FROM part
+), c AS (SELECT *, 'c' || i AS consumer, k % (4 + i) AS ack_pending, k % 2 AS redelivered, k % (9 + i) AS pending FROM s, (VALUES (0), (1)) AS n(i) WHERE i < k % 3)"""
+
+
+def server_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as the broker's documents of itself; some are broken, or lack a field, or have one of another type."""
+    k = F.col("s_suppkey").cast("string")
+    cpu = F.when(F.col("s_suppkey") % 5 == 0, '"high"').when(F.col("s_suppkey") % 3 == 0, "null").otherwise(F.concat(k, F.lit(".25")))
+    text = F.concat(F.lit('{"server_id":"N'), k, F.lit('","other":[1],"version":"2.'), k, F.lit('","connections":'), k, F.lit(',"total_connections":12345678901,"cpu":'), cpu, F.lit(',"uptime":"'), k, F.lit('h"}'))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 7 == 0, "{broken").otherwise(text).alias("value"))
+
+
+def argument() -> Column:
+    """Parts as arguments of requests, most of them odd."""
+    k = F.col("p_partkey").cast("string")
+    return F.element_at(F.array(k, F.concat(F.lit("-"), k), F.lit(""), F.lit(None).cast("string"), F.concat(k, F.lit(" ")), F.concat(F.lit("0"), k), F.lit("0"), F.concat(k, F.lit("00000000000")), F.concat(F.lit("\u0663"), k), F.concat(k, F.lit("\n"))), (F.col("p_partkey") % 10 + 1).cast("int"))
+
+
+def heads() -> Column:
+    """First bytes of files of seven kinds."""
+    starts = ["255044462D312E37", "504B030414", "89504E470D0A1A0A00", "FFD8FFE0", "52494646AABBCCDD5745425056503820", "25504446", ""]
+    return F.unhex(F.element_at(F.array(*map(F.lit, starts)), (F.col("o_orderkey") % 7 + 1).cast("int")))
 
 
 def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,10 +184,58 @@ FROM (SELECT p_partkey, unnest([x2, x0, x3, x1]) AS x, unnest([y2, y0, y3, y1])
     ),
     "nats_flatten": (
         lambda s, d: M.nats_consumers(broker(s, d)),
-        "SELECT CASE s_suppkey WHEN 7 THEN 'JOBS_DLQ' ELSE 'S' || s_suppkey END AS stream, 'worker' AS consumer, s_suppkey % 4 AS num_ack_pending, s_suppkey % 2 AS num_redelivered, s_suppkey % 9 AS num_pending, 0::BIGINT AS num_waiting FROM supplier",
+        f"{B} SELECT scrape, stream, consumer, ack_pending AS num_ack_pending, redelivered AS num_redelivered, pending AS num_pending, 0::BIGINT AS num_waiting FROM c",
+    ),
+    "nats_streams": (
+        lambda s, d: M.nats_streams(broker(s, d)),
+        f"{B} SELECT scrape, stream, k * 3 AS messages, p_size::BIGINT AS bytes, 1::BIGINT AS first_seq, k AS last_seq, k % 3 AS consumer_count FROM s JOIN part ON p_partkey = k",
+    ),
+    "queue_snapshot": (
+        lambda s, d: M.queue_snapshot(broker(s, d)),
+        f"{B} SELECT scrape, stream, CAST(sum(pending) AS BIGINT) AS pending, CAST(sum(ack_pending) AS BIGINT) AS ack_pending, CAST(sum(redelivered) AS BIGINT) AS redelivered FROM c GROUP BY scrape, stream",
+    ),
+    "nats_summary": (
+        lambda s, d: M.nats_summary(broker(s, d)),
+        f"{B} SELECT scrape, count(*) AS total_streams, CAST(sum(k * 3) AS BIGINT) AS total_messages, CAST(coalesce(sum(k * 3) FILTER (WHERE stream = 'JOBS_DLQ'), 0) AS BIGINT) AS dlq_depth FROM s GROUP BY scrape",
+    ),
+    "dispatch_consumers": (lambda s, d: M.dispatch_consumers(broker(s, d)), f"{B} SELECT scrape, consumer AS name, pending, ack_pending, redelivered FROM c WHERE stream = 'JOBS_DISPATCH'"),
+    "queue_health": (
+        lambda s, d: M.queue_health(broker(s, d)),
+        f"""{B}, l AS (SELECT scrape, CAST(sum(pending) FILTER (WHERE stream = 'ANALYTICS') AS BIGINT) AS ap, CAST(sum(ack_pending) FILTER (WHERE stream = 'ANALYTICS') AS BIGINT) AS aa, CAST(sum(pending) FILTER (WHERE stream = 'JOBS_EVENTS') AS BIGINT) AS jp,
+  CAST(sum(ack_pending) FILTER (WHERE stream = 'JOBS_EVENTS') AS BIGINT) AS ja FROM c GROUP BY scrape), x AS (SELECT scrape, max(k * 3) FILTER (WHERE stream = 'JOBS_DLQ') AS dead FROM s GROUP BY scrape)
+SELECT scrape, coalesce(dead, 0) AS dead_letters, coalesce(ap, 0) AS analytics_pending, coalesce(aa, 0) AS analytics_ack_pending, coalesce(jp, 0) AS job_events_pending, coalesce(ja, 0) AS job_events_ack_pending FROM x LEFT JOIN l USING (scrape)""",
+    ),
+    "src_nats_server": (
+        lambda s, d: monitoring.documents(server_lines(s, d), monitoring.SERVER),
+        """SELECT s_suppkey, CASE WHEN ok THEN 'N' || s_suppkey END AS server_id, CASE WHEN ok THEN '2.' || s_suppkey END AS version, CASE WHEN ok THEN s_suppkey::INTEGER END AS connections, CASE WHEN ok THEN 12345678901::BIGINT END AS total_connections, NULL::BIGINT AS mem,
+  CASE WHEN ok AND s_suppkey % 5 <> 0 AND s_suppkey % 3 <> 0 THEN s_suppkey + 0.25::DOUBLE END AS cpu, NULL::BIGINT AS slow_consumers, CASE WHEN ok THEN s_suppkey || 'h' END AS uptime FROM (SELECT s_suppkey, s_suppkey % 7 <> 0 AS ok FROM supplier)""",
+    ),
+    "dlq_put_back": (
+        lambda s, d: O.oldest_letters(letters(s, d), 101),
+        "SELECT o_orderkey AS seq, (['convert-to-pdf', 'analytics', 'organize-pdf', 'document'])[o_orderkey % 4 + 1] AS service, o_orderkey % 2 = 0 AS again FROM orders ORDER BY o_orderkey LIMIT 101",
+    ),
+    "dlq_left": (
+        lambda s, d: O.letters_left(letters(s, d), 501),
+        "SELECT o_orderkey AS seq, (['convert-to-pdf', 'analytics', 'organize-pdf', 'document'])[o_orderkey % 4 + 1] AS service FROM orders WHERE NOT (o_orderkey % 2 = 0 AND o_orderkey IN (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 50))",
+    ),
+    "arg_parse": (
+        lambda s, d: table(s, d, "part").select("p_partkey", count_column(argument(), 50, 200).alias("count")),
+        "SELECT p_partkey, CAST(CASE WHEN p_partkey = 0 THEN 50 ELSE CASE p_partkey % 10 WHEN 0 THEN least(p_partkey, 200) WHEN 5 THEN least(p_partkey, 200) ELSE 50 END END AS INTEGER) AS count FROM part",
+    ),
+    "output_type": (
+        lambda s, d: tools(s, d).select("o_orderkey", S.output_type(F.col("tool"), F.when(F.col("o_orderkey") % 2 == 0, '{"outputExt":".png"}').when(F.col("o_orderkey") % 3 == 0, '{"outputExt":".gif"}')).alias("type")),
+        f"""{TOOLS} SELECT o_orderkey, CASE WHEN tool = 'pdf-to-word' THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' WHEN tool = 'pdf-to-excel' THEN 'application/vnd.openxmlformats-officedocument.spreadsheetml.sheet'
+  WHEN tool = 'pdf-to-powerpoint' THEN 'application/vnd.openxmlformats-officedocument.presentationml.presentation' WHEN tool = 'pdf-to-image' AND o_orderkey % 2 = 0 THEN 'image/png' WHEN tool IN ('pdf-to-image', 'split-pdf', 'pdf-to-html') THEN 'application/zip'
+  WHEN tool = 'pdf-to-text' THEN 'text/plain; charset=utf-8' WHEN tool LIKE '%-to-odt' THEN 'application/vnd.oasis.opendocument.text' WHEN tool LIKE '%-to-ods' THEN 'application/vnd.oasis.opendocument.spreadsheet'
+  WHEN tool LIKE '%-to-odp' THEN 'application/vnd.oasis.opendocument.presentation' ELSE 'application/pdf' END AS type FROM x""",
+    ),
+    "mime_category": (
+        lambda s, d: tools(s, d).select("o_orderkey", S.input_category(F.col("tool")).alias("category"), S.valid_head(F.col("tool"), heads()).alias("valid")),
+        f"""{TOOLS}, y AS (SELECT o_orderkey, o_orderkey % 7 AS h, CASE WHEN tool IN ('image-to-pdf', 'scan-to-pdf') THEN 'image' WHEN tool LIKE 'word-to-%' THEN 'word' WHEN tool LIKE 'excel-to-%' THEN 'excel' WHEN tool LIKE 'powerpoint-to-%' THEN 'ppt'
+  WHEN tool IN ('odt-to-pdf', 'ods-to-pdf', 'odp-to-pdf') THEN substr(tool, 1, 3) WHEN tool IN ('', 'pdf-to-docx', 'pdf-to-xlsx', 'pdf-to-ppt', 'pdf-to-pptx', 'pdf-to-img', 'pdf-to-txt', 'html-to-pdf', 'ppt-to-pdf', 'img-to-pdf', ' img-to-pdf ', 'other') THEN '' ELSE 'pdf' END AS category
+FROM x)
+SELECT o_orderkey, category, CASE category WHEN '' THEN true WHEN 'pdf' THEN h = 0 WHEN 'image' THEN h IN (2, 3, 4) ELSE h = 1 END AS valid FROM y""",
     ),
-    "queue_snapshot": (lambda s, d: M.queue_snapshot(broker(s, d)), "SELECT CASE s_suppkey WHEN 7 THEN 'JOBS_DLQ' ELSE 'S' || s_suppkey END AS stream, s_suppkey % 9 AS pending, s_suppkey % 4 AS ack_pending, s_suppkey % 2 AS redelivered FROM supplier"),
-    "nats_summary": (lambda s, d: M.nats_summary(broker(s, d)), "SELECT count(*) AS total_streams, CAST(sum(s_suppkey * 3) AS BIGINT) AS total_messages, CAST(sum(s_suppkey * 3) FILTER (WHERE s_suppkey = 7) AS BIGINT) AS dlq_depth FROM supplier"),
 }
 
 

@@ -15,6 +15,9 @@ STREAMS = """account_details array<struct<stream_detail:array<struct<name:string
   consumer_detail:array<struct<name:string,num_ack_pending:bigint,num_redelivered:bigint,num_pending:bigint,num_waiting:bigint>>>>>>"""
 
 
+SERVER = "server_id string, version string, connections int, total_connections bigint, mem bigint, cpu double, slow_consumers bigint, uptime string"
+
+
 def samples(lines: DataFrame) -> DataFrame:
     """metric, labels and value of each sample line in the column `value`; comments, empty and malformed lines are left out; of a repeated label the last counts."""
     parts = lines.where(~F.col("value").startswith("#")).select(
@@ -48,3 +51,14 @@ def text_samples(spark: SparkSession, path: str) -> DataFrame:
 
 def broker_info(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STREAMS).json(path, multiLine=True)
+
+
+def documents(lines: DataFrame, schema: str, text: str = "value") -> DataFrame:
+    """The fields of a JSON document in each row's `text`, beside the row's other columns; malformed ones have nulls, and a field of another type is null."""
+    rest = [c for c in lines.columns if c != text]
+    return lines.select(*rest, F.from_json(text, schema).alias("document_")).select(*rest, "document_.*")
+
+
+def server_info(spark: SparkSession, path: str) -> DataFrame:
+    """The broker's document of itself."""
+    return spark.read.schema(SERVER).json(path, multiLine=True)

@@ -6,7 +6,8 @@ not repeat rows compare with what is there by a key.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +70,16 @@ def job_log_rows(events: DataFrame) -> DataFrame:
     return log_rows(shaped)
 
 
+@contextmanager
+def held(rows: DataFrame) -> Iterator[DataFrame]:
+    """Rows that are worked out once, for all that is written of them."""
+    kept = rows.persist()
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
+
+
 def append_to(path: str, dead_letters: str | None = None, schema: str = EVENT, rows: Callable[[DataFrame], DataFrame] = log_rows) -> Callable[[DataFrame, int], None]:
     """A batch function: well-formed lines go to the log, by day, and malformed ones to the dead letters.
 
@@ -76,10 +87,11 @@ def append_to(path: str, dead_letters: str | None = None, schema: str = EVENT, r
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        good = rows(well_formed(batch, schema)).withColumn("event_date", F.to_date("created_at"))
-        good.write.mode("overwrite").partitionBy("event_date").parquet(f"{path}/batch={number}")
-        if dead_letters:
-            malformed(batch, schema).write.mode("overwrite").parquet(f"{dead_letters}/batch={number}")
+        with held(parsed(batch, schema)) as lines:
+            good = rows(lines.where("event IS NOT NULL").select("event.*")).withColumn("event_date", F.to_date("created_at"))
+            good.write.mode("overwrite").partitionBy("event_date").parquet(f"{path}/batch={number}")
+            if dead_letters:
+                lines.where("event IS NULL").select("value").write.mode("overwrite").parquet(f"{dead_letters}/batch={number}")
 
     return write
 
@@ -174,15 +186,17 @@ MOST_DELIVERIES = 5
 def delivered(done: str, again: str, dead: str, failed: Column, most: int = MOST_DELIVERIES) -> Callable[[DataFrame, int], None]:
     """A batch function for messages (value, deliveries before this one): those that don't fail are done, the others come again, and after `most` deliveries they are dead.
 
-    What comes again is written with its new count as JSON lines, for a stream of its own over the folder `again`.
+    The batch is worked out once. What comes again is written with its new count as JSON lines, for a stream of its own over the folder `again`, at once; for waits
+    see keyed.redelivered. A batch that is tried again overwrites its files with new names, which a stream over `again` may read a second time: delivery is at least once.
     """
     bad = F.coalesce(failed, F.lit(True))
 
     def write(batch: DataFrame, number: int) -> None:
         counted = batch.withColumn("deliveries", F.coalesce("deliveries", F.lit(0)) + 1)
-        counted.where(~bad).write.mode("overwrite").json(f"{done}/batch={number}")
-        counted.where(bad & (F.col("deliveries") < most)).write.mode("overwrite").json(f"{again}/batch={number}")
-        counted.where(bad & (F.col("deliveries") >= most)).write.mode("overwrite").json(f"{dead}/batch={number}")
+        place = F.when(~bad, "done").when(F.col("deliveries") < most, "again").otherwise("dead")
+        with held(counted.withColumn("place", place)) as told:
+            for name, folder in (("done", done), ("again", again), ("dead", dead)):
+                told.where(F.col("place") == name).drop("place").write.mode("overwrite").json(f"{folder}/batch={number}")
 
     return write
 

@@ -57,3 +57,24 @@ def test_hints_at_the_same_time_have_one_winner(spark):
     for order in (hints, hints[::-1]):
         found = B.filed(docs, spark.createDataFrame(order, "job_id int, user_id string, organization_id int, at timestamp_ntz"))
         assert {r.source_job_id: r.organization_id for r in found.collect()} == {1: 9, 2: None}
+
+
+def test_dead_letters_are_put_back_once(spark, tmp_path):
+    rows = [(i, "organize-pdf" if i % 3 else "analytics", f"p{i}") for i in range(1, 13)] + [(13, None, "x")]
+    letters = spark.createDataFrame(rows[::-1], "seq int, service string, payload string")
+    for _ in range(2):  # tried again, it changes nothing
+        assert O.put_back(letters, str(tmp_path / "d"), 7) == {"redriven": 5, "skipped": 2}
+        assert sorted(r.seq for r in spark.read.parquet(str(tmp_path / "d")).collect()) == [1, 2, 4, 5, 7]
+    left = O.letters_left(letters, 7)
+    assert sorted(r.seq for r in left.collect()) == [3, 6, 8, 9, 10, 11, 12, 13]
+    assert O.put_back(left.where("seq in (3, 6, 13)"), str(tmp_path / "d"), 0) == {"redriven": 0, "skipped": 3}
+    assert O.put_back(letters.limit(0), str(tmp_path / "e")) == {"redriven": 0, "skipped": 0}
+
+
+def test_arguments(spark):
+    from tallywell.functions.arguments import count_argument, count_column
+
+    given = {"7": 7, "007": 7, "0": 50, "": 50, None: 50, "-3": 50, "+3": 50, "3.0": 50, " 3": 50, "3\n": 50, "\u0663": 50, "999": 200, "2147483647": 200, "2147483648": 50, "9" * 40: 50}
+    assert {t: count_argument({"n": t} if t is not None else {}, "n", 50, 200) for t in given} == given
+    rows = spark.createDataFrame([(t,) for t in given], "t string").select("t", count_column(F.col("t"), 50, 200).alias("n")).collect()
+    assert {r.t: r.n for r in rows} == given
