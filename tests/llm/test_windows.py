@@ -225,3 +225,26 @@ def test_every_repeated_passage_is_found(spark, data):
     for r in rows:
         own = list(zip(*(words[r.doc_id][r.first_word + k : r.last_word] for k in range(5))))
         assert np.mean([shingle[s] > 1 for s in own]) > 0.5
+
+
+def test_a_long_text_of_many_passages_costs_as_its_parts_do(spark):
+    """One text that holds n passages against n short texts of one each: every passage is found, in a time near that of the short texts alone."""
+    from time import perf_counter
+
+    rng = np.random.default_rng(17)
+    words = [f"w{i}" for i in range(30_000)]
+
+    def seconds(n: int, long: bool) -> float:
+        parts = [" ".join(words[i] for i in rng.integers(0, len(words), 60)) for _ in range(n)]
+        rows = [(i + 1, p + f" tail{i}") for i, p in enumerate(parts)]
+        rows += [(0, " ".join(p + " " + " ".join(f"gap{i}x{j}" for j in range(60)) for i, p in enumerate(parts)))] if long else [(n + i + 1, f"head{i} " + p) for i, p in enumerate(parts)]
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+        start = perf_counter()
+        found = windows.passages(docs).collect()
+        took = perf_counter() - start
+        assert len({r.doc_id for r in found} - {0}) == (n if long else 2 * n)
+        assert not long or len([r for r in found if r.doc_id == 0]) == n
+        return took
+
+    seconds(200, True)  # compiled, and workers started
+    assert seconds(4000, True) < 3 * seconds(4000, False)
