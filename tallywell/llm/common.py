@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from uuid import uuid4
 
@@ -96,9 +96,43 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
         return df.select("*").checkpoint(eager=True)
 
 
+#: Folders that are made within a `scratch`, the innermost last.
+SCRATCH: list[list[str]] = []
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared one."""
+    at = f"{shared_folder(spark)}/{name}-{uuid4().hex}"
+    for made in SCRATCH:
+        made.append(at)
+    return at
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that operators write to the shared folder within go at its end: write their results elsewhere before.
+
+    Checkpoints go by themselves where spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
+    made: list[str] = []
+    SCRATCH.append(made)
+    try:
+        yield
+    finally:
+        SCRATCH[:] = [m for m in SCRATCH if m is not made]
+        deleted(spark, made)
+
+
+def deleted(spark: SparkSession, folders: Iterable[str]) -> None:
+    jvm = spark.sparkContext._jvm
+    for folder in folders:
+        where = jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder, read again: each reading gives the same rows in the same order."""
-    at = f"{shared_folder(df.sparkSession)}/{name}-{uuid4().hex}"
+    at = new_folder(df.sparkSession, name)
     with shuffles_freed(df.sparkSession):
         df.select("*").write.option("compression", "zstd").parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
@@ -106,7 +140,4 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def removed(spark: SparkSession, *tables: DataFrame) -> None:
     """Deletes tables of `written` that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    for path in {p.rpartition("/")[0] for t in tables for p in t.inputFiles()}:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    deleted(spark, {p.rpartition("/")[0] for t in tables for p in t.inputFiles()})

@@ -159,6 +159,47 @@ def test_exchange_separates_what_alternates():
     assert len(set(of[1:5])) == 1 and len(set(of[5:9])) == 1 and of[1] != of[5]
 
 
+def likelihood(pairs: np.ndarray, of: np.ndarray, c: int) -> float:
+    """Of the class bigrams, without what all classings share."""
+    hot = np.eye(c + 1)[of]
+    table = hot.T @ pairs @ hot
+    return float(brown.phi(table).sum() - brown.phi(table.sum(1)).sum() - brown.phi(table.sum(0)).sum())
+
+
+def test_exchange_never_loses_likelihood():
+    rng = np.random.default_rng(8)
+    n = rng.poisson(rng.gamma(0.3, 4.0, (40, 40)))
+    by_round = [likelihood(n, brown.exchange(n, 5, rounds), 5) for rounds in range(6)]
+    assert all(a <= b + 1e-6 for a, b in zip(by_round, by_round[1:])) and by_round[-1] > by_round[0]
+
+
+def test_parallel_rounds_gain_likelihood(spark, data, monkeypatch):
+    """Words are moved against a table that stands still for a round; still the second round's classes are the likelier ones."""
+    monkeypatch.setattr(brown, "CORE", 200)
+    seen, plain = [], brown.classes_of
+    monkeypatch.setattr(brown, "classes_of", lambda known, counts, of, c: (seen.append((known, of.copy(), c)), plain(known, counts, of, c))[1])
+    model, _ = brown.modelled(keyed_text(spark.read.parquet(f"{data}/documents.parquet")), remainder(F.col("doc_id")) != 1)
+    (known, _, c), (_, first, _) = seen
+    last = np.array([model.classes.known[w] for w in known])
+    place = {w: i for i, w in enumerate(known)}
+    pairs = Counter()
+    for i, t in texts_of(data).items():
+        if crc32(str(i).encode()) % 5 != 1:
+            ids = [0, *(place[w] for w in brown.words_of(t)), 0]
+            pairs.update(zip(ids, ids[1:]))
+    assert (first >= 0).all() and (last >= 0).all() and len(known) > 2000
+    a, b = (np.array(x) for x in zip(*pairs))
+    n = np.array(list(pairs.values()), float)
+
+    def total(of: np.ndarray) -> float:
+        table = np.zeros((c + 1, c + 1))
+        np.add.at(table, (of[a], of[b]), n)
+        return float(brown.phi(table).sum() - brown.phi(table.sum(1)).sum() - brown.phi(table.sum(0)).sum())
+
+    spread = np.append(c, np.arange(len(known) - 1) % c)
+    assert total(spread) < total(first) <= total(last)
+
+
 def test_odd_texts(spark):
     """Nulls, empty texts, repeated and unknown rows: one end each, what is new has no count; an empty table gives none."""
     docs = spark.createDataFrame([(None, "a b"), (1, None), (2, ""), (3, "a b a"), (3, "a b a"), (4, " \t")], "doc_id bigint, text string")

@@ -183,6 +183,36 @@ def test_url_filter(spark, data):
     assert "Python" not in plan and "Join" not in plan
 
 
+def test_urls_that_repeat_or_are_odd(spark):
+    """Each row is judged for itself; columns of clashing names stay behind; an empty table or list gives none, or blocks none."""
+    given = [(1, "http://A.org/fr/x"), (1, "http://A.org/fr/x"), (None, "http://b.net/"), (2, None), (3, "no scheme"), (4, "x://listed.io?utm_source=1"), (5, "x://listed.io/"), (6, "://?q"), (7, "http://[::1]:80/de/")]
+    pages = spark.createDataFrame([(*g, "h", "r", True, 1) for g in given], "page_id bigint, url string, host string, rule string, hit boolean, key int")
+    want = {(None, "b.net", "/", "net/", "block"), (1, "a.org", "/fr/x", "org/fr/", "allow"), (2, "", "", None, "allow"), (3, "", "", None, "allow"), (4, "listed.io", "", None, "block"), (5, "listed.io", "/", None, "block"), (6, "", "", None, "allow"), (7, "[::1]:80", "/de/", None, "allow")}
+    listed = urlfilter.tracking_hosts(pages)
+    found = [tuple(r) for r in urlfilter.judge(pages, listed, queries.RULES).collect()]
+    assert len(found) == len(given) and set(found) == want
+    odd = listed.union(spark.createDataFrame([("",), (None,), ("listed.io",), ("elsewhere.io",)], "key string"))
+    assert {tuple(r) for r in urlfilter.judge(pages, odd, queries.RULES).collect()} == want
+    assert urlfilter.judge(pages.where("false"), listed, queries.RULES).collect() == []
+    free = {r.page_id: r.verdict for r in urlfilter.judge(pages, listed.where("false"), []).collect()}
+    assert set(free.values()) == {"allow"}
+
+
+def test_scratch_leaves_nothing_behind(spark, data, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    from tallywell.llm import common
+
+    docs = spark.read.parquet(f"{data}/documents.parquet").where("doc_id < 40")
+    folder = Path(common.shared_folder(spark).removeprefix("file:"))
+    names = lambda: {p.name for p in folder.iterdir() if "-" in p.name and p.name.split("-")[0] in ("rows", "numbered", "in", "placed", "sequences", "pipeline")}
+    before = names()
+    with common.scratch(spark):
+        simhash.one_of_each(docs).write.parquet(str(tmp_path / "kept"))
+        assert names() != before
+    assert names() == before and spark.read.parquet(str(tmp_path / "kept")).count() > 0
+
+
 def test_pipeline_stages(spark, data, tmp_path):
     """Each stage against a plain version on its own input."""
     docs = spark.read.parquet(f"{data}/documents.parquet")
