@@ -6,13 +6,11 @@ token ids, their number, and digests of the ids and of the bytes they decode to.
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywell.llm import bpe, decontam, pii, simhash, toxicity
-from tallywell.llm.common import shared_folder, table
+from tallywell.llm.common import new_folder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +50,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over `documents`; each one's result is written to the shared folder as Parquet and read again."""
+    """The stages over `documents`; each one's result is written to the shared folder as Parquet and read again. Within common.scratch all of it goes at its end."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid4().hex}"
+    folder = new_folder(spark, "pipeline")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
