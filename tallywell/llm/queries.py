@@ -127,6 +127,17 @@ def op11_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digests(sharding.sharded(table(spark, sf_dir, "documents")))
 
 
+def crc_sql(h: str) -> str:
+    """The CRC-32 of bytes in hexadecimal, byte by byte; `t` is CRC_TABLE's column."""
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len({h}), 2), lambda i: ('0x' || {h}[i : i + 1])::BIGINT)), lambda c, y: xor(c >> 8, t[xor(c, y) % 256 + 1])), 4294967295)"
+
+
+CRC_TABLE = "range(256)"
+for _ in range(8):
+    CRC_TABLE = f"list_transform({CRC_TABLE}, lambda x: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)"
+CRC_TABLE = f"(SELECT {CRC_TABLE} AS t)"
+
+
 def feistel_sql() -> str:
     """The network's rounds as columns over the sides a and b, checksums by a table of bytes, and walks as a recursion."""
     rounds, left, right = [], "x // b", "x % b"
@@ -143,18 +154,14 @@ def feistel_sql() -> str:
             rounds.append(f"SELECT id, n, a, b, w, {left} AS l, {right} AS r FROM start")
             left, right = f"(l + {f}) % {side}", "r"
         rounds.append(f"SELECT id, n, a, b, w, {left} AS l, {right} AS r FROM ({rounds[-1]})")
-    crc = "range(256)"
-    for _ in range(8):
-        crc = f"list_transform({crc}, lambda x: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)"
     return f"""
 WITH RECURSIVE size AS (
   SELECT n, a, CAST(ceil(n / a) AS BIGINT) AS b FROM (SELECT n, CAST(ceil(sqrt(n)) AS BIGINT) AS a FROM (SELECT count(*) AS n FROM documents))
 ), bytes AS (SELECT doc_id, row_number() OVER () AS k, coalesce(hex(encode(text)), '') AS h FROM documents
 ), sums AS (
   SELECT doc_id, len(h) // 2 + 1 AS size,
-    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(h), 2), lambda i: ('0x' || h[i : i + 1])::BIGINT)),
-      lambda c, y: xor(c >> 8, t[xor(c, y) % 256 + 1])), 4294967295) AS text_crc32
-  FROM bytes, (SELECT {crc} AS t)
+    {crc_sql("h")} AS text_crc32
+  FROM bytes, {CRC_TABLE}
 ), numbered AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS id FROM sums
 ), walk AS (
   SELECT id, n, a, b, id AS x, true AS again FROM numbered, size
@@ -201,9 +208,31 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.runs(periodic.repeated_tails(table(spark, sf_dir, "documents"))))
 
 
+OP13_SQL = rf"""
+WITH given AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    CASE WHEN doc_id IS NULL THEN 1 ELSE {crc_sql("hex(encode(CAST(doc_id AS VARCHAR)))")} END AS h
+  FROM documents, {CRC_TABLE}
+), planned AS (SELECT *, len(w) AS n, h // 10 % greatest(len(w), 1) AS a, 3 + h // 10 % 8 AS parts FROM given
+), docs AS (
+  SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // parts) END]) ELSE w END AS w FROM planned
+), words AS (SELECT r, n, unnest(range(n)) AS i, unnest(w) AS word FROM docs
+), equal AS (SELECT x.r, x.i, y.i - x.i AS q FROM words x JOIN words y ON y.r = x.r AND y.word = x.word AND y.i > x.i AND y.i - x.i <= x.n // 4
+), islands AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM equal
+), stretches AS (SELECT r, q, min(i) AS start, count(*) + q AS length FROM islands GROUP BY r, q, island HAVING count(*) + q >= greatest(6, 4 * q)
+), runs AS (SELECT r, start, length, min(q) AS period FROM stretches GROUP BY r, start, length
+), best AS (SELECT r, start, length, period FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY length / period DESC, start, period) = 1
+), listed AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY r
+), gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs
+), kept AS (SELECT words.r, string_agg(word, ' ' ORDER BY words.i) AS collapsed FROM words ANTI JOIN gone ON gone.r = words.r AND gone.i = words.i GROUP BY words.r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, CAST(1000 * length // period AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM docs LEFT JOIN best USING (r) LEFT JOIN listed USING (r) LEFT JOIN kept USING (r)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_ann, op4_substring_dedup, op5_pii, op6_simhash, op7_decontamination, op8_secrets, op9_brown, op10_url_filter, op11_feistel_shards, op12_vector_codes, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ann": OP3_SQL, "op7_decontamination": OP7_SQL, "op10_url_filter": OP10_SQL, "op11_feistel_shards": feistel_sql(), "op12_vector_codes": codes_sql()}
+    return {"op3_ann": OP3_SQL, "op7_decontamination": OP7_SQL, "op10_url_filter": OP10_SQL, "op11_feistel_shards": feistel_sql(), "op12_vector_codes": codes_sql(), "op13_periodic_runs": OP13_SQL}

@@ -12,6 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from oracle import connection, same
 from tallywell.llm import periodic, queries
 
 
@@ -66,6 +67,10 @@ def test_query_equals_the_plain_search(spark, data):
     assert sum(found[k][1] > 0 for k, _ in docs if crc32(str(k).encode()) % 10 == 0) > 5
 
 
+def test_query_equals_its_sql(spark, data):
+    assert same(queries.op13_periodic_runs(spark, data), connection(data), queries.OP13_SQL) == 200
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.integers(0, 2), max_size=60), st.integers(1, 12), st.integers(0, 60))
 def test_scan_finds_what_the_definition_says(noise, period, length):
