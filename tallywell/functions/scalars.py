@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallywell.functions.expr import let
+
 # Other names of tools.
 ALIASES = {"ppt-to-pdf": "powerpoint-to-pdf", "pdf-to-ppt": "pdf-to-powerpoint", "pdf-to-img": "pdf-to-image", "img-to-pdf": "image-to-pdf"}
 
@@ -185,8 +187,10 @@ def classify_error(message: Column) -> Column:
 
 
 def last_of_each(entries: Column, key: str = "key") -> Column:
-    """Structs of an array without those whose key comes again later; a map of them can't meet a key twice."""
-    return F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later[key] == e[key]))
+    """Structs of an array without those whose key comes again later; a map of them can't meet a key twice. One sort, however many entries there are."""
+    placed = lambda e: F.array_sort(F.transform(e, lambda x, i: F.struct(x[key].alias("k"), i.alias("i"))))
+    last = lambda p: F.filter(p, lambda x, j: ~F.coalesce(F.get(p, j + 1)["k"].eqNullSafe(x["k"]) & (j + 1 < F.size(p)), F.lit(False)))
+    return let(entries, lambda e: F.transform(F.array_sort(F.transform(let(placed(e), last), lambda x: x["i"])), lambda i: F.get(e, i)))
 
 
 def plan_prices(text: Column) -> Column:

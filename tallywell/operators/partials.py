@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywell.functions.expr import Period, day, ratio, registered
+from tallywell.functions.expr import Period, day, ratio, registered, within
 from tallywell.operators.analytics import between
 
 
@@ -44,11 +44,14 @@ def kept_partials(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("batch")
 
 
+def midnight(t: datetime) -> datetime:
+    return t.replace(hour=0, minute=0, second=0, microsecond=0)
+
+
 def covering(parts: DataFrame, log: DataFrame, since: datetime, until: datetime) -> DataFrame:
     """Partials of the events from `since` to before `until`: whole days as they were kept, the rest from the log."""
-    midnight = since.replace(hour=0, minute=0, second=0, microsecond=0)
-    first = midnight if midnight == since else midnight + timedelta(days=1)
-    end = until.replace(hour=0, minute=0, second=0, microsecond=0)
+    first = since if since == midnight(since) else midnight(since) + timedelta(days=1)
+    end = midnight(until)
     if first > end:
         return partials(between(log, since, until))
     whole = parts.where((F.col("date") >= F.lit(first.date())) & (F.col("date") < F.lit(end.date())))
@@ -57,17 +60,27 @@ def covering(parts: DataFrame, log: DataFrame, since: datetime, until: datetime)
 
 
 def users_since(parts: DataFrame, log: DataFrame, now: datetime, since: dict[str, datetime]) -> DataFrame:
-    """One row: how many users were there from each time on, to before `now`. Times within a day take that day's rows from the log."""
-    own = []
-    for name, start in since.items():
-        own.append(covering(parts, log, start, now).groupBy("bucket").agg(F.bitmap_or_agg("users").alias("users")).select(F.lit(name).alias("name"), "bucket", F.bitmap_count("users").alias("n")))
-    rows = reduce(DataFrame.union, own)
-    return rows.agg(*(F.coalesce(F.sum(F.when(F.col("name") == n, F.col("n"))), F.lit(0)).alias(n) for n in since))
+    """One row: how many users were there from each time on, to before `now`.
+
+    One pass over the partials for all times, and one over the log's rows of the days that are asked for in part, if there are any.
+    """
+    end = midnight(now)
+    first = {n: t if t == midnight(t) else midnight(t) + timedelta(days=1) for n, t in since.items()}
+    whole = parts.where((F.col("date") >= F.lit(min(first.values()).date())) & (F.col("date") < F.lit(end.date())))
+    rows = whole.select("bucket", "users", *((F.col("date") >= F.lit(first[n].date())).alias(n) for n in since))
+    ranges = {n: [(a, b) for a, b in ([(t, first[n]), (end, now)] if first[n] <= end else [(t, now)]) if a < b] for n, t in since.items()}
+    if any(ranges.values()):
+        days = reduce(lambda x, y: x | y, (within("created_at", a, b) for a, b in {r for own in ranges.values() for r in own}))
+        flags = {n: reduce(lambda x, y: x | y, (within("created_at", a, b) for a, b in own), F.lit(False)) for n, own in ranges.items()}
+        user = F.col("user_id").cast("long")
+        own = log.where(registered() & days).select(F.bitmap_bucket_number(user).alias("bucket"), F.bitmap_bit_position(user).alias("bit"), *(c.alias(n) for n, c in flags.items()))
+        rows = rows.unionByName(own.groupBy("bucket", *since).agg(F.bitmap_construct_agg("bit").alias("users")))
+    by_bucket = rows.groupBy("bucket").agg(*(F.bitmap_count(F.bitmap_or_agg(F.when(F.col(n), F.col("users")))).alias(n) for n in since))
+    return by_bucket.agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in since))
 
 
 def dau_wau_mau(parts: DataFrame, log: DataFrame, now: datetime) -> DataFrame:
-    start = now.replace(hour=0, minute=0, second=0, microsecond=0)
-    return users_since(parts, log, now, {"dau": start, "wau": now - timedelta(days=7), "mau": now - timedelta(days=30)})
+    return users_since(parts, log, now, {"dau": midnight(now), "wau": now - timedelta(days=7), "mau": now - timedelta(days=30)})
 
 
 def daily_users(parts: DataFrame, p: Period, log: DataFrame) -> DataFrame:

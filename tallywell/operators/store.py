@@ -11,7 +11,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from tallywell.functions.expr import at, free, let
+from tallywell.functions.expr import at, free
+from tallywell.functions.scalars import last_of_each
 
 
 def scoped(docs: DataFrame, user: int, organization: int | None = None) -> DataFrame:
@@ -149,8 +150,8 @@ def folder_deleted(docs: DataFrame, folder: str) -> DataFrame:
 
 def object_of(text: Column) -> Column:
     """The keys of a JSON object with their values, the last value of a key that repeats; null and what is no object count as {}."""
-    entries = lambda c: F.map_entries(F.coalesce(F.from_json(c, "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>")))
-    return let(entries(text), lambda e: F.map_from_entries(F.filter(e, lambda x, i: i + 1 == F.size(e) - F.array_position(F.reverse(F.transform(e, lambda y: y["key"])), x["key"]) + 1)))
+    told = F.coalesce(F.from_json(text, "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>"))
+    return F.map_from_entries(last_of_each(F.map_entries(told)))
 
 
 def merged_metadata(old: Column, new: Column) -> Column:

@@ -78,3 +78,16 @@ def test_arguments(spark):
     assert {t: count_argument({"n": t} if t is not None else {}, "n", 50, 200) for t in given} == given
     rows = spark.createDataFrame([(t,) for t in given], "t string").select("t", count_column(F.col("t"), 50, 200).alias("n")).collect()
     assert {r.t: r.n for r in rows} == given
+
+
+def test_the_last_of_many_entries_with_a_key(spark):
+    """In the order they came, also thousands of them."""
+    from tallywell.functions.scalars import last_of_each, plan_prices
+
+    rows = [[("b", 1), ("a", 2), ("b", 3), ("c", 4), ("a", 5)], [], None, [(None, 1), ("x", 2), (None, 3)], [(f"k{i % 1000}", i) for i in range(20_000)]]
+    frame = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, e array<struct<key:string,value:int>>")
+    found = {r.i: r.e and [tuple(x) for x in r.e] for r in frame.select("i", last_of_each(F.col("e")).alias("e")).collect()}
+    assert found == {0: [("b", 3), ("c", 4), ("a", 5)], 1: [], 2: None, 3: [("x", 2), (None, 3)], 4: [(f"k{i}", 19_000 + i) for i in range(1000)]}
+    text = ",".join(f"p{i % 700}={i}" for i in range(7000))
+    (prices,) = spark.range(1).select(plan_prices(F.lit(text))).first()
+    assert prices == {f"p{i}": 6300.0 + i for i in range(700)}
