@@ -168,6 +168,11 @@ FROM (SELECT job_id, CASE WHEN bool_or(kind = 'job.completed') THEN 'job.complet
         readings,
         """SELECT p_partkey, p_size::BIGINT AS idle, p_partkey + p_size + 21 AS total, p_partkey * 2.0::DOUBLE AS total_mb, p_partkey * 1.0::DOUBLE AS used_mb, 0.5::DOUBLE AS free_mb, CASE WHEN p_partkey > 0 THEN 50.0::DOUBLE ELSE 0.0::DOUBLE END AS used_percent, p_size + 0.25::DOUBLE AS load5, p_partkey + 0.5::DOUBLE AS uptime FROM part""",
     ),
+    "src_statfs": (
+        lambda s, d: table(s, d, "part").select("p_partkey", host.disk(F.col("p_partkey") * 1000, F.lit(4096), F.col("p_partkey") * F.col("p_size"), F.col("p_partkey") * 7).alias("d")).select("p_partkey", *(F.round(f"d.{n}", 9).alias(n) for n in ("total_gb", "used_gb", "free_gb", "used_percent"))),
+        """SELECT p_partkey, round(p_partkey * 4096000 / 1073741824.0::DOUBLE, 9) AS total_gb, round(p_partkey * (1000 - p_size) * 4096 / 1073741824.0::DOUBLE, 9) AS used_gb, round(p_partkey * 28672 / 1073741824.0::DOUBLE, 9) AS free_gb,
+  CASE WHEN p_partkey > 0 THEN round((1000 - p_size) / 10.0::DOUBLE, 9) ELSE 0.0::DOUBLE END AS used_percent FROM part""",
+    ),
     "sink_gauge": (gauge_rows, LINES),
     "src_prom_gauge": (
         lambda s, d: monitoring.gauge(monitoring.samples(gauge_rows(s, d)), "dependency_up"),

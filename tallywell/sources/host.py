@@ -56,6 +56,22 @@ def memory(text: Column) -> Column:
     return F.struct((total / 1024).alias("total_mb"), ((total - available) / 1024).alias("used_mb"), (free / 1024).alias("free_mb"), (available / 1024).alias("available_mb"), percent.alias("used_percent"))
 
 
+def disk(blocks: Column, block_size: Column, free: Column, available: Column) -> Column:
+    """total, used and free GiB and the used share in percent, of a file system's counts of blocks: what is kept for the superuser is neither used nor free."""
+    total, used = blocks * block_size, (blocks - free) * block_size
+    gib = lambda c: c / float(1 << 30)
+    return F.struct(gib(total).alias("total_gb"), gib(used).alias("used_gb"), gib(available * block_size).alias("free_gb"), F.when(total > 0, used * 100.0 / total).otherwise(F.lit(0.0)).alias("used_percent"))
+
+
+def object_ranges(spark: SparkSession, folder: str, first: int, count: int, longest: int = 1 << 28) -> DataFrame:
+    """path, length and `part`: so many bytes from an offset on (fewer at the end, none beyond it) of the files below a folder that aren't longer than `longest`.
+
+    A file's bytes are read by one task and cut there; the filter on the length keeps longer files from being read at all.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).where(F.col("length") <= longest)
+    return files.select("path", "length", F.substring("content", max(0, first) + 1, max(0, count)).alias("part"))
+
+
 def objects(spark: SparkSession, folder: str) -> DataFrame:
     """path, length and modified of the files below a folder; the contents aren't read unless the column is asked for."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)

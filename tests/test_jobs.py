@@ -66,6 +66,8 @@ def test_objects_and_log_lines(spark, tmp_path):
     (tmp_path / "o" / "x.pdf").write_bytes(b"12345")
     (row,) = host.objects(spark, str(tmp_path / "o")).collect()
     assert row.path.endswith("x.pdf") and row.length == 5
+    parts = [bytes(host.object_ranges(spark, str(tmp_path / "o"), a, n).first().part) for a, n in ((0, 2), (3, 9), (5, 1), (1, 0))]
+    assert parts == [b"12", b"45", b"", b""] and host.object_ranges(spark, str(tmp_path / "o"), 0, 2, longest=4).count() == 0
     assert host.older_than(host.objects(spark, str(tmp_path / "o")), datetime(2000, 1, 1)).count() == 0
     (tmp_path / "l").mkdir()
     (tmp_path / "l" / "a.json").write_text('{"name":"/web-1","service":"web","line":"Fatal: x"}\n{"name":"job","service":"worker","line":"fatal"}\nnot json\n')
