@@ -6,7 +6,7 @@ aggregation over one scan. Filters on time and type are plain comparisons on col
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -189,17 +189,34 @@ def dau_wau_mau(log: DataFrame, now: datetime) -> DataFrame:
     return users_by(log.where(registered() & (t >= at(now - timedelta(days=30)))), {n: t >= at(s) for n, s in since.items()})
 
 
+#: Days that one word of a set of days holds.
+WORD_DAYS = 60
+
+
+def day_words(since: date, days: int, condition: Column | None = None) -> list[Column]:
+    """Aggregates: the days (from `since` to so many days later) of a group's rows for which the condition holds, as bits of a few words w0, w1, ..."""
+    off = F.datediff("created_at", F.lit(since))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(off, F.lit(WORD_DAYS)).cast("int"))
+    held = condition if condition is not None else F.lit(True)
+    return [F.bit_or(F.when(held & (F.floor(off / WORD_DAYS) == w), bit).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(days // WORD_DAYS + 1)]
+
+
+def on_day(off: Column, days: int) -> Column:
+    """Whether the words that day_words made hold the day that is `off` days after the first."""
+    words = range(days // WORD_DAYS + 1)
+    return reduce(lambda a, b: a | b, ((F.floor(off / WORD_DAYS) == w) & (F.getbit(F.col(f"w{w}"), F.pmod(off, F.lit(WORD_DAYS)).cast("int")) == 1) for w in words))
+
+
 def stickiness(log: DataFrame, p: Period) -> DataFrame:
     """Mean of the daily users over the days that have any, by the month's users.
 
     A user's days are bits of a few words, so one aggregation by user tells its days, and their union tells the period's.
     """
-    off = F.datediff("created_at", F.lit(p.since.date()))
-    words = range(p.days // 60 + 1)
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(off, F.lit(60)).cast("int"))
-    per_user = in_period(log, p).where(registered()).groupBy("user_id").agg(*(F.bit_or(F.when(F.floor(off / 60) == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in words))
-    own = reduce(lambda a, b: a + b, (F.bit_count(f"w{w}") for w in words))
-    found = per_user.agg(F.sum(own).alias("user_days"), F.count("*").alias("mau"), *(F.bit_or(f"w{w}").alias(f"w{w}") for w in words))
+    words = day_words(p.since.date(), p.days)
+    names = [f"w{i}" for i in range(len(words))]
+    per_user = in_period(log, p).where(registered()).groupBy("user_id").agg(*words)
+    own = reduce(lambda a, b: a + b, (F.bit_count(n) for n in names))
+    found = per_user.agg(F.sum(own).alias("user_days"), F.count("*").alias("mau"), *(F.bit_or(n).alias(n) for n in names))
     return found.select(ratio(F.col("user_days"), own * F.col("mau")).alias("stickiness"))
 
 
@@ -219,16 +236,20 @@ def activation(log: DataFrame, p: Period) -> DataFrame:
     return found.withColumn("activation_rate", ratio(F.col("activated"), F.col("total_signups")))
 
 
+RETENTION = (1, 7, 30)
+
+
 def retention_cohorts(log: DataFrame, p: Period) -> DataFrame:
-    """By day of the first sign-up in the period: how many of its users were active 1, 7 and 30 days later.
+    """By day of the first sign-up in the period: how many of its users were active 1, 7 and 30 days later, also after the period's end.
 
-    Activity has no upper bound. Each user is in one cohort, so the users of a day are counted after one aggregation by user.
+    Each user is in one cohort, so the users of a day are counted after one aggregation by user, which holds a user's days as bits.
     """
-    own = log.where(F.col("user_id").isNotNull() & (F.col("created_at") >= at(p.since)) & (is_type("user.signup") | ~F.col("is_guest")))
+    since, days = p.since.date(), p.days + max(RETENTION)
+    own = between(log, p.since, p.now + timedelta(days=max(RETENTION) + 1)).where(F.col("user_id").isNotNull() & (is_type("user.signup") | ~F.col("is_guest")))
     first = F.min(F.when(is_type("user.signup") & (F.col("created_at") < at(p.now)), F.col("created_at")))
-    by_user = own.groupBy("user_id").agg(F.to_date(first).alias("cohort_date"), F.collect_set(F.when(~F.col("is_guest"), day())).alias("days")).where("cohort_date IS NOT NULL")
-    later = [count_of(F.array_contains("days", F.date_add("cohort_date", n))).alias(f"d{n}") for n in (1, 7, 30)]
-    return by_user.groupBy("cohort_date").agg(F.count("*").alias("cohort_size"), *later)
+    by_user = own.groupBy("user_id").agg(F.to_date(first).alias("cohort_date"), *day_words(since, days, ~F.col("is_guest"))).where("cohort_date IS NOT NULL")
+    off = F.datediff("cohort_date", F.lit(since))
+    return by_user.groupBy("cohort_date").agg(F.count("*").alias("cohort_size"), *(count_of(on_day(off + n, days)).alias(f"d{n}") for n in RETENTION))
 
 
 def funnel(log: DataFrame, p: Period) -> DataFrame:

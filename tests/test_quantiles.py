@@ -67,3 +67,13 @@ def test_stickiness_over_more_days_than_a_word_has_bits(spark):
     (r,) = A.stickiness(log, Period(START + timedelta(days=150), 150)).collect()
     days = {d for ds in (range(0, 150, 3), (1, 149), (60, 61, 120)) for d in ds}
     assert r.stickiness == round((50 + 2 + 3) / (len(days) * 3), 6)
+
+
+def test_retention_after_the_end_and_over_many_words(spark):
+    day = lambda d, h=1: START + timedelta(days=d, hours=h)
+    rows = [(1, "user.signup", False, day(0)), (1, "user.login", False, day(1)), (1, "x", False, day(30)), (2, "user.signup", False, day(99)), (2, "user.signup", False, day(80, 23)), (2, "x", False, day(81)), (2, "x", False, day(110)), (2, "x", True, day(87))]
+    rows += [(3, "user.signup", True, day(99)), (3, "x", False, day(106)), (3, "x", False, day(129)), (4, "x", False, day(50)), (4, "user.signup", False, day(100)), (None, "user.signup", False, day(5)), (5, "user.signup", None, day(99)), (5, "x", None, day(100))]
+    log = spark.createDataFrame(rows, "user_id int, event_type string, is_guest boolean, created_at timestamp_ntz")
+    found = {r.cohort_date.toordinal() - START.toordinal(): tuple(r)[1:] for r in A.retention_cohorts(log, Period(day(100, 0), 100)).collect()}
+    assert found == {0: (1, 1, 0, 1), 80: (1, 1, 0, 1), 99: (2, 0, 1, 1)}
+    assert "collect_set" not in plan_of(A.retention_cohorts(log, Period(day(100, 0), 100)))
