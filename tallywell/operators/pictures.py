@@ -376,7 +376,7 @@ def decoded(spark: SparkSession, path: str, most: int = MOST_PIXELS) -> DataFram
     """
     heads = spark.read.format("binaryFile").load(path).select("path", stated_size(F.substring("content", 1, 1 << 16)).alias("s"))
     fit = heads.where((F.col("s.width") > 0) & (F.col("s.height") > 0) & (F.col("s.width").cast("long") * F.col("s.height") <= most)).select("path")
-    files = [r.path for r in fit.collect()]  # names only
+    files = [r.path for r in fit.collect()]  # names only, as any listing of files has them on the driver
     if not files:
         return spark.createDataFrame([], "path string, width int, height int, channels int, pixels binary")
     image = spark.read.format("image").option("dropInvalid", True).load(files).select("image.*")

@@ -1,8 +1,9 @@
 """Full text search from a positional index.
 
 The index has a row for each word of a document: its stem, the word, the document and the word's places. It is written as Parquet in
-folders by a hash of the stem, sorted by stem, so a query reads the folders of its stems and skips what else they hold. A frequent stem's rows
-are dealt over several files by document. Building it is one pass over the texts in Arrow batches and one shuffle of the rows.
+folders by a hash of the stem, sorted by stem, so a query reads the folders of its stems and skips what else they hold. A folder's rows
+are dealt over several files by document, some four for each of the session's shuffle partitions in all, so the build keeps all machines busy and a frequent stem is no
+single task's. Building it is one pass over the texts in Arrow batches and one shuffle of the rows.
 
 A query gathers, by document, what its words' rows say, and decides: words must be there or not, and phrases hold where the places
 of their words, moved by their distance, have one in common. A table without an index is searched by the same steps over rows that are made
@@ -23,8 +24,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 from tallywell.functions.english import STOP_WORDS, stem_of
 
-#: Folders by hash of the stem, and files of each by hash of the document.
-BUCKETS, FILES = 64, 8
+#: Folders by hash of the stem. A larger index has more of them, and is searched with the same number.
+BUCKETS = 64
 
 #: Alternatives, each a list of terms that must all hold: whether it is wanted, and its words with their places.
 Terms = list[list[tuple[bool, list[tuple[int, str]]]]]
@@ -57,14 +58,15 @@ def postings(docs: DataFrame, key: str = "id", content: str = "content", stems:
     return texts.mapInArrow(run, schema)
 
 
-def bucket_of(stem: str) -> int:
-    return crc32(stem.encode()) % BUCKETS
+def bucket_of(stem: str, buckets: int = BUCKETS) -> int:
+    return crc32(stem.encode()) % buckets
 
 
-def build_index(docs: DataFrame, path: str, key: str = "id", content: str = "content", mode: str = "error") -> None:
+def build_index(docs: DataFrame, path: str, key: str = "id", content: str = "content", mode: str = "error", buckets: int = BUCKETS) -> None:
     """Writes the index of these documents; mode "append" adds further ones to it."""
-    rows = postings(docs, key, content).withColumn("bucket", (F.crc32(F.col("stem").cast("binary")) % BUCKETS).cast("int"))
-    dealt = rows.repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(FILES))).sortWithinPartitions("bucket", "stem", "word", "doc")
+    files = -(-4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // buckets)
+    rows = postings(docs, key, content).withColumn("bucket", (F.crc32(F.col("stem").cast("binary")) % buckets).cast("int"))
+    dealt = rows.repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(files))).sortWithinPartitions("bucket", "stem", "word", "doc")
     dealt.write.mode(mode).partitionBy("bucket").parquet(path)
 
 
@@ -72,9 +74,9 @@ def index_at(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def of_stems(index: DataFrame, stems: list[str]) -> DataFrame:
+def of_stems(index: DataFrame, stems: list[str], buckets: int = BUCKETS) -> DataFrame:
     """The index's rows of these stems; other folders aren't read."""
-    return index.where(F.col("bucket").isin(*{bucket_of(s) for s in stems}) & F.col("stem").isin(*stems))
+    return index.where(F.col("bucket").isin(*{bucket_of(s, buckets) for s in stems}) & F.col("stem").isin(*stems))
 
 
 def search_terms(query: str) -> Terms:
@@ -127,17 +129,17 @@ def found(docs: DataFrame, rows: DataFrame, terms: Terms, by: str, key: str) ->
     return docs.join(hit.where("hit").select(F.col("doc").alias(key)), key, "left_semi")
 
 
-def full_text(docs: DataFrame, query: str, index: DataFrame | None = None, key: str = "id", content: str = "content") -> DataFrame:
+def full_text(docs: DataFrame, query: str, index: DataFrame | None = None, key: str = "id", content: str = "content", buckets: int = BUCKETS) -> DataFrame:
     """Documents whose words include all wanted and no unwanted ones, as they are: no stems and no stop words."""
     terms = search_terms(query)
     if not terms:
         return docs.where(F.lit(False))
     stems = sorted({stem_of(w) for alternative in terms for _, places in alternative for _, w in places})
-    rows = postings(docs, key, content, frozenset(stems)) if index is None else of_stems(index, stems)
+    rows = postings(docs, key, content, frozenset(stems)) if index is None else of_stems(index, stems, buckets)
     return found(docs, rows, terms, "word", key)
 
 
-def web_search(docs: DataFrame, query: str, index: DataFrame | None = None, key: str = "id", content: str = "content") -> DataFrame:
+def web_search(docs: DataFrame, query: str, index: DataFrame | None = None, key: str = "id", content: str = "content", buckets: int = BUCKETS) -> DataFrame:
     """Documents that hold what a web search asks for, by English stems: all words of an alternative, quoted ones in their places, none with a minus.
 
     A query of stop words only finds nothing.
@@ -146,5 +148,5 @@ def web_search(docs: DataFrame, query: str, index: DataFrame | None = None, key:
     if not terms:
         return docs.where(F.lit(False))
     stems = sorted({s for alternative in terms for _, places in alternative for _, s in places})
-    rows = postings(docs, key, content, frozenset(stems)) if index is None else of_stems(index, stems)
+    rows = postings(docs, key, content, frozenset(stems)) if index is None else of_stems(index, stems, buckets)
     return found(docs, rows, terms, "stem", key)

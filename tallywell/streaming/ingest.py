@@ -165,7 +165,8 @@ STATES = {"JobCreated": ("queued", 0), "JobRetried": ("queued", 0), "JobStarted"
 
 
 def job_states(events: DataFrame) -> DataFrame:
-    """Latest state of each job by event time; once completed, a job stays so. A built-in aggregation, so the state store holds two rows' worth for each job."""
+    """Latest state of each job by event time; once completed, a job stays so. A built-in aggregation, so the state store holds two rows' worth for each job,
+    and holds them for good: for a stream without an end, or where events may be out of turn, see keyed.job_stream."""
     state, progress = F.lit(None).cast("string"), F.lit(None).cast("int")
     for kind, (name, done) in STATES.items():
         state, progress = F.when(F.col("eventType") == kind, name).otherwise(state), F.when(F.col("eventType") == kind, done).otherwise(progress)

@@ -32,13 +32,14 @@ def test_web_search(spark, query, ids):
 
 def test_index_answers_as_the_texts_do(spark, tmp_path):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "id int, content string")
-    search.build_index(docs.where("id < 4"), str(tmp_path / "i"))
-    search.build_index(docs.where("id >= 4"), str(tmp_path / "i"), mode="append")
+    few = {"buckets": 5}
+    search.build_index(docs.where("id < 4"), str(tmp_path / "i"), **few)
+    search.build_index(docs.where("id >= 4"), str(tmp_path / "i"), mode="append", **few)
     index = search.index_at(spark, str(tmp_path / "i"))
     for query in ("runs", "racing -running", '"long race"', '"long the races"', '-"long race" long', "resting or hard", "-hard", "the of"):
-        assert sorted(web_search(docs, query, index).collect()) == sorted(web_search(docs, query).collect())
+        assert sorted(web_search(docs, query, index, **few).collect()) == sorted(web_search(docs, query).collect())
     for query, ids in (("THE race", [0, 2]), ("long -hard", [0, 2, 3]), ("-race", [1, 5, 6]), ("run,race", []), ("", [])):
-        assert sorted(r.id for r in full_text(docs, query, index).collect()) == sorted(r.id for r in full_text(docs, query).collect()) == ids
+        assert sorted(r.id for r in full_text(docs, query, index, **few).collect()) == sorted(r.id for r in full_text(docs, query).collect()) == ids
 
 
 def test_a_query_reads_only_the_folders_of_its_stems(spark, tmp_path, data):
