@@ -34,9 +34,9 @@ PRICES = {"guest": 0, "free": 0, "pro": 12}
 
 
 def between(log: DataFrame, start: datetime, end: datetime) -> DataFrame:
-    """The rows from start to before end. Of a log that is partitioned by `event_date`, only the folders of these days are read."""
+    """The rows from start to before end. Of a log that is partitioned by `event_date`, only the folders of these days are read, and a day before and after, as it may have been written in another time zone."""
     if "event_date" in log.columns:
-        log = log.where(F.col("event_date").between(F.lit(start.date()), F.lit(end.date())))
+        log = log.where(F.col("event_date").between(F.lit(start.date() - timedelta(days=1)), F.lit(end.date() + timedelta(days=1))))
     return log.where(within("created_at", start, end))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallywell.functions import scalars as S
@@ -186,6 +186,10 @@ FROM (SELECT p_partkey, unnest([x2, x0, x3, x1]) AS x, unnest([y2, y0, y3, y1])
         lambda s, d: M.nats_consumers(broker(s, d)),
         f"{B} SELECT scrape, stream, consumer, ack_pending AS num_ack_pending, redelivered AS num_redelivered, pending AS num_pending, 0::BIGINT AS num_waiting FROM c",
     ),
+    "multi_key_sort": (
+        lambda s, d: M.nats_consumers(broker(s, d)).select("scrape", "stream", "consumer", F.row_number().over(Window.partitionBy("scrape").orderBy("stream", F.desc("num_pending"), "consumer")).cast("long").alias("place")),
+        f"{B} SELECT scrape, stream, consumer, row_number() OVER (PARTITION BY scrape ORDER BY stream, pending DESC, consumer) AS place FROM c",
+    ),
     "nats_streams": (
         lambda s, d: M.nats_streams(broker(s, d)),
         f"{B} SELECT scrape, stream, k * 3 AS messages, p_size::BIGINT AS bytes, 1::BIGINT AS first_seq, k AS last_seq, k % 3 AS consumer_count FROM s JOIN part ON p_partkey = k",

@@ -141,6 +141,26 @@ def append_once(path: str, key: list[str], buckets: int = BUCKETS) -> Callable[[
     return write
 
 
+def compact(spark: SparkSession, path: str, key: list[str], numbers: list[int]) -> None:
+    """Merges the batches of some folders of a sink of append_once, each into its last one, with one row for each key; while no stream writes to it.
+
+    The merged rows are put down beside the sink first, then in place of the last batch, and the older ones go at the end. If it is ended in between, rows may stand there
+    twice until it is run again.
+    """
+    rows = kept_in(spark, path, numbers)
+    if rows is None:
+        return
+    last = rows.groupBy("bucket").agg(F.max("batch").alias("last"))
+    folders = rows.select("bucket", "batch").distinct().join(F.broadcast(last), "bucket").where(F.col("batch") < F.col("last")).collect()  # names of folders
+    merged = rows.dropDuplicates(["bucket", *key]).drop("batch").join(F.broadcast(last.withColumnRenamed("last", "batch")), "bucket")
+    beside = f"{path}/_merged"
+    merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket", "batch").parquet(beside)
+    spark.read.parquet(beside).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
+    for gone in [f"{path}/bucket={r['bucket']}/batch={r['batch']}" for r in folders] + [beside]:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(gone)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def started(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> DataStreamWriter:
     """A writer that takes all that is there and ends; give it another trigger to run on."""
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)

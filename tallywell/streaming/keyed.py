@@ -50,9 +50,10 @@ def job_stream(events: DataFrame, late: str = "10 minutes", kept: timedelta = ti
         for kind, at in zip(rows["kind"], rows["at"]):
             record, outcome = step(record, kind, at.to_pydatetime().replace(tzinfo=None))
             out.append((key[0], kind, at, outcome, record.state, record.progress, record.starts))
-        state.update((record.state, record.progress, record.starts, micros(record.at)))
-        ends = record.at + (kept if record.state == "completed" else idle)
-        state.setTimeoutTimestamp(max(millis(ends), state.getCurrentWatermarkMs() + 1))
+        if record.at is not None:  # else nothing has counted yet, and there is nothing to hold
+            state.update((record.state, record.progress, record.starts, micros(record.at)))
+            ends = record.at + (kept if record.state == "completed" else idle)
+            state.setTimeoutTimestamp(max(millis(ends), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=NAMES)
 
     NAMES = ["job_id", "kind", "at", "outcome", "state", "progress", "starts"]

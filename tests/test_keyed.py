@@ -53,8 +53,8 @@ def test_job_stream_skips_repeats_and_what_is_out_of_turn(spark, tmp_path):
     # behind the watermark: left out; past the time that a completed job is kept: its state ends
     ended = feed.run([event("c", "JobCreated", 1000)])
     assert [(r.job_id, r.outcome, r.state) for r in ended if r.job_id == "a"] == [("a", "ended", "completed")]
-    late = feed.run([event("a", "JobFailed", 100), event("c", "JobStarted", 1001)])
-    assert [(r.job_id, r.outcome) for r in late] == [("c", "applied")]
+    late = feed.run([event("a", "JobFailed", 100), event("c", "JobStarted", 1001), event("d", "JobCompleted", 1002)])
+    assert sorted((r.job_id, r.outcome, r.state) for r in late) == [("c", "applied", "processing"), ("d", "out of turn", "")]  # of d nothing is held
     assert feed.kept == 2  # b and c
 
 
@@ -136,3 +136,20 @@ def test_a_sink_of_many_partitions_is_read_where_a_batch_touches_it(spark, tmp_p
         write(batch, 1)
     found = spark.read.parquet(path)
     assert found.count() == 5004 and found.where("v = 'new'").count() == 4 and found.select("k").distinct().count() == 5004
+
+
+def test_batches_of_a_sink_are_merged(spark, tmp_path):
+    path = str(tmp_path / "sink")
+    write = ingest.append_once(path, ["k"], buckets=4)
+    for number in range(5):
+        write(spark.range(10 * number, 10 * number + 15).selectExpr("id AS k", f"{number} AS v"), number)
+    before = sorted(map(tuple, spark.read.parquet(path).select("k", "v").collect()))
+    assert len(before) == 55 and len(list((tmp_path / "sink").glob("bucket=*/batch=*"))) > 12
+    for _ in range(2):  # merging again changes nothing
+        ingest.compact(spark, path, ["k"], [0, 1, 3])
+        assert sorted(map(tuple, spark.read.parquet(path).select("k", "v").collect())) == before
+        assert [len(list((tmp_path / "sink" / f"bucket={b}").glob("batch=*"))) for b in (0, 1, 3)] == [1, 1, 1]
+    assert len(list((tmp_path / "sink" / "bucket=2").glob("batch=*"))) > 1
+    write(spark.range(0, 60).selectExpr("id AS k", "9 AS v"), 9)
+    assert spark.read.parquet(path).count() == 60
+    ingest.compact(spark, str(tmp_path / "none"), ["k"], [0])
