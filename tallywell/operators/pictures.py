@@ -14,6 +14,7 @@ from math import hypot
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,19 +40,25 @@ NEAR = 4.0
 LUMA = (19595, 38470, 7471)
 
 
+def tasks(rows: DataFrame) -> int:
+    """Into how many partitions pictures are dealt, or what they are made of: a file of some bytes for each picture is one task's, else."""
+    spark = rows.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def by_size(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of pictures of one size in the batch, and their pixels (picture, y, x, channel)."""
-    data = b.column("pixels").to_pylist()
+    data = b.column("pixels")
     sizes = list(zip(*(b.column(c).to_pylist() for c in ("height", "width", "channels"))))
     groups: dict[tuple[int, ...], list[int]] = {}
-    for i, (size, pixels) in enumerate(zip(sizes, data)):
-        if pixels is not None and None not in size and size[2] in (1, 3, 4) and min(size) > 0 and len(pixels) == size[0] * size[1] * size[2]:
+    for i, (size, n) in enumerate(zip(sizes, pc.binary_length(data).to_pylist())):
+        if n is not None and None not in size and size[2] in (1, 3, 4) and min(size) > 0 and n == size[0] * size[1] * size[2]:
             groups.setdefault(size, []).append(i)
     for (h, w, c), places in groups.items():
         step = max(1, AT_ONCE // (h * w))
         for at in range(0, len(places), step):
             own = places[at : at + step]
-            yield np.array(own), np.frombuffer(b"".join(data[i] for i in own), np.uint8).reshape(len(own), h, w, c)
+            yield np.array(own), np.frombuffer(b"".join(data[i].as_buffer() for i in own), np.uint8).reshape(len(own), h, w, c)
 
 
 def mapped(images: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
@@ -326,7 +333,8 @@ def straightened(images: DataFrame, quads: DataFrame, aspect: float = 0.0) -> Da
     size = {"x": F.col("width"), "y": F.col("height")}
     x, y = ([F.col(f"{c}.{v}") * size[v] for c in CORNERS] for v in "xy")
     w, h = upright_size(x, y, aspect)
-    both = images.select("image_id", *NAMES[1:]).join(quads.select("image_id", *CORNERS), "image_id")
+    # pixels are far more than Spark takes the output of a function for: their side is never the broadcast one, nor are its partitions made fewer by their compressed sizes
+    both = images.select("image_id", *NAMES[1:]).repartition(tasks(images), "image_id").join(quads.select("image_id", *CORNERS).hint("shuffle_hash"), "image_id")
     planned = both.select("image_id", *NAMES[1:], w.alias("out_width"), h.alias("out_height"), *(c.alias(f"c{i}") for i, c in enumerate(projection(x, y)))).where("c6 IS NOT NULL AND c7 IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

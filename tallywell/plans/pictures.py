@@ -48,12 +48,13 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drawn(quads: DataFrame, width: int = WIDTH, height: int = HEIGHT) -> DataFrame:
-    """Each quadrilateral as a bright page on a dark ground, in three channels."""
+    """Each quadrilateral as a bright page on a dark ground, in three channels; drawn in as many tasks as the session has, some pictures at a time."""
     flat = quads.select(F.col("image_id").cast("long").alias("image_id"), F.array(*(F.col(f"{c}.{v}").cast("double") for c in P.CORNERS for v in "xy")).alias("at"))
+    step = max(1, P.AT_ONCE // (width * height))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         y, x = np.mgrid[:height, :width] + 0.5
-        for b in batches:
+        for b in (whole.slice(start, step) for whole in batches for start in range(0, whole.num_rows, step)):
             out = []
             for at in b.column("at").to_pylist():
                 corner = np.array(at).reshape(4, 2) * (width, height)
@@ -64,7 +65,7 @@ def drawn(quads: DataFrame, width: int = WIDTH, height: int = HEIGHT) -> DataFra
             sizes = [pa.array([v] * b.num_rows, pa.int32()) for v in (width, height, 3)]
             yield pa.RecordBatch.from_arrays([b.column("image_id"), *sizes, pa.array(out, pa.binary())], names=P.NAMES)
 
-    return flat.mapInArrow(run, P.IMAGE)
+    return flat.repartition(P.tasks(flat), "image_id").mapInArrow(run, P.IMAGE)
 
 
 def detected(spark: SparkSession, sf_dir: str) -> DataFrame:

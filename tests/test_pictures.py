@@ -178,3 +178,14 @@ def test_decoding_guards_its_size(spark, tmp_path):
     jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc4\x00\x02\xff\xc0\x00\x11\x08\x00\x07\x01\x02\x03"
     heads = spark.createDataFrame([(bytearray(jpeg),), (None,), (bytearray(b""),), (bytearray(b"\xff\xd8\xff"),)], "content binary")
     assert [(r.s.width, r.s.height) if r.s else None for r in heads.select(P.stated_size(F.col("content")).alias("s")).collect()][:1] == [(258, 7)]
+
+
+def test_pictures_are_never_broadcast_and_their_makers_are_dealt_out(spark):
+    """Spark takes the pixels for as small as the rows they are made of; one small file is one task's."""
+    quads = quad_rows(spark, *QUADS * 40).coalesce(1)
+    images = drawn(quads)
+    assert images.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    both = P.straightened(images, quads)
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("ShuffledHashJoin") == 1
+    assert both.count() == 80
