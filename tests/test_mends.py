@@ -103,3 +103,10 @@ def test_csv_export_is_whole(spark):
     out = O.export_csv(docs, tags)
     assert out.count() == 50_003 and {r.Name: r.Tags for r in out.where("Tags <> ''").collect()} == {"d0.pdf": "a; b", "d50002.pdf": "c"}
     assert [r.Name for r in O.export_csv(docs, tags, 2).orderBy("Name").collect()] == ["d50001.pdf", "d50002.pdf"]
+
+
+def test_json_export_is_whole(spark):
+    docs, tags = many_documents(spark)
+    out = O.export_json(docs, tags)
+    assert out.count() == 50_003 and len([r for r in out.where("json NOT LIKE '%\"tags\":[]%'").collect()]) == 2
+    assert O.export_json(docs, tags, 2).count() == 2
