@@ -189,3 +189,15 @@ def test_pictures_are_never_broadcast_and_their_makers_are_dealt_out(spark):
     plan = both._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and plan.count("ShuffledHashJoin") == 1
     assert both.count() == 80
+
+
+def test_the_search_for_pages_is_dealt_out(spark, tmp_path):
+    """Suppliers are some bytes each, so even many lie in one file that one task reads."""
+    from tallywell.plans.pictures import detected
+
+    spark.range(24).selectExpr("id AS s_suppkey").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    seen = detected(spark, str(tmp_path))
+    assert [r.near and r.sure for r in seen.collect()] == [True] * 24
+    plan = seen._jdf.queryExecution().executedPlan().toString()
+    searched = plan[plan.index("MapInArrow") :]
+    assert "REPARTITION_BY_NUM" in searched and searched.index("MapInArrow") < searched.index("REPARTITION_BY_NUM")
