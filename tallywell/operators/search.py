@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from tallywell.functions.english import STOP_WORDS, stem_of
+from tallywell.functions.english import SPECIAL, STOP_WORDS, stem_of
 
 #: Folders by hash of the stem. A larger index has more of them, and is searched with the same number.
 BUCKETS = 64
@@ -33,10 +33,19 @@ Terms = list[list[tuple[bool, list[tuple[int, str]]]]]
 WORD = re.compile(r"[^\W_]+")
 
 
+def beginnings(stems: frozenset[str]) -> frozenset[str]:
+    """What the words of these stems begin with: two letters, or one if the stem has no more. Only words with a stem of their own differ in the second."""
+    return frozenset(s[:2] for s in stems) | {w[:2] for w, s in SPECIAL.items() if s in stems}
+
+
 def postings(docs: DataFrame, key: str = "id", content: str = "content", stems: frozenset[str] | None = None) -> DataFrame:
-    """stem, word, doc and places (from 0) of each word of each document; of the given stems only, if they are given."""
+    """stem, word, doc and places (from 0) of each word of each document; of the given stems only, if they are given.
+
+    A stem begins as its word does, so of other words than begin like a given stem neither places nor stems are made.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    begins = None if stems is None else beginnings(stems)
     texts = docs.select(docs[key].alias("doc"), F.lower(docs[content].cast("string")).alias("text"))
     schema = StructType([StructField("stem", StringType()), StructField("word", StringType()), StructField("doc", texts.schema["doc"].dataType), StructField("places", ArrayType(IntegerType()))])
     out = to_arrow_schema(schema)
@@ -49,7 +58,8 @@ def postings(docs: DataFrame, key: str = "id", content: str = "content", stems:
                 for i, text in enumerate(part.column("text").to_pylist()):
                     own: dict[str, list[int]] = {}
                     for at, word in enumerate(WORD.findall(text or "")):
-                        own.setdefault(word, []).append(at)
+                        if begins is None or word[:2] in begins or word[:1] in begins:
+                            own.setdefault(word, []).append(at)
                     rows += [(s, w, i, at) for w, at in own.items() for s in (stem_of(w),) if stems is None or s in stems]
                 if rows:
                     s, w, i, at = zip(*rows)

@@ -60,3 +60,23 @@ def test_places_of_the_index(spark):
 
 def test_terms():
     assert web_terms('Cats -dogs OR "The big cat"') == [[(True, [(0, "cats")]), (False, [(0, "dogs")])], [(True, [(1, "big"), (2, "cat")])]]
+
+
+def test_words_begin_like_their_stems():
+    ends = ("", "s", "es", "ies", "ied", "ed", "edly", "eed", "ing", "ingly", "y", "ly", "ational", "ization", "ness", "e", "ll", "ion", "'")
+    begins = ("", "a", "i", "y", "t", "th", "ay", "yy", "by", "ab", "hop", "run", "tri", "gener", "über", "ß")
+    for word in {a + m + b for a in begins for m in begins for b in ends} | set(STEMS) | set(search.SPECIAL):
+        if word:
+            begin = search.beginnings(frozenset([stem_of(word)]))
+            assert word[:2] in begin or word[:1] in begin
+
+
+def test_a_single_search_builds_no_index(spark, data, monkeypatch):
+    from tallywell.plans import store
+
+    monkeypatch.setattr(store, "INDEXES", {})
+    with monkeypatch.context() as m:
+        m.setattr(search, "build_index", lambda *a, **k: pytest.fail("an index was built for one search"))
+        once = {k: sorted(store.KEYS[k][0](spark, data).collect()) for k in ("p_fts", "p_fts_stems")}
+    store.index(spark, data)
+    assert {k: sorted(store.KEYS[k][0](spark, data).collect()) for k in once} == once
