@@ -13,7 +13,7 @@ def minutes_after_base(n: str) -> Column:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    """id, user_id, organization_id, folder, name, status, file_size, content, created_at, deleted_at."""
+    """id, user_id, organization_id, folder, name, file_type, status, file_size, content, created_at, deleted_at."""
     d = table(spark, folder, "documents")
     rest = F.col("doc_id") % 10
     status = F.when(rest == 0, "failed").when(rest == 1, "processing").when(rest == 2, "uploaded").otherwise("ready")
@@ -24,6 +24,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("doc_id") % 4 != 0, F.col("doc_id") % 4).alias("organization_id"),
         F.col("source").alias("folder"),
         F.concat(F.lit("doc "), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("name"),
+        F.lit("pdf").alias("file_type"),
         status.alias("status"),
         F.col("n_chars").alias("file_size"),
         F.col("text").alias("content"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from datetime import datetime, timedelta
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tallywell.operators import jobs as B
@@ -110,3 +111,23 @@ def test_json_export_is_whole(spark):
     out = O.export_json(docs, tags)
     assert out.count() == 50_003 and len([r for r in out.where("json NOT LIKE '%\"tags\":[]%'").collect()]) == 2
     assert O.export_json(docs, tags, 2).count() == 2
+
+
+def test_exports_of_rows_with_missing_values(spark, tmp_path):
+    """As their SQL has them: a JSON object names its missing values, and a document without an id has a file type."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from oracle import same
+
+    from tallywell.plans import store
+
+    made = {
+        "documents": {"doc_id": pa.array([4, 5, None, 11, 7], pa.int64()), "text": ["a", None, "c", "d", "e"], "lang": ["en"] * 5, "source": ["s", None, "s", "s", "s"], "n_chars": pa.array([1, None, 1, 1, None], pa.int64())},
+        "labels": {"doc_id": pa.array([4, 5, 5, None, 9], pa.int64()), "quality": pa.array([1, None, 1, 1, 1], pa.int64()), "toxic": pa.array([1, 1, None, 0, 1], pa.int64())},
+    }
+    con = duckdb.connect()
+    for name, columns in made.items():
+        pq.write_table(pa.table(columns), str(tmp_path / f"{name}.parquet"))
+        con.register(name, pa.table(columns))
+    for key in ("sink_export_json", "sink_export_csv"):
+        assert same(store.queries()[key](spark, str(tmp_path)), con, store.oracle_sql()[key]) == 4
