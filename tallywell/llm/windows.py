@@ -19,8 +19,9 @@ document become one passage, and passages connected by links make a class.
 A chain may put unlike texts between two copies. So wherever a link's sides aren't the same word for word, the stretches of TOKENS
 tokens there are loose and are linked again, in two ways. By a hash of all their tokens: of the windows of a key that hold the
 same stretch, each is linked with another one at it or is loose, so word-for-word repeats always meet, whatever stands between
-them. And, where the two sides aren't alike either, by the min-hashes of three functions, for near copies; what these chains link
-is compared like the first. A near copy is found with a probability: at a similarity of s, a stretch shares one of the three joint keys with 1 - (1 - s^2)^3.
+them. And, where the two sides aren't alike either, by the min-hashes of three functions, and within the key: if any link of a key
+parted unlike windows, all windows of it that aren't the same are held against each other, so near copies that share a key meet,
+whatever stands between them. What is linked so is compared like the first. A near copy is found with a probability: at a similarity of s, a stretch shares one of the three joint keys with 1 - (1 - s^2)^3.
 
 Defined results: texts that are null, empty or of fewer than WORDS words have no passages; each row is a document of its own,
 also where ids repeat or are null; a passage that repeats within one document only is not reported; empty tables give empty tables.
@@ -28,7 +29,7 @@ also where ids repeat or are null; a passage that repeats within one document on
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -147,7 +148,12 @@ def compact_windows(ordered: np.ndarray, offsets: np.ndarray, starts: np.ndarray
 
 
 def joint_windows(x: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each of PAIRS the keys of its joint windows, and the places of the first function's min-hash.
+    """For each of PAIRS the keys of its joint windows, and the places of the first function's min-hash."""
+    return ((k, c) for k, c, _ in joint_starts(x, offsets))
+
+
+def joint_starts(x: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Joint windows, and the first start of each: its stretches begin there and up to the next one's.
 
     The stretches of TOKENS tokens that begin at max(l, c - TOKENS + 1) and up to the next window's such start have their
     min-hash at c. So the windows of a function deal out all starts, and those of two are joined by merging their starts.
@@ -162,7 +168,7 @@ def joint_windows(x: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarr
         at = np.union1d(first, first2)
         i, j = np.searchsorted(first, at, "right") - 1, np.searchsorted(first2, at, "right") - 1
         gap = (c2[j] - c[i]).view(np.uint64)
-        yield mixed(own[i] * MULTIPLIERS[f] + mixed(own2[j] + gap)).view(np.int64), c[i]
+        yield mixed(own[i] * MULTIPLIERS[f] + mixed(own2[j] + gap)).view(np.int64), c[i], at
 
 
 #: A window: its key, document and place. Links of two documents: `at` has their places, pairs of int32; k only deals
@@ -336,8 +342,9 @@ def joined(row: np.ndarray, a: np.ndarray, b: np.ndarray, shift: np.ndarray) ->
 
 
 PART = "doc bigint, doc2 bigint, at binary, places binary, x binary"
-LINK = "doc bigint, a int, b int, doc2 bigint, a2 int, b2 int, loose binary"
-LINK_TYPES = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+LINK = "doc bigint, a int, b int, doc2 bigint, a2 int, b2 int, loose binary, held binary, apart binary"
+LINK_TYPES = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+LINK_NAMES = [v.split()[0] for v in LINK.split(", ")]
 
 
 def segments(at: np.ndarray, n: int) -> np.ndarray:
@@ -430,8 +437,8 @@ def checked(rows: pa.RecordBatch, text: list[str], again: bool) -> Iterator[pa.R
     some = e > a
     r, s, t, shift = joined(row[some], (c + a)[some], (c + e)[some] + TOKENS - 1, (c2 - c)[some])
     if len(r):
-        columns = (doc[r], s, t, doc2[r], s + shift, t + shift, [None] * len(r))
-        yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(columns, LINK_TYPES)], names=[v.split()[0] for v in LINK.split(", ")])
+        columns = (doc[r], s, t, doc2[r], s + shift, t + shift, *[[None] * len(r)] * 3)
+        yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(columns, LINK_TYPES)], names=LINK_NAMES)
     if not again:
         return
     # loose: starts whose first function's min-hash is at the link but which aren't equal to the other side; apart: not alike either
@@ -440,15 +447,20 @@ def checked(rows: pa.RecordBatch, text: list[str], again: bool) -> Iterator[pa.R
         starts = starts_of(edges)
         if not len(starts):
             continue
-        ordered = mixed(z * MULTIPLIERS[PAIRS[0][0]])
-        place = least_places(ordered, starts)
-        p, q = np.searchsorted(place, own), np.searchsorted(place, own, "right")
         none = same_end <= same
         stop, go = np.searchsorted(starts, own + same), np.searchsorted(starts, own + same_end)
-        covered = covering(len(starts), (p, np.where(none, q, np.minimum(q, stop))), (np.where(none, q, np.maximum(p, go)), q))
-        if covered.any():
+        held, parted = np.zeros(len(starts), bool), np.zeros(len(starts), bool)
+        for f, _ in PAIRS:
+            place = least_places(mixed(z * MULTIPLIERS[f]), starts)
+            p, q = np.searchsorted(place, own), np.searchsorted(place, own, "right")
+            covered = covering(len(starts), (p, np.where(none, q, np.minimum(q, stop))), (np.where(none, q, np.maximum(p, go)), q))
             apart = covering(len(starts), (p[~some], q[~some]))
-            yield loose_rows(z, edges, starts[covered], apart[covered], to_doc, to_place)
+            held |= covered
+            parted |= apart
+            if f == PAIRS[0][0] and covered.any():
+                yield loose_rows(z, edges, starts[covered], apart[covered], to_doc, to_place)
+        if held.any():
+            yield held_rows(z, edges, starts[held], parted[held], to_doc, to_place)
 
 
 def covering(n: int, *ranges: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -474,8 +486,213 @@ def loose_rows(z: np.ndarray, edges: np.ndarray, own: np.ndarray, apart: np.ndar
     packed = np.stack([whole, some, place], 1).astype("<i8").tobytes()
     blobs = [packed[24 * u : 24 * v] for u, v in zip(cut.tolist(), [*cut[1:].tolist(), len(doc)])]
     nothing = [None] * len(cut)
-    columns = (doc[cut], nothing, nothing, nothing, nothing, nothing, blobs)
-    return pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(columns, LINK_TYPES)], names=[v.split()[0] for v in LINK.split(", ")])
+    columns = (doc[cut], *[nothing] * 5, blobs, nothing, nothing)
+    return pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(columns, LINK_TYPES)], names=LINK_NAMES)
+
+
+def held_rows(z: np.ndarray, edges: np.ndarray, own: np.ndarray, apart: np.ndarray, to_doc: np.ndarray, to_place: np.ndarray) -> pa.RecordBatch:
+    """A row for each run of starts: the first one's place (a), the tokens of all their stretches, and which of them are apart."""
+    segment = np.searchsorted(edges, own, "right") - 1
+    cut = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1] + 1) | (segment[1:] != segment[:-1])]))
+    end = np.append(cut[1:], len(own))
+    data, flags = z.astype("<u4"), apart.astype(np.uint8).tobytes()
+    tokens = [data[u:v].tobytes() for u, v in zip(own[cut].tolist(), (own[end - 1] + TOKENS).tolist())]
+    nothing = [None] * len(cut)
+    columns = (to_doc[segment[cut]], own[cut] + to_place[segment[cut]], *[nothing] * 5, tokens, [flags[u:v] for u, v in zip(cut.tolist(), end.tolist())])
+    return pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(columns, LINK_TYPES)], names=LINK_NAMES)
+
+
+#: A joint window that may be held against all others of its key: the run it is in, its first start and end there, a hash of all this, and whether a link parted it.
+HELD = "k bigint, content bigint, doc bigint, a int, size int, at int, stop int, c int, apart boolean"
+HELD_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
+HELD_NAMES = [v.split()[0] for v in HELD.split(", ")]
+#: Windows of a block of one key, of which a task holds two at once; up to how many all pairs are
+#: compared as they are; and how many of a stretch's tokens tell which others it may be like.
+BLOCK, FEW = 1024, 12
+RAREST = 24
+
+
+def held_windows(made: DataFrame) -> DataFrame:
+    """Joint windows of the runs of held_rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            doc, first = b.column("doc").to_numpy(), b.column("a").to_numpy()
+            blobs, flags = b.column("held").to_pylist(), b.column("apart").to_pylist()
+            x = np.frombuffer(b"".join(blobs), "<u4").astype(np.uint64)
+            offsets = np.concatenate([[0], np.cumsum([len(v) // 4 for v in blobs])])
+            marks = np.zeros(len(x) + 1, np.int64)
+            marks[starts_of(offsets) + 1] = np.frombuffer(b"".join(flags), np.uint8)
+            parted = np.cumsum(marks)
+            found = [np.stack([k, c, at]) for k, c, at in joint_starts(x, offsets)]
+            text = [np.searchsorted(offsets, at, "right") - 1 for _, _, at in found]
+            stop = np.concatenate([np.minimum(np.append(at[1:], len(x)), offsets[t + 1] - TOKENS + 1) for (_, _, at), t in zip(found, text)])
+            (k, c, at), text = np.concatenate(found, axis=1), np.concatenate(text)
+            apart, end = parted[stop] > parted[at], stop + TOKENS - 1
+            content = range_hashes(x, at, end) + (c - at).astype(np.uint64)
+            order = np.lexsort((content, k))
+            new = np.concatenate([[True], (k[order][1:] != k[order][:-1]) | (content[order][1:] != content[order][:-1])])
+            apart, order = np.logical_or.reduceat(apart[order], np.flatnonzero(new)), order[new]
+            text, begin = text[order], offsets[text[order]]
+            columns = (k[order], content[order].view(np.int64), doc[text], first[text], np.diff(offsets)[text], at[order] - begin, end[order] - begin, c[order] - begin, apart)
+            yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(columns, HELD_TYPES)], names=HELD_NAMES)
+
+    return made.where("held is not null").select("doc", "a", "held", "apart").mapInArrow(run, HELD)
+
+
+ASKED = "k bigint, i int, j int, doc bigint, c int, at int, w binary"
+
+
+def with_stretches(windows: DataFrame, made: DataFrame) -> DataFrame:
+    """Windows (k, i, j and what HELD has) with the tokens of their stretches, and where in them c is. A run's windows are gathered before its tokens are joined."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of, (k, i, j, at, stop, c) = links_of(b)
+            blobs, first = b.column("held").to_pylist(), b.column("a").to_numpy()
+            u, v = at.to_numpy(), stop.to_numpy()
+            w = [blobs[r][4 * p : 4 * q] for r, p, q in zip(of.tolist(), u.tolist(), v.tolist())]
+            columns = (k, i, j, b.column("doc").take(pa.array(of)), pa.array(first[of] + c.to_numpy(), pa.int32()), pa.array(c.to_numpy() - u, pa.int32()), pa.array(w, pa.binary()))
+            yield pa.RecordBatch.from_arrays(list(columns), names=[n.split()[0] for n in ASKED.split(", ")])
+
+    own = ["doc", "a", "size"]
+    gathered = windows.groupBy(*own).agg(F.collect_list(F.struct("k", "i", "j", "at", "stop", "c")).alias("links"))
+    runs = made.where("held is not null").select("doc", "a", (F.length("held") / 4).cast("int").alias("size"), "held").dropDuplicates(own)
+    return gathered.join(runs, own).select("doc", "a", "links", "held").mapInArrow(run, ASKED)
+
+
+def parted_links(made: DataFrame) -> DataFrame:
+    """doc, doc2 and `at`: places of windows of one key that are alike, wherever a chain put unlike ones between them.
+
+    If all links of a key's chain are alike, all its windows are connected. Else each is held against all others of the key: of many,
+    only those that have enough tokens in common, and not those that are connected already. A key with more than BLOCK windows is
+    dealt out as pairs of blocks. Of windows with the same tokens one is enough: the links of whole stretches connect them.
+    """
+    one = F.min(F.struct("doc", "a", "size", "at", "stop", "c")).alias("one")
+    rows = shared_checkpoint(held_windows(made).groupBy("k", "content").agg(one, F.max("apart").alias("apart")))
+    keys = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("apart").alias("apart")).where("apart and n > 1")
+    keys = keys.select("k", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    own, every = F.pmod("content", "blocks").cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
+    dealt = rows.drop("apart").join(keys, "k").withColumn("own", own).withColumn("other", F.explode(every))
+    dealt = with_stretches(dealt.select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "one.*"), made)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of the last group, which may go on
+        for b in batches:
+            if b.num_rows:
+                rows = pa.Table.from_batches([*held, b])
+                key = np.stack([rows.column(c).to_numpy() for c in "kij"])
+                last = np.flatnonzero((key != key[:, -1:]).any(0))
+                cut = int(last[-1]) + 1 if len(last) else 0
+                yield from alike_windows(rows.slice(0, cut))
+                held = rows.slice(cut).to_batches()
+        if held:
+            yield from alike_windows(pa.Table.from_batches(held))
+
+    found = dealt.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "doc", "c").mapInArrow(run, ROW)
+    return found.groupBy("doc", "doc2").agg(F.listagg("at").alias("at"))
+
+
+def alike_windows(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Links of the windows of whole groups (k, i, j)."""
+    if not rows.num_rows:
+        return
+    key = np.stack([rows.column(c).to_numpy() for c in "kij"])
+    doc, c, at = (rows.column(v).to_numpy().astype(np.int64) for v in ("doc", "c", "at"))
+    blobs = rows.column("w").to_pylist()
+    x = np.frombuffer(b"".join(blobs), "<u4").astype(np.uint64)
+    end = np.cumsum([len(v) // 4 for v in blobs])
+    begin = np.append(0, end[:-1])
+    group = np.cumsum(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)]))
+    content = range_hashes(x, begin, end) + at.astype(np.uint64)
+    order = np.lexsort((c, doc, content, group))
+    order = order[np.concatenate([[True], (group[order][1:] != group[order][:-1]) | (content[order][1:] != content[order][:-1])])]
+    order = np.sort(order)
+    group, doc, c, begin, end, i = group[order], doc[order], c[order], begin[order], end[order], (begin + at)[order]
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    size = np.diff(np.append(first, len(group)))
+
+    def alike_pairs(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        a, e, _, _ = compared(x, x, i[p], i[q], np.stack([begin[p], end[p]]), np.stack([begin[q], end[q]]))
+        return e > a
+
+    links = []
+    few = np.repeat(size <= FEW, size)
+    for d in range(1, FEW):
+        p = np.flatnonzero((group[d:] == group[:-d]) & few[d:])
+        if not len(p):
+            break
+        good = p[alike_pairs(p, p + d)]
+        links.append(np.stack([good, good + d]))
+    for at_, n in zip(first[size > FEW].tolist(), size[size > FEW].tolist()):
+        links += many_windows(x, begin[at_ : at_ + n], end[at_ : at_ + n], at_, alike_pairs)
+    p, q = np.concatenate(links, axis=1) if links else np.empty((2, 0), np.int64)
+    p, q = np.where(doc[p] <= doc[q], p, q), np.where(doc[p] <= doc[q], q, p)
+    if len(p):
+        yield as_batch(np.empty((3, 0), np.int64), np.stack([doc[p], c[p], doc[q], c[q]]))
+
+
+def products(code: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+    """For each two of n rows the sum of the products of their counts; code: column * n + row, each once."""
+    out = np.zeros((n, n), np.float32)
+    _, column, holders = np.unique(code // n, return_inverse=True, return_counts=True)
+    shared = holders[column] > 1
+    _, column = np.unique(column[shared], return_inverse=True)
+    row, count = code[shared] % n, count[shared]
+    order = np.argsort(column, kind="stable")
+    column, row, count = column[order], row[order], count[order]
+    last = int(column[-1]) + 1 if len(column) else 0
+    for at in range(0, last, 4096):
+        own = slice(*np.searchsorted(column, (at, at + 4096)))
+        part = np.zeros((n, min(4096, last - at)), np.float32)
+        part[row[own], column[own] - at] = count[own]
+        out += part @ part.T
+    return out
+
+
+def many_windows(x: np.ndarray, begin: np.ndarray, end: np.ndarray, offset: int, alike_pairs: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> list[np.ndarray]:
+    """Links that connect what is alike among the windows of one group: of all pairs that share enough of the RAREST tokens of a
+    stretch, those that aren't connected by then. Alike stretches have all but TOKENS - COMMON of these in common, in whatever order tokens are ranked."""
+    n, size = len(begin), end - begin
+    row = np.repeat(np.arange(n), size)
+    token = x[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+    _, token = np.unique(token, return_inverse=True)
+    holders = np.bincount(np.unique(token * n + row) // n)
+    rank = np.empty(len(holders), np.int64)
+    rank[np.argsort(holders, kind="stable")] = np.arange(len(holders))
+    ranked, starts = rank[token], starts_of(np.append(0, np.cumsum(size)))
+    least = [np.partition(ranked[starts[u : u + 8192, None] + np.arange(TOKENS)], RAREST - 1, axis=1)[:, :RAREST] for u in range(0, len(starts), 8192)]
+    # the first, second, ... time that a stretch has a token are different ones
+    least = np.sort(np.concatenate(least), axis=1)
+    again = np.zeros(least.shape, np.int64)
+    for j in range(1, RAREST):
+        again[:, j] = np.where(least[:, j] == least[:, j - 1], again[:, j - 1] + 1, 0)
+    rare = np.unique((least * RAREST + again) * n + row[starts][:, None])
+    meet = products(rare, np.ones(len(rare)), n)
+    p, q = np.nonzero(np.triu(meet >= RAREST - TOKENS + COMMON, 1))
+    order = np.argsort(-meet[p, q], kind="stable")
+    p, q = p[order], q[order]
+    root, links = np.arange(n), []
+
+    def find(v: int) -> int:
+        while root[v] != v:
+            root[v] = v = root[root[v]]
+        return v
+
+    while len(p):
+        now, p, later, q = p[:n], p[n:], q[:n], q[n:]
+        good = alike_pairs(now + offset, later + offset)
+        for u, v in zip(now[good].tolist(), later[good].tolist()):
+            if (a := find(u)) != (b := find(v)):
+                root[max(a, b)] = min(a, b)
+        links.append(np.stack([now[good], later[good]]) + offset)
+        if good.any():
+            root = np.array([find(v) for v in range(n)])
+        open_ = root[p] != root[q]
+        p, q = p[open_], q[open_]
+    return links
 
 
 def loose_links(loose: DataFrame, which: int) -> DataFrame:
@@ -506,18 +723,18 @@ def exact_stretches(links: DataFrame) -> DataFrame:
                 s, s2 = np.concatenate(at).T.astype(np.int64)
                 r, s, t, shift = joined(row, s, s + TOKENS, s2 - s)
                 columns = (doc[r], s, t, doc2[r], s + shift, t + shift)
-                yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(columns, LINK_TYPES)], names=[v.split()[0] for v in LINK.split(", ")][:6])
+                yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(columns, LINK_TYPES)], names=LINK_NAMES[:6])
 
-    return links.mapInArrow(run, LINK.rpartition(",")[0])
+    return links.mapInArrow(run, LINK.partition(", loose")[0])
 
 
 def all_links(docs: DataFrame) -> DataFrame:
     """doc, a, b, doc2, a2, b2 of all verified links of docs (doc and text)."""
     made = shared_checkpoint(verified(shared_checkpoint(window_links(docs)), docs))
     loose, sides = made.where("loose is not null"), ["doc", "a", "b", "doc2", "a2", "b2"]
-    near = shared_checkpoint(verified(shared_checkpoint(loose_links(loose, 1)), docs, False))
+    near = shared_checkpoint(verified(shared_checkpoint(loose_links(loose, 1).union(parted_links(made))), docs, False))
     # what the second links leave loose was loose before, so the links by all tokens cover it
-    links = made.where("loose is null").select(*sides).union(near.where("loose is null").select(*sides))
+    links = made.where("doc2 is not null").select(*sides).union(near.select(*sides))
     return shared_checkpoint(links.union(exact_stretches(loose_links(loose, 0))))
 
 

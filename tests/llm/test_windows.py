@@ -137,6 +137,55 @@ def test_near_copies_meet_past_other_texts(spark):
     assert not any(k >= 10_000 for k in got)
 
 
+@pytest.mark.parametrize(("pairs", "unlike", "block"), [(150, 20, windows.BLOCK), (6, 150, 40)])
+def test_no_unlike_text_parts_near_copies_that_share_a_key(spark, monkeypatch, pairs, unlike, block):
+    """Pairs that differ in one word of 54, with unlike texts between in the order of ids that share the first 30; also with keys dealt out in blocks."""
+    monkeypatch.setattr(windows, "BLOCK", block)
+    rng = np.random.default_rng(21)
+    keys = lambda text: {int(k) for own, _ in windows.joint_windows(*windows.tokens_of([text])) for k in own}
+    rows, meet = [], []
+    for n in range(0, 1000 * pairs, 1000):
+        passage = some_words(rng, 54)
+        changed = EDITS["substituted"](passage, int(rng.integers(31, 53)))
+        rows += [(n, " ".join(passage)), (n + unlike + 1, " ".join(changed))]
+        rows += [(n + 1 + i, " ".join([*passage[:30], *some_words(rng, 24)])) for i in range(unlike)]
+        meet += [n] if keys(" ".join(passage)) & keys(" ".join(changed)) else []
+    got = found_in(spark, rows, 1)
+    assert len(meet) >= 0.9 * pairs and [n for n in meet if not {r.class_id for r in got.get(n, [])} & {r.class_id for r in got.get(n + unlike + 1, [])}] == []
+    assert all(i % 1000 in (0, unlike + 1) for i in got)
+
+
+def test_all_windows_of_a_key_are_connected_as_all_pairs_say():
+    """Against all pairs: what is alike is connected, in groups of copies with some words changed and unlike texts around a common form."""
+    rng = np.random.default_rng(3)
+    for _ in range(10):
+        base = windows.mixed(rng.integers(0, 10**6, 2 * T - 1).astype(np.uint64))
+        made = []
+        for n in range(40):
+            own = base.copy()
+            places = rng.permutation(2 * T - 1)[: (2, 5, 12, 40)[n % 4]]
+            own[places] = windows.mixed(rng.integers(0, 40 if n % 2 else 10**6, len(places)).astype(np.uint64) + np.uint64(1 << 40))
+            own[T - 1] = base[T - 1]
+            made.append(own)
+        x, begin = np.concatenate(made), np.arange(40) * (2 * T - 1)
+        end, i = begin + 2 * T - 1, begin + T - 1
+
+        def alike_pairs(p, q):
+            first, stop, _, _ = windows.compared(x, x, i[p], i[q], np.stack([begin[p], end[p]]), np.stack([begin[q], end[q]]))
+            return stop > first
+
+        def classes(p, q):
+            of = list(range(40))
+            for u, v in zip(p.tolist(), q.tolist()):
+                of = [of[u] if k == of[v] else k for k in of]
+            return {frozenset(k for k in range(40) if of[k] == c) for c in of}
+
+        p, q = np.triu_indices(40, 1)
+        good = alike_pairs(p, q)
+        found = windows.many_windows(x, begin, end, 0, alike_pairs)
+        assert 0 < good.sum() < len(p) and classes(*np.concatenate(found, axis=1)) == classes(p[good], q[good])
+
+
 def test_rows_of_one_id_are_each_searched(spark):
     rng = np.random.default_rng(14)
     passage, other = " ".join(some_words(rng, 60)), " ".join(some_words(rng, 55))
