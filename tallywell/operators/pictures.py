@@ -9,7 +9,7 @@ their corners. Rows without an id or pixels, or with another number of bytes tha
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 from math import hypot
 
 import numpy as np
@@ -24,6 +24,8 @@ IMAGE = "image_id bigint, width int, height int, channels int, pixels binary"
 NAMES = [c.split()[0] for c in IMAGE.split(", ")]
 #: Pixels that are worked on together (or one picture).
 AT_ONCE = 1 << 21
+#: Pixels of a picture up to which the places of their votes are kept as a table.
+TABLED = 1 << 15
 
 # The largest picture that is decoded, in pixels; sizes and limits of the search for a page.
 MOST_PIXELS = 50_000_000
@@ -166,7 +168,7 @@ def downscaled(images: DataFrame, longest: int) -> DataFrame:
 def shifted_sum(p: np.ndarray, axis: int, weights: tuple[int, ...]) -> np.ndarray:
     """Weighted sums of neighbours along an axis of a padded array."""
     n = p.shape[axis] - len(weights) + 1
-    return sum(k * p.take(range(i, i + n), axis=axis) for i, k in enumerate(weights) if k)
+    return sum(k * p[(slice(None),) * axis + (slice(i, i + n),)] for i, k in enumerate(weights) if k)
 
 
 def edges_of(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,11 +191,23 @@ def edges_of(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return reduce(np.logical_or, [wide[:, i : i + h, j : j + w] for i in range(3) for j in range(3)]), size
 
 
+@lru_cache(maxsize=2)
+def line_places(h: int, w: int) -> np.ndarray:
+    """For each pixel of a small picture, row by row, where its votes of all angles go."""
+    y, x = np.divmod(np.arange(h * w), w)
+    diagonal = hypot(w, h)
+    angle = np.arange(ANGLES) * np.pi / ANGLES
+    rho = np.outer(x, np.cos(angle)) + np.outer(y, np.sin(angle))
+    return (((rho + diagonal) / BIN).astype(np.int64) * ANGLES + np.arange(ANGLES)).astype(np.int32)
+
+
 def votes_of(edges: np.ndarray) -> tuple[np.ndarray, float]:
     """Votes of one picture's edge pixels for lines by distance (in bins) and angle, counted where there are any."""
     h, w = edges.shape
     diagonal = hypot(w, h)
     bins = int(2 * diagonal / BIN) + 1
+    if h * w <= TABLED:
+        return np.bincount(line_places(h, w)[np.flatnonzero(edges)].ravel(), minlength=bins * ANGLES)[: bins * ANGLES].reshape(bins, ANGLES), diagonal
     angle = np.arange(ANGLES) * np.pi / ANGLES
     y, x = np.nonzero(edges)
     votes = np.zeros(bins * ANGLES, np.int64)
@@ -204,12 +218,11 @@ def votes_of(edges: np.ndarray) -> tuple[np.ndarray, float]:
     return votes.reshape(bins, ANGLES), diagonal
 
 
-def fitted(change: np.ndarray, rho: float, theta: float) -> tuple[float, float]:
-    """The line along which the picture changes most near a bin's line, by weighted least squares across it: finer than bins are wide."""
-    y, x = np.indices(change.shape)
+def fitted(x: np.ndarray, y: np.ndarray, change: np.ndarray, rho: float, theta: float) -> tuple[float, float]:
+    """The line along which the picture changes most near a bin's line, by weighted least squares across it: finer than bins are wide. x, y and change: of the pixels with any."""
     rho += BIN / 2
     for _ in range(3):
-        near = (np.abs(x * np.cos(theta) + y * np.sin(theta) - rho) <= NEAR) & (change > 0)
+        near = np.abs(x * np.cos(theta) + y * np.sin(theta) - rho) <= NEAR
         if near.sum() < 2:
             break
         at, weight = np.stack([x[near], y[near]]).astype(np.float64), change[near].astype(np.float64) ** 2
@@ -237,6 +250,8 @@ def sides_of(edges: np.ndarray, change: np.ndarray) -> list[dict] | None:
     r, t = r[order], t[order]
     rho, theta, n = r * BIN - diagonal, t * np.pi / ANGLES, votes[r, t]
     slant = np.deg2rad(SLANT)
+    y, x = np.nonzero(change > 0)
+    some = change[y, x]
     out: list[dict] = []
     for own, apart in ((np.abs(theta - np.pi / 2) < slant, APART * h), ((theta < slant) | (theta > np.pi - slant), APART * w)):
         p, a, v = rho[own], theta[own], n[own]
@@ -246,7 +261,7 @@ def sides_of(edges: np.ndarray, change: np.ndarray) -> list[dict] | None:
         if not far.any():
             return None
         for k in np.unravel_index(far.argmax(), far.shape):
-            fine = fitted(change, float(p[k]), float(a[k]))
+            fine = fitted(x, y, some, float(p[k]), float(a[k]))
             out.append({"rho": fine[0], "theta": fine[1], "votes": int(v[k])})
     return out
 
