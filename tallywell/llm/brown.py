@@ -335,18 +335,20 @@ def gains(counts: np.ndarray, table: np.ndarray, own: np.ndarray) -> np.ndarray:
     c = len(table) - 1
     to, fro = table.sum(1), table.sum(0)
     around = np.concatenate([table[:, :c], table[:c].T])  # for each code: the count that grows if the word joins h
+    plain = phi(around)
     out = np.zeros((len(counts), c))
     row, code = np.nonzero(counts)
     for at in range(0, len(row), 1 << 16):
         part = slice(at, at + (1 << 16))
-        base = around[code[part]]
         first, begin = np.unique(row[part], return_index=True)
-        out[first] += np.add.reduceat(phi(base + counts[row[part], code[part], None]) - phi(base), begin, axis=0)
+        out[first] += np.add.reduceat(phi(around[code[part]] + counts[row[part], code[part], None]) - plain[code[part]], begin, axis=0)
     before, after = counts[:, : c + 1].sum(1), counts[:, c + 1 :].sum(1)
     left, right = counts[:, :c], counts[:, c + 1 : 2 * c + 1]
     d = np.diag(table)[:c]
     out += phi(d + right + left) + phi(d) - phi(d + right) - phi(d + left)
-    out -= phi(to[:c] + after[:, None]) - phi(to[:c]) + phi(fro[:c] + before[:, None]) - phi(fro[:c])
+    # most words have one of few numbers of neighbours
+    (some, i), (other, j) = (np.unique(v, return_inverse=True) for v in (after, before))
+    out -= (phi(to[:c] + some[:, None]) - phi(to[:c]))[i] + phi(fro[:c] + other[:, None])[j] - phi(fro[:c])
     # a word's own class: without the word itself
     w = np.flatnonzero(own >= 0)
     g = own[w]
@@ -443,6 +445,12 @@ def exchanged(found: DataFrame, known: list[bytes], of: np.ndarray, core: int, t
     return found.repartition("word").sortWithinPartitions("word").mapInArrow(run, PLACED)
 
 
+def class_table(pairs: np.ndarray, of: np.ndarray, c: int) -> np.ndarray:
+    """Class bigrams of words, from their bigram counts and classes."""
+    hot = np.eye(c + 1)[of]
+    return hot.T @ (pairs.astype(np.float64) @ hot)
+
+
 def known_table(texts: DataFrame, of: np.ndarray, c: int) -> np.ndarray:
     """Class bigrams of neighbours that are both known and have a class."""
     sent = texts.sparkSession.sparkContext.broadcast(of)
@@ -495,10 +503,12 @@ def clustered(docs: DataFrame) -> tuple[Model, DataFrame]:
     core = min(CORE, len(known))
     c = max(1, min(CLASSES, core - 1))
     of = np.full(len(known), -1, np.int64)
-    of[:core] = exchange(core_bigrams(texts, core), c)
+    pairs = core_bigrams(texts, core)
+    of[:core] = exchange(pairs, c)
     placed = None
     for others in (False, True):
-        classes, table = classes_of(known, n, of, c), known_table(texts, of, c)
+        # as long as only the core has classes, its bigrams say all
+        classes, table = classes_of(known, n, of, c), known_table(texts, of, c) if others else class_table(pairs, of[:core], c)
         last, placed = placed, written(exchanged(contexts(texts, known, of, c, others), known, of, core, table, classes), "placed")
         if last is not None:
             removed(docs.sparkSession, last)

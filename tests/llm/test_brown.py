@@ -212,3 +212,14 @@ def test_odd_texts(spark):
     assert brown.perplexity(docs.where("false")).collect() == []
     alone = brown.perplexity(docs.where("doc_id is null")).collect()
     assert [(r.train_tokens, r.n_known, r.n_tokens) for r in alone] == [(0, 0, 3)]
+
+
+def test_the_class_table_of_the_core_comes_from_its_bigrams():
+    """Against counting each bigram by the classes of its words."""
+    rng = np.random.default_rng(4)
+    pairs, of = rng.integers(0, 9, (30, 30)), np.append(5, rng.integers(0, 5, 29))
+    want = np.zeros((6, 6))
+    for v in range(30):
+        for w in range(30):
+            want[of[v], of[w]] += pairs[v, w]
+    assert (brown.class_table(pairs, of, 5) == want).all()
