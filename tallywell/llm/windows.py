@@ -263,14 +263,41 @@ def met(made: DataFrame) -> DataFrame:
 
 
 AROUND = np.arange(1 - TOKENS, TOKENS)
+#: Bits of a mark of all tokens around a place.
+BITS = 2048
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether the multisets' Jaccard similarity is at least SIMILARITY."""
-    (u, n), (v, m) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
-    _, i, j = np.intersect1d(u, v, assume_unique=True, return_indices=True)
-    both = int(np.minimum(n[i], m[j]).sum())
-    return both >= SIMILARITY * (len(a) + len(b) - both) - 1e-9
+def coded(tokens: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """The bit of each token; BITS for those that aren't inside."""
+    return np.where(inside, tokens & np.asarray(BITS - 1, tokens.dtype), np.asarray(BITS, tokens.dtype)).astype(np.int16)
+
+
+def marked(code: np.ndarray) -> np.ndarray:
+    """For each row which bits its tokens have; the last column is for none."""
+    out = np.zeros((len(code), BITS + 1), bool)
+    out[np.arange(len(code))[:, None], code] = True
+    out[:, BITS] = False
+    return out
+
+
+def promising(code: np.ndarray, bits: np.ndarray, row: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Rows with a stretch of which COMMON tokens may be in the marks bits[row]: no row that `alike` would take is missing."""
+    runs = np.zeros((len(code), len(AROUND) + 1), np.int8)
+    np.cumsum(bits[row[:, None], code], axis=1, dtype=np.int8, out=runs[:, 1:])
+    return ((runs[:, TOKENS:] - runs[:, :-TOKENS] >= COMMON) & whole).any(1)
+
+
+def numbered(x: np.ndarray) -> np.ndarray:
+    """Each row sorted; the first, second, ... time that it has a token are different ones."""
+    x, i = np.sort(x, axis=1).astype(np.uint64), np.arange(x.shape[1])
+    first = np.maximum.accumulate(np.where(np.pad(x[:, 1:] != x[:, :-1], ((0, 0), (1, 0))), i, 0), axis=1)
+    return x << np.uint64(8) | (i - first).astype(np.uint64)
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Rows of TOKENS tokens whose multisets have COMMON in common: a Jaccard similarity of at least SIMILARITY."""
+    both = np.sort(np.hstack([numbered(a), numbered(b)]), axis=1)
+    return (both[:, 1:] == both[:, :-1]).sum(1) >= COMMON
 
 
 def alike(a: np.ndarray, b: np.ndarray, inside: np.ndarray, whole: np.ndarray) -> np.ndarray:
@@ -282,6 +309,7 @@ def alike(a: np.ndarray, b: np.ndarray, inside: np.ndarray, whole: np.ndarray) -
     min(p, q). Counted for all pairs this is the number of common tokens, or more where a token repeats: these are counted anew.
     """
     out = np.zeros((len(a), TOKENS), bool)
+    a, b = a.astype(np.uint32), b.astype(np.uint32)
     for at in range(0, len(a), 256):
         part = slice(at, at + 256)
         row, p, q = np.nonzero((a[part, :, None] == b[part, None, :]) & inside[part, :, None] & inside[part, None, :])
@@ -291,9 +319,10 @@ def alike(a: np.ndarray, b: np.ndarray, inside: np.ndarray, whole: np.ndarray) -
         good = (np.cumsum(marks.reshape(n, TOKENS + 1), axis=1)[:, :TOKENS] >= COMMON) & whole[part]
         code = row * len(AROUND)
         twice = (np.bincount(code + p, minlength=n * len(AROUND)) > 1).reshape(n, -1).any(1) | (np.bincount(code + q, minlength=n * len(AROUND)) > 1).reshape(n, -1).any(1)
-        for r in np.flatnonzero(good.any(1) & twice):
-            for s in np.flatnonzero(good[r]):
-                good[r, s] = similar(a[at + r, s : s + TOKENS], b[at + r, s : s + TOKENS])
+        r, s = np.nonzero(good & twice[:, None])
+        if len(r):
+            place = s[:, None] + np.arange(TOKENS)
+            good[r, s] = similar(a[part][r[:, None], place], b[part][r[:, None], place])
         out[part] = good
     return out
 
@@ -320,6 +349,9 @@ def compared(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, bounds:
         whole = (start >= low[:, None]) & (start + TOKENS <= high[:, None])
         good = (runs[:, TOKENS:] - runs[:, :-TOKENS] >= COMMON) & whole
         open_ = np.flatnonzero(~good.any(1))
+        if len(open_):
+            bits = marked(coded(b[open_], inside[open_]))
+            open_ = open_[promising(coded(a[open_], inside[open_]), bits, np.arange(len(open_)), whole[open_])]
         if len(open_):
             good[open_] = alike(a[open_], b[open_], inside[open_], whole[open_])
         some = good.any(1)
@@ -542,23 +574,28 @@ def held_windows(made: DataFrame) -> DataFrame:
     return made.where("held is not null").select("doc", "a", "held", "apart").mapInArrow(run, HELD)
 
 
-ASKED = "k bigint, i int, j int, doc bigint, c int, at int, w binary"
+#: A window dealt to a block of its key, with the tokens of its stretches and where in them c is; its tree (`root`) among those of
+#: the block. Links of two documents have doc, doc2 and `links` only.
+BLOCKED = "k bigint, i int, blocks int, doc bigint, c int, at int, w binary, root int, doc2 bigint, links binary"
+BLOCKED_TYPES = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.binary())
+BLOCKED_NAMES = [v.split()[0] for v in BLOCKED.split(", ")]
+ASKED = BLOCKED.partition(", root")[0]
 
 
 def with_stretches(windows: DataFrame, made: DataFrame) -> DataFrame:
-    """Windows (k, i, j and what HELD has) with the tokens of their stretches, and where in them c is. A run's windows are gathered before its tokens are joined."""
+    """Windows (k, i, blocks and what HELD has) with the tokens of their stretches, and where in them c is. A run's windows are gathered before its tokens are joined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            of, (k, i, j, at, stop, c) = links_of(b)
+            of, (k, i, blocks, at, stop, c) = links_of(b)
             blobs, first = b.column("held").to_pylist(), b.column("a").to_numpy()
             u, v = at.to_numpy(), stop.to_numpy()
             w = [blobs[r][4 * p : 4 * q] for r, p, q in zip(of.tolist(), u.tolist(), v.tolist())]
-            columns = (k, i, j, b.column("doc").take(pa.array(of)), pa.array(first[of] + c.to_numpy(), pa.int32()), pa.array(c.to_numpy() - u, pa.int32()), pa.array(w, pa.binary()))
-            yield pa.RecordBatch.from_arrays(list(columns), names=[n.split()[0] for n in ASKED.split(", ")])
+            columns = (k, i, blocks, b.column("doc").take(pa.array(of)), pa.array(first[of] + c.to_numpy(), pa.int32()), pa.array(c.to_numpy() - u, pa.int32()), pa.array(w, pa.binary()))
+            yield pa.RecordBatch.from_arrays(list(columns), names=BLOCKED_NAMES[:7])
 
     own = ["doc", "a", "size"]
-    gathered = windows.groupBy(*own).agg(F.collect_list(F.struct("k", "i", "j", "at", "stop", "c")).alias("links"))
+    gathered = windows.groupBy(*own).agg(F.collect_list(F.struct("k", "i", "blocks", "at", "stop", "c")).alias("links"))
     runs = made.where("held is not null").select("doc", "a", (F.length("held") / 4).cast("int").alias("size"), "held").dropDuplicates(own)
     return gathered.join(runs, own).select("doc", "a", "links", "held").mapInArrow(run, ASKED)
 
@@ -567,76 +604,153 @@ def parted_links(made: DataFrame) -> DataFrame:
     """doc, doc2 and `at`: places of windows of one key that are alike, wherever a chain put unlike ones between them.
 
     If all links of a key's chain are alike, all its windows are connected. Else each is held against all others of the key: of many,
-    only those that have enough tokens in common, and not those that are connected already. A key with more than BLOCK windows is
-    dealt out as pairs of blocks. Of windows with the same tokens one is enough: the links of whole stretches connect them.
+    only those that have enough tokens in common, and not those that are connected already. The links are a forest, so a key has
+    fewer of them than windows. A key with more than BLOCK windows is dealt out: the forests of its blocks first, then pairs of
+    blocks, which give only links that join the trees of these. Of windows with the same tokens one is enough: the links of whole
+    stretches connect them.
     """
     one = F.min(F.struct("doc", "a", "size", "at", "stop", "c")).alias("one")
     rows = shared_checkpoint(held_windows(made).groupBy("k", "content").agg(one, F.max("apart").alias("apart")))
     keys = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("apart").alias("apart")).where("apart and n > 1")
     keys = keys.select("k", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    own, every = F.pmod("content", "blocks").cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
-    dealt = rows.drop("apart").join(keys, "k").withColumn("own", own).withColumn("other", F.explode(every))
-    dealt = with_stretches(dealt.select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "one.*"), made)
+    dealt = rows.drop("apart").join(keys, "k").select("k", F.pmod("content", "blocks").cast("int").alias("i"), "blocks", "one.*")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # of the last group, which may go on
-        for b in batches:
-            if b.num_rows:
-                rows = pa.Table.from_batches([*held, b])
-                key = np.stack([rows.column(c).to_numpy() for c in "kij"])
-                last = np.flatnonzero((key != key[:, -1:]).any(0))
-                cut = int(last[-1]) + 1 if len(last) else 0
-                yield from alike_windows(rows.slice(0, cut))
-                held = rows.slice(cut).to_batches()
-        if held:
-            yield from alike_windows(pa.Table.from_batches(held))
-
-    found = dealt.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "doc", "c").mapInArrow(run, ROW)
-    return found.groupBy("doc", "doc2").agg(F.listagg("at").alias("at"))
-
-
-def alike_windows(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Links of the windows of whole groups (k, i, j)."""
-    if not rows.num_rows:
-        return
-    key = np.stack([rows.column(c).to_numpy() for c in "kij"])
-    doc, c, at = (rows.column(v).to_numpy().astype(np.int64) for v in ("doc", "c", "at"))
-    blobs = rows.column("w").to_pylist()
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches, ["k", "i"]):
+            yield from block_forests(rows)
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches, ["k", "i", "j"]):
+            yield from block_links(rows)
+
+    own = shared_checkpoint(with_stretches(dealt, made).repartition("k", "i").sortWithinPartitions("k", "i", "doc", "c").mapInArrow(within, BLOCKED))
+    pairs = own.where("w is not null").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> i")
+    pairs = pairs.select("k", F.least("i", "other").alias("i"), F.greatest("i", "other").alias("j"), (F.col("i") > F.col("other")).alias("second"), "doc", "c", "at", "w", "root")
+    found = pairs.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "second", "doc", "c").mapInArrow(across, ROW)
+    links = own.where("doc2 is not null").select("doc", "doc2", F.col("links").alias("at")).union(found.select("doc", "doc2", "at"))
+    return links.groupBy("doc", "doc2").agg(F.listagg("at").alias("at"))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """The rows, sorted by some columns, in tables of whole groups."""
+    held: list[pa.RecordBatch] = []  # of the last group, which may go on
+    for b in batches:
+        if b.num_rows:
+            rows = pa.Table.from_batches([*held, b])
+            key = np.stack([rows.column(c).to_numpy() for c in by])
+            last = np.flatnonzero((key != key[:, -1:]).any(0))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut:
+                yield rows.slice(0, cut)
+            held = rows.slice(cut).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def firsts(rows: pa.Table, by: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Where each group begins, and how many rows it has."""
+    key = np.stack([rows.column(c).to_numpy() for c in by])
+    first = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)]))
+    return first, np.diff(np.append(first, rows.num_rows))
+
+
+def comparer(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, Callable[[np.ndarray, np.ndarray], np.ndarray]]:
+    """The windows' tokens, where each one's begin and end, and a function that says which pairs of windows have alike stretches."""
+    blobs, at = rows.column("w").to_pylist(), rows.column("at").to_numpy().astype(np.int64)
     x = np.frombuffer(b"".join(blobs), "<u4").astype(np.uint64)
     end = np.cumsum([len(v) // 4 for v in blobs])
     begin = np.append(0, end[:-1])
-    group = np.cumsum(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)]))
-    content = range_hashes(x, begin, end) + at.astype(np.uint64)
-    order = np.lexsort((c, doc, content, group))
-    order = order[np.concatenate([[True], (group[order][1:] != group[order][:-1]) | (content[order][1:] != content[order][:-1])])]
-    order = np.sort(order)
-    group, doc, c, begin, end, i = group[order], doc[order], c[order], begin[order], end[order], (begin + at)[order]
-    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    size = np.diff(np.append(first, len(group)))
+    i = begin + at
+    around = i[:, None] + AROUND
+    code = coded(x[np.clip(around, 0, len(x) - 1)], (around >= begin[:, None]) & (around < end[:, None]))
+    bits, low, high = marked(code), begin - i, end - i
 
     def alike_pairs(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        a, e, _, _ = compared(x, x, i[p], i[q], np.stack([begin[p], end[p]]), np.stack([begin[q], end[q]]))
-        return e > a
-
-    links = []
-    few = np.repeat(size <= FEW, size)
-    for d in range(1, FEW):
-        p = np.flatnonzero((group[d:] == group[:-d]) & few[d:])
-        if not len(p):
-            break
-        good = p[alike_pairs(p, p + d)]
-        links.append(np.stack([good, good + d]))
-    for at_, n in zip(first[size > FEW].tolist(), size[size > FEW].tolist()):
-        links += many_windows(x, begin[at_ : at_ + n], end[at_ : at_ + n], at_, alike_pairs)
+        out = np.zeros(len(p), bool)
+        for u in range(0, len(p), 4096):
+            p_, q_ = p[u : u + 4096], q[u : u + 4096]
+            start, last = np.maximum(low[p_], low[q_])[:, None], np.minimum(high[p_], high[q_])[:, None]
+            some = np.flatnonzero(promising(code[p_], bits, q_, (AROUND[:TOKENS] >= start) & (AROUND[:TOKENS] + TOKENS <= last)))
+            p_, q_ = p_[some], q_[some]
+            a, e, _, _ = compared(x, x, i[p_], i[q_], np.stack([begin[p_], end[p_]]), np.stack([begin[q_], end[q_]]))
+            out[u + some] = e > a
+        return out
+
+    return x, begin, end, alike_pairs
+
+
+def joining(root: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Those of the links p, q that join two trees; `root` has each one's root, also afterwards."""
+    of, new = root.tolist(), np.zeros(len(p), bool)
+    for n, (u, v) in enumerate(zip(p.tolist(), q.tolist())):
+        while of[u] != u:
+            of[u] = u = of[of[u]]
+        while of[v] != v:
+            of[v] = v = of[of[v]]
+        if u != v:
+            of[max(u, v)] = min(u, v)
+            new[n] = True
+    root[:] = of
+    while (root[root] != root).any():
+        root[:] = root[root]
+    return np.stack([p[new], q[new]])
+
+
+def pair_links(rows: pa.Table, links: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Links of rows, one row for each pair of documents."""
+    doc, c = (rows.column(v).to_numpy().astype(np.int64) for v in ("doc", "c"))
     p, q = np.concatenate(links, axis=1) if links else np.empty((2, 0), np.int64)
     p, q = np.where(doc[p] <= doc[q], p, q), np.where(doc[p] <= doc[q], q, p)
     if len(p):
         yield as_batch(np.empty((3, 0), np.int64), np.stack([doc[p], c[p], doc[q], c[q]]))
 
 
-def products(code: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
-    """For each two of n rows the sum of the products of their counts; code: column * n + row, each once."""
-    out = np.zeros((n, n), np.float32)
+def block_forests(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Links that connect what is alike in each block (k, i), and, of keys with several blocks, the windows with their trees."""
+    x, begin, end, alike_pairs = comparer(rows)
+    first, size = firsts(rows, ["k", "i"])
+    group, few = np.repeat(first, size), np.repeat(size <= FEW, size)
+    root, links = np.arange(rows.num_rows), []
+    for d in range(1, FEW):
+        p = np.flatnonzero((group[d:] == group[:-d]) & few[d:])
+        if not len(p):
+            break
+        p = p[root[p] != root[p + d]]
+        good = p[alike_pairs(p, p + d)]
+        links.append(joining(root, good, good + d))
+    for at, n in zip(first[size > FEW].tolist(), size[size > FEW].tolist()):
+        own = np.arange(n)
+        links += many_windows(x, begin[at : at + n], end[at : at + n], at, alike_pairs, own)
+        root[at : at + n] = own + at
+    for b in pair_links(rows, links):
+        n, none = b.num_rows, [None] * b.num_rows
+        columns = (none, none, none, b.column("doc"), none, none, none, none, b.column("doc2"), b.column("at"))
+        yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, BLOCKED_TYPES)], names=BLOCKED_NAMES)
+    more = rows.column("blocks").to_numpy() > 1
+    if more.any():
+        kept = rows.filter(pa.array(more)).append_column("root", pa.array(root[more] - group[more], pa.int32()))
+        none = pa.nulls(kept.num_rows)
+        kept = kept.append_column("doc2", none.cast(pa.int64())).append_column("links", none.cast(pa.binary()))
+        yield from kept.combine_chunks().select(BLOCKED_NAMES).to_batches()
+
+
+def block_links(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Links between the two blocks of each group (k, i, j) that join trees of these."""
+    x, begin, end, alike_pairs = comparer(rows)
+    tree, second = rows.column("root").to_numpy().astype(np.int64), rows.column("second").to_numpy()
+    links = []
+    for at, n in zip(*(v.tolist() for v in firsts(rows, ["k", "i", "j"]))):
+        own = slice(at, at + n)
+        half = int(np.searchsorted(second[own], True))
+        if 0 < half < n:
+            _, one, of = np.unique(2 * tree[own] + second[own], return_index=True, return_inverse=True)
+            links += many_windows(x, begin[own], end[own], at, alike_pairs, one[of], half)
+    yield from pair_links(rows, links)
+
+
+def products(code: np.ndarray, count: np.ndarray, n: int, half: int = 0) -> np.ndarray:
+    """For each two of n rows the sum of the products of their counts, or for each of the first half and each other one; code: column * n + row, each once."""
+    out = np.zeros((half, n - half) if half else (n, n), np.float32)
     _, column, holders = np.unique(code // n, return_inverse=True, return_counts=True)
     shared = holders[column] > 1
     _, column = np.unique(column[shared], return_inverse=True)
@@ -648,13 +762,16 @@ def products(code: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
         own = slice(*np.searchsorted(column, (at, at + 4096)))
         part = np.zeros((n, min(4096, last - at)), np.float32)
         part[row[own], column[own] - at] = count[own]
-        out += part @ part.T
+        out += part[:half] @ part[half:].T if half else part @ part.T
     return out
 
 
-def many_windows(x: np.ndarray, begin: np.ndarray, end: np.ndarray, offset: int, alike_pairs: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> list[np.ndarray]:
+def many_windows(x: np.ndarray, begin: np.ndarray, end: np.ndarray, offset: int, alike_pairs: Callable[[np.ndarray, np.ndarray], np.ndarray], root: np.ndarray | None = None, half: int = 0) -> list[np.ndarray]:
     """Links that connect what is alike among the windows of one group: of all pairs that share enough of the RAREST tokens of a
-    stretch, those that aren't connected by then. Alike stretches have all but TOKENS - COMMON of these in common, in whatever order tokens are ranked."""
+    stretch, those that aren't connected by then. Alike stretches have all but TOKENS - COMMON of these in common, in whatever order tokens are ranked.
+
+    `root` has the roots of windows that are connected already, and gets those of all; of pairs, only those of one of the first `half` and another one are looked at, if it is given.
+    """
     n, size = len(begin), end - begin
     row = np.repeat(np.arange(n), size)
     token = x[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())]
@@ -670,26 +787,20 @@ def many_windows(x: np.ndarray, begin: np.ndarray, end: np.ndarray, offset: int,
     for j in range(1, RAREST):
         again[:, j] = np.where(least[:, j] == least[:, j - 1], again[:, j - 1] + 1, 0)
     rare = np.unique((least * RAREST + again) * n + row[starts][:, None])
-    meet = products(rare, np.ones(len(rare)), n)
-    p, q = np.nonzero(np.triu(meet >= RAREST - TOKENS + COMMON, 1))
-    order = np.argsort(-meet[p, q], kind="stable")
-    p, q = p[order], q[order]
-    root, links = np.arange(n), []
-
-    def find(v: int) -> int:
-        while root[v] != v:
-            root[v] = v = root[root[v]]
-        return v
-
+    enough = products(rare, np.ones(len(rare)), n, half)
+    root = np.arange(n) if root is None else root
+    enough = enough if half else np.triu(enough, 1)
+    p, q = np.nonzero(enough >= RAREST - TOKENS + COMMON)
+    # each window's nearest one before it first: most trees are whole after that
+    nearest = np.zeros(enough.shape, bool)
+    nearest[np.argmax(enough, axis=0), np.arange(enough.shape[1])] = True
+    order = np.lexsort((-enough[p, q], ~nearest[p, q]))
+    now, links = int(nearest[p, q].sum()), []
+    p, q = p[order], q[order] + half
     while len(p):
-        now, p, later, q = p[:n], p[n:], q[:n], q[n:]
-        good = alike_pairs(now + offset, later + offset)
-        for u, v in zip(now[good].tolist(), later[good].tolist()):
-            if (a := find(u)) != (b := find(v)):
-                root[max(a, b)] = min(a, b)
-        links.append(np.stack([now[good], later[good]]) + offset)
-        if good.any():
-            root = np.array([find(v) for v in range(n)])
+        good = alike_pairs(p[:now] + offset, q[:now] + offset)
+        links.append(joining(root, p[:now][good], q[:now][good]) + offset)
+        p, q, now = p[now:], q[now:], max(n // 4, 64) if len(links) == 1 else 2 * now
         open_ = root[p] != root[q]
         p, q = p[open_], q[open_]
     return links

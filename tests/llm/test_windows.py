@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow.dataset as ds
 import pytest
+from pyspark.sql import functions as F
 
 from tallywell.llm import decontam, queries, windows
 
@@ -297,3 +298,20 @@ def test_a_long_text_of_many_passages_costs_as_its_parts_do(spark):
 
     seconds(200, True)  # compiled, and workers started
     assert seconds(4000, True) < 3 * seconds(4000, False)
+
+
+@pytest.mark.parametrize("block", [windows.BLOCK, 60])
+def test_links_of_a_key_grow_as_its_windows_do(spark, monkeypatch, block):
+    """Near copies of one text, with unlike texts between: a key has about as many links as windows, also dealt out in blocks, and all copies one class."""
+    monkeypatch.setattr(windows, "BLOCK", block)
+    rng = np.random.default_rng(23)
+    base = some_words(rng, 60)
+    rows = [(2 * n, " ".join(EDITS["substituted"](base, int(p)))) for n, p in enumerate(rng.integers(0, 60, 300))]
+    rows = [(i, t.replace("new", f"new{i}")) for i, t in rows] + [(2 * n + 1, " ".join([*base[:30], *some_words(rng, 30)])) for n in range(100)]
+    docs = spark.createDataFrame(rows, "doc bigint, text string").repartition(3).persist()
+    made = windows.shared_checkpoint(windows.verified(windows.shared_checkpoint(windows.window_links(docs)), docs))
+    held = windows.held_windows(made).groupBy("k").agg(F.count_distinct("content").alias("n"), F.max("apart").alias("apart")).where("apart and n > 1")
+    links = windows.parted_links(made).selectExpr("sum(length(at)) div 8 as n").first().n
+    assert 0 < links < 1.2 * held.selectExpr("sum(n) as n").first().n
+    got = found_in(spark, rows)
+    assert len({r.class_id for i in range(0, 600, 2) for r in got.get(i, [])}) == 1
